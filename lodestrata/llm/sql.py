@@ -26,12 +26,12 @@ SELECT page_id, host, path, best.rule AS rule, coalesce(best.action, 'allow') AS
 _OP7 = r"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS text,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 figures AS (
   SELECT doc_id, text, words, len(words) AS n_words, len(lines) AS n_lines,
-         CAST(coalesce(list_sum(list_transform(words, w -> length(w))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines
   FROM base),
@@ -51,10 +51,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 3 * n_words OR word_chars > 10 * n_words
     OR 10 * n_symbols > n_words
     OR 10 * n_dup_lines > 3 * greatest(n_lines, 10)
-    OR len(list_filter(words, w -> regexp_matches(w, '\p{L}'))) * 10 < 8 * n_words
+    OR len(list_filter(words, lambda w: regexp_matches(w, '\p{L}'))) * 10 < 8 * n_words
     OR length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) * 2 > length(regexp_replace(text, '[^\p{L}]', '', 'g'))
-    OR len(list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '^[ \t]*[-*•]'))) * 10 > 9 * n_lines
-    OR len(list_filter(string_split(text, chr(10)), l -> regexp_matches(l, '(\.\.\.|…)[ \t\r]*$'))) * 10 > 3 * n_lines
+    OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '^[ \t]*[-*•]'))) * 10 > 9 * n_lines
+    OR len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(\.\.\.|…)[ \t\r]*$'))) * 10 > 3 * n_lines
   ) AS kept
 FROM judged
 """
