@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import langid, packing, quality, urls
+from lodestrata.llm import classlm, langid, packing, quality, simhash, urls
 from lodestrata.llm.text import remainder
 
 #: The rules that the url query is asked to apply: (action, host, path).
@@ -33,10 +33,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 10) == 0
+    return classlm.score(table(spark, sf_dir, "documents"), ~held_out, keep={"held_out": held_out})
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -45,7 +54,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
+        "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op7_quality_rules": op7_quality_rules,
+        "op8_class_lm": op8_class_lm,
         "op9_url_filter": op9_url_filter,
     }
 
