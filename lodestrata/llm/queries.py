@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import classlm, langid, packing, quality, simhash, urls
+from lodestrata.llm import classlm, langid, packing, quality, simhash, substring, urls
 from lodestrata.llm.text import remainder
 
 #: The rules that the url query is asked to apply: (action, host, path).
@@ -50,6 +50,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_language_id": op4_language_id,
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality_rules": op7_quality_rules,
         "op8_class_lm": op8_class_lm,
         "op9_url_filter": op9_url_filter,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 

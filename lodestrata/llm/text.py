@@ -28,6 +28,11 @@ def remainder(id_column: Column, modulus: int) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
+def checksum(data: Column) -> Column:
+    """crc32 as a signed 32-bit integer."""
+    return (F.crc32(data) - (1 << 31)).cast("int")
+
+
 def map_arrow(
     df: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
