@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import classlm, langid, packing, quality, simhash, substring, urls
+from lodestrata.llm import classlm, langid, packing, quality, simhash, substring, suffixes, urls
 from lodestrata.llm.text import remainder
 
 #: The rules that the url query is asked to apply: (action, host, path).
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     return langid.identify(table(spark, sf_dir, "documents"), ~held_out, keep={"held_out": held_out})
@@ -56,6 +60,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": op1_suffix_array_dedup,
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
