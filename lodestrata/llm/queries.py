@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import classlm, langid, packing, quality, simhash, substring, suffixes, urls
+from lodestrata.llm import classlm, decontaminate, langid, licences, packing, quality, simhash, substring, suffixes, urls
 from lodestrata.llm.text import remainder
 
 #: The rules that the url query is asked to apply: (action, host, path).
@@ -28,6 +28,14 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = remainder(F.col("doc_id"), 4) == 2
     return langid.identify(table(spark, sf_dir, "documents"), ~held_out, keep={"held_out": held_out})
@@ -61,6 +69,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
+        "op2_license_scan": op2_license_scan,
+        "op3_decontamination": op3_decontamination,
         "op4_language_id": op4_language_id,
         "op5_packing": op5_packing,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,

@@ -51,7 +51,7 @@ def scheme(length: int = LENGTH, seed: int = SEED) -> repeats.Scheme:
 def _cut(rows: DataFrame, s: repeats.Scheme, keep: list[str]) -> DataFrame:
     """``keep``, n_words, n_removed, kept (binary): the kept words joined by one space."""
     spans = repeats.covered_spans(rows.select("id", "var", "text"), s)
-    joined = rows.join(spans, ["id", "var"], "left").select(*keep, "text", "spans")
+    joined = rows.join(spans, ["id", "var"], "left").select(*dict.fromkeys([*keep, "text"]), "spans")
     fields = [f for f in joined.schema.fields if f.name in keep]
 
     def cut(batches):
