@@ -12,10 +12,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIDE = 64
 
 
+def _struct(kind: T.DataType, *names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, kind) for n in names])
+
+
 def header_size(data: bytes) -> tuple[int, int] | None:
     """(width, height) from a PNG or JPEG header; None if there is none or it is damaged."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
@@ -49,7 +54,7 @@ def header_size(data: bytes) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width int, height int>")
+@F.pandas_udf(_struct(T.IntegerType(), "width", "height"))
 def image_size(content: pd.Series) -> pd.DataFrame:
     """Sizes from headers; both null where no header can be read."""
     found = [header_size(x) if x is not None else None for x in content]
@@ -93,12 +98,12 @@ def correlation(a: bytes, b: bytes) -> float | None:
     return (n * int((x * y).sum()) - int(x.sum()) * int(y.sum())) / (va * vb) ** 0.5
 
 
-@F.pandas_udf("array<long>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def difference_hashes(signature: pd.Series) -> pd.Series:
     return signature.map(lambda s: difference_hash(bytes(s)) if s is not None and len(s) == SIDE * SIDE else None)
 
 
-@F.pandas_udf("struct<corr64 double, ssim double, affinity double>")
+@F.pandas_udf(_struct(T.DoubleType(), "corr64", "ssim", "affinity"))
 def pair_diagnostics(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """One pass over candidate pairs of 64 x 64 luminances."""
     rows = [(correlation(bytes(x), bytes(y)), block_ssim(x, y), histogram_affinity(x, y)) for x, y in zip(a, b, strict=True)]

@@ -79,7 +79,8 @@ def regions(raw: Column) -> Column:
     """A list of regions, or a map of them by number, as an array in that order."""
     listed = F.from_json(raw, f"array<{REGION}>")
     mapped = F.from_json(raw, f"map<string,{REGION}>")
-    ordered = F.transform(F.array_sort(F.transform(F.map_entries(mapped), lambda e: F.struct(e["key"].try_cast("int").alias("k"), e["value"].alias("v")))), lambda e: e["v"])
+    keys = F.array_sort(F.transform(F.map_keys(mapped), lambda k: F.struct(k.try_cast("int").alias("n"), k.alias("k"))))
+    ordered = F.transform(keys, lambda x: mapped[x["k"]])
     return F.when(F.trim(raw).startswith("["), listed).otherwise(ordered)
 
 
