@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.text import map_arrow, texts_of
+from lodestrata.llm.text import checksum, map_arrow, texts_of
 from lodestrata.operators.components import connected_components
 from lodestrata.session import materialise, ship
 
@@ -64,15 +64,16 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, fp (signed 64-bit)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    """Columns id, var (checksum of the text), fp (signed 64-bit)."""
+    data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
+    rows = docs.select(F.col(id_col).alias("id"), checksum(data).alias("var"), data.alias("text"))
 
     def hashed(batches):
         for batch in batches:
             values = np.array([fingerprint(t) for t in texts_of(batch["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(values)], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["var"], pa.array(values)], ["id", "var", "fp"])
 
-    return map_arrow(rows, hashed, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return map_arrow(rows, hashed, f"id {rows.schema['id'].dataType.simpleString()}, var int, fp long")
 
 
 def _group_counts(fp: Column, first: int, bits: int) -> Column:
@@ -148,22 +149,29 @@ def spanning_links(values: np.ndarray, radius: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """Columns id, fingerprint (16 hex digits), component_id (smallest id of the component): one row for each document."""
+def _members(docs: DataFrame, id_col: str, text_col: str, radius: int) -> DataFrame:
+    """Columns id, var, fp, component (its smallest fingerprint), component_id (its smallest id)."""
     found = materialise(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     points = materialise(found.groupBy("fp").agg(F.min("id").alias("first")), "points")
     nodes = connected_components(links(points, radius))
     named = points.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    table = named.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return found.join(table, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    table = materialise(named.select("fp", "component").join(smallest, "component"), "members")
+    return found.join(table, "fp")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+    """Columns id, fingerprint (16 hex digits), component_id (smallest id of the component): one row for each document."""
+    found = _members(docs, id_col, text_col, radius)
+    return found.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that are first in their component: the smallest id, of equal ids one row."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
-    kept = docs.join(first, docs[id_col].eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """One row of ``docs`` for each component: the smallest id (null last), of equal ids one text, of equal rows one."""
+    found = _members(docs, id_col, text_col, radius)
+    order = F.struct(F.col("id").isNull().alias("null"), "id", "var")
+    first = found.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.var").alias("_var"))
+    var = checksum(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
+    marked = docs.withColumn("_text_checksum", var)
+    kept = marked.join(first, marked[id_col].eqNullSafe(F.col("_id")) & (marked["_text_checksum"] == F.col("_var")), "left_semi")
+    return kept.dropDuplicates([id_col, "_text_checksum"]).drop("_text_checksum")

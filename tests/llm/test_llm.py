@@ -158,6 +158,15 @@ def test_simhash(docs):
     assert found == components(rows)
 
 
+def test_one_of_each_component_stays(spark):
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    rows = [(3, a), (1, a), (1, a), (None, a), (None, b), (None, b), (7, "x y z"), (7, "quite another text it is")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(0))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (None, b), (7, "x y z"), (7, "quite another text it is")])
+
+
 @pytest.mark.parametrize(("block", "small"), [(1024, 32), (4, 2)])
 def test_links_lose_no_component(spark, block, small, monkeypatch):
     monkeypatch.setattr(simhash, "SMALL_CELL", small)
