@@ -134,7 +134,11 @@ def occurrences(rows: DataFrame, s: Scheme) -> DataFrame:
 
 
 def passages(rows: DataFrame, requests: DataFrame, s: Scheme) -> DataFrame:
-    """(anchor, cls, id, a, passage): the passages that start ``a`` units before each representative."""
+    """(anchor, cls, id, a, passage): the passages that start ``a`` units before each representative.
+
+    Only those passages whose first smallest seed-gram is the representative's anchor: every passage
+    belongs to one of its anchors, the same in all texts, so none is listed twice.
+    """
     id_type = rows.schema["id"].dataType.simpleString()
     wanted = requests.groupBy("id", "var").agg(F.collect_list(F.struct("anchor", "cls", "pos")).alias("at"))
     joined = rows.join(wanted, ["id", "var"]).dropDuplicates(["id", "var"]).select("id", "text", "at")
@@ -144,12 +148,13 @@ def passages(rows: DataFrame, requests: DataFrame, s: Scheme) -> DataFrame:
         for batch in batches:
             out, ids = [], []
             for k, (text, at) in enumerate(zip(texts_of(batch["text"]), batch["at"].to_pylist(), strict=True)):
-                h = hashes(text)
-                whole = Rolling(h).every(s.length).view(np.int64)
+                rolling = Rolling(hashes(text))
+                whole = rolling.every(s.length).view(np.int64)
                 pos = np.array([x["pos"] for x in at], np.int64)
+                before, after = reach(rolling.every(s.seed), pos, s.context)
                 a = np.arange(s.context + 1)
                 start = pos[:, None] - a[None, :]
-                ok = (start >= 0) & (start < len(whole))
+                ok = (start >= 0) & (start < len(whole)) & (a <= before[:, None]) & (s.context - a <= after[:, None])
                 who, which = np.nonzero(ok)
                 anchor, cls = (np.array([x[f] for x in at], np.int64)[who] for f in ("anchor", "cls"))
                 out.append((anchor, cls, which.astype(np.int8), whole[start[ok]]))
@@ -161,17 +166,32 @@ def passages(rows: DataFrame, requests: DataFrame, s: Scheme) -> DataFrame:
     return map_arrow(joined, expand, f"anchor long, cls long, id {id_type}, a byte, passage long")
 
 
+def reach(grams: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many seed-grams before each position are larger, and how many after it are not smaller, up to ``most``."""
+    step = np.arange(1, most + 1)
+    ends = np.concatenate((grams, np.zeros(1, np.uint64)))  # beyond an end: smaller than any
+    own = grams[pos][:, None]
+    back, on = pos[:, None] - step, np.minimum(pos[:, None] + step, len(grams))
+    stop_before = (back < 0) | (ends[np.maximum(back, 0)] <= own)
+    stop_after = (on == len(grams)) | (ends[on] < own)
+    first = lambda stop: np.where(stop.any(axis=1), stop.argmax(axis=1), most)
+    return first(stop_before), first(stop_after)
+
+
 def offsets_by_hash(rows: DataFrame, representatives: DataFrame, s: Scheme) -> DataFrame:
     """(anchor, cls, offsets): offsets of the passages that a smaller document has, found by passage hashes."""
-    found = passages(rows, representatives, s)
+    found = materialise(passages(rows, representatives, s), "passages")
+    release_shuffles(rows.sparkSession)
     key = ["anchor", "a", "passage"]
-    smallest = found.groupBy(key).agg(F.min("id").alias("first"))
+    smallest = found.groupBy(key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    smallest = materialise(smallest, "smallest")
+    release_shuffles(rows.sparkSession)
     covered = found.join(smallest, key).where(F.col("id") > F.col("first"))
     return covered.groupBy("anchor", "cls").agg(F.collect_set("a").alias("offsets"))
 
 
 def covered_spans(rows: DataFrame, s: Scheme, offsets: Callable[[DataFrame, DataFrame, Scheme], DataFrame] = offsets_by_hash) -> DataFrame:
-    """(id, var, spans): for each document with removals, array of (pos, run, offsets); null offsets: the whole context."""
+    """(id, var, spans): for each document with removals, its covered ranges as start << 32 | end (ends may pass the text's)."""
     spark = rows.sparkSession
     found = occurrences(rows, s)
     by_anchor = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
@@ -187,26 +207,28 @@ def covered_spans(rows: DataFrame, s: Scheme, offsets: Callable[[DataFrame, Data
     representatives = classes.join(several, "anchor")
     partly = materialise(offsets(rows, representatives, s), "offsets")
     release_shuffles(spark)
-    known = classes.select("anchor", "cls", F.col("id").alias("first")).join(partly, ["anchor", "cls"], "left")
+    # Written first, so that the next join reads two plain shuffles: only such joins are split where a key is hot.
+    known = materialise(classes.select("anchor", "cls", F.col("id").alias("first")).join(partly, ["anchor", "cls"], "left"), "known")
     applied = hits.join(known, ["anchor", "cls"]).where((F.col("id") > F.col("first")) | F.col("offsets").isNotNull())
-    span = F.struct("pos", "run", F.when(F.col("id") == F.col("first"), F.col("offsets")).alias("offsets"))
-    spans = materialise(applied.groupBy("id", "var").agg(F.collect_list(span).alias("spans")), "spans")
+    last = F.col("pos") + F.col("run") - 1
+    pack = lambda lo, hi: F.shiftleft(lo.cast("long"), 32).bitwiseOR(hi.cast("long"))
+    whole = F.array(pack(F.greatest(F.col("pos") - s.context, F.lit(0)), last + s.length))
+    some = F.transform("offsets", lambda a: pack(F.col("pos") - a, last - a + s.length))
+    ranges = F.when(F.col("id") > F.col("first"), whole).otherwise(some)
+    spans = materialise(applied.select("id", "var", ranges.alias("r")).groupBy("id", "var").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
     release_shuffles(spark)
-    for table in (shared, hits, classes, partly):
+    for table in (shared, hits, classes, partly, known):
         discard(table)
     return spans
 
 
-def mask(n: int, spans: list[dict] | None, s: Scheme) -> np.ndarray:
+def mask(n: int, spans: np.ndarray) -> np.ndarray:
     """True for each unit to remove."""
-    edge = np.zeros(n + 1, np.int64)
-    for span in spans or ():
-        pos, last = span["pos"], span["pos"] + span["run"] - 1
-        if span["offsets"] is None:
-            edge[max(0, pos - s.context)] += 1
-            edge[min(n, last + s.length)] -= 1
-        else:
-            for a in span["offsets"]:
-                edge[pos - a] += 1
-                edge[last - a + s.length] -= 1
-    return np.cumsum(edge[:-1]) > 0
+    lo, hi = spans >> 32, np.minimum(spans & 0xFFFFFFFF, n)
+    return np.cumsum(np.bincount(lo, minlength=n + 1) - np.bincount(hi, minlength=n + 1))[:n] > 0
+
+
+def spans_of(column: pa.ListArray) -> list[np.ndarray | None]:
+    """The ranges of each row as an array, None where there are none."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] if b > a else None for a, b in zip(ends, ends[1:], strict=False)]

@@ -57,11 +57,11 @@ def _cut(rows: DataFrame, s: repeats.Scheme, keep: list[str]) -> DataFrame:
     def cut(batches):
         for batch in batches:
             n, removed, kept = [], [], []
-            for text, spans in zip(texts_of(batch["text"]), batch["spans"].to_pylist(), strict=True):
+            for text, spans in zip(texts_of(batch["text"]), repeats.spans_of(batch["spans"]), strict=True):
                 words = text.split()
                 n.append(len(words))
-                if spans:
-                    gone = repeats.mask(len(words), spans, s)
+                if spans is not None:
+                    gone = repeats.mask(len(words), spans)
                     removed.append(int(gone.sum()))
                     words = list(compress(words, (~gone).tolist()))
                 else:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import bwt, repeats
 from lodestrata.llm.text import map_arrow, texts_of
-from lodestrata.session import ship
+from lodestrata.session import materialise, release_shuffles, ship
 
 LENGTH, SEED = 50, 16
 SHARDS, GROUP, LARGE = 4, 8_000, 20_000
@@ -65,6 +65,26 @@ def contexts(rows: DataFrame, representatives: DataFrame, s: repeats.Scheme) ->
     return map_arrow(joined, cut, f"anchor long, cls long, id {id_type}, left short, data binary")
 
 
+def undecided(strings: DataFrame, s: repeats.Scheme) -> DataFrame:
+    """Those contexts of an anchor that can share a string with another document's.
+
+    A string that holds the anchor takes at least half of the context on one side of it, so two contexts
+    with a string in common agree on the half to the left or on the half to the right.
+    """
+    half = s.context // 2
+    rest = F.octet_length("data") - F.col("left") - s.seed
+    left = F.when(F.col("left") >= half, F.xxhash64(F.expr(f"substring(data, left - {half} + 1, {half})")))
+    right = F.when(rest >= half, F.xxhash64(F.expr(f"substring(data, left + {s.seed} + 1, {half})")))
+    keyed = strings.withColumns({"lh": left, "rh": right})
+    both = keyed.select("anchor", "id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lh").alias("h")), F.struct(F.lit(1).alias("side"), F.col("rh").alias("h")))).alias("k"))
+    shared = both.where("k.h is not null").groupBy("anchor", "k.side", "k.h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    shared = materialise(shared.select("anchor", "side", "h"), "halves")
+    by_left = shared.where("side = 0").select("anchor", F.col("h").alias("lh"), F.lit(True).alias("l"))
+    by_right = shared.where("side = 1").select("anchor", F.col("h").alias("rh"), F.lit(True).alias("r"))
+    found = keyed.join(by_left, ["anchor", "lh"], "left").join(by_right, ["anchor", "rh"], "left")
+    return materialise(found.where("l or r").select(strings.columns), "undecided")
+
+
 def repeated_starts(strings: list[bytes], ids: np.ndarray, length: int, shards: int = SHARDS) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of every ``length``-byte string that also starts in a string with a smaller id."""
     groups = [g for g in np.array_split(np.arange(len(strings)), shards) if len(g)]
@@ -84,8 +104,9 @@ def offsets_by_merge(rows: DataFrame, representatives: DataFrame, s: repeats.Sch
     """(anchor, cls, offsets), as ``repeats.offsets_by_hash`` gives them."""
     ship(rows.sparkSession)
     usual = representatives.where(F.col("n") <= LARGE)
-    strings = contexts(rows, usual, s)
-    groups = max(1, math.ceil(usual.count() / GROUP))
+    strings = undecided(materialise(contexts(rows, usual, s), "contexts"), s)
+    release_shuffles(rows.sparkSession)
+    groups = max(1, math.ceil(strings.count() / GROUP))
     strings = strings.withColumn("group", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
 
     def settle(key, pdf):
@@ -119,13 +140,13 @@ def removed_strings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def cut(batches):
         for batch in batches:
             n, removed, runs, kept = [], [], [], []
-            for text, spans in zip(texts_of(batch["text"]), batch["spans"].to_pylist(), strict=True):
-                gone = repeats.mask(len(text), spans, s) if spans else np.zeros(0, bool)
+            for text, spans in zip(texts_of(batch["text"]), repeats.spans_of(batch["spans"]), strict=True):
+                gone = repeats.mask(len(text), spans) if spans is not None else np.zeros(0, bool)
                 edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
                 n.append(len(text))
                 removed.append(int(gone.sum()))
                 runs.append(edges.reshape(-1, 2).tolist())
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text)
+                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes() if spans is not None else text)
             columns = [batch["id"], pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "n_bytes", "n_removed", "spans", "kept"])
 
