@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.text import map_arrow
-from lodestrata.llm.tokens import PackedEncoder, default_vocabulary
+from lodestrata.llm.tokens import default_vocabulary, encoder
 from lodestrata.session import materialise
 
 WIDTH, END_ID, BUCKETS = 2048, 1, 64
@@ -73,7 +73,7 @@ def cut_pieces(docs: DataFrame, *, vocabulary: str | None = None, width: int = W
     path, closing, step = vocabulary or default_vocabulary(), np.array([END_ID], "<u4").tobytes(), 4 * width
 
     def cut(batches):
-        encode = PackedEncoder(path).encode
+        encode = encoder(path).encode
         for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
             for k, text in enumerate(batch["text"].to_pylist()):
@@ -129,5 +129,3 @@ def pack(
 
     out = map_arrow(ranked, place, f"id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)
-
-

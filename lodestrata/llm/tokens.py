@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 from array import array
+from functools import lru_cache
 
 import regex
 import tiktoken
@@ -21,8 +22,8 @@ from tokenizers import Tokenizer
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _split = regex.compile(PATTERN).findall
 _other = regex.compile("[^\t\n\r\x20-\x7e¡-ɏ]").search
-#: Pre-tokens remembered by one task at a time.
-CACHE_ENTRIES = 400_000
+#: Pre-tokens remembered by one Python worker.
+CACHE_ENTRIES = 200_000
 
 
 def default_vocabulary() -> str:
@@ -74,3 +75,9 @@ class PackedEncoder(dict):
         if _other(text) or any(x in text for x in self.added):
             return self.whole(text)
         return b"".join(map(self.__getitem__, _split(text)))
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> PackedEncoder:
+    """The encoder of a vocabulary file: one for each Python worker, which the worker's tasks share."""
+    return PackedEncoder(path)
