@@ -4,8 +4,10 @@ A document's ids (and one closing id) are cut into full pieces of ``width`` and
 one rest. Only counts by length go to the driver: at most ``width`` numbers. There,
 lengths are placed from the longest to the shortest; each goes into the pattern
 with most room left (the shortest pack), of which as many copies are taken as the
-length has pieces. Every step uses up a length or a pattern, so there are at most
-``width`` patterns and ``width**2`` slots, whatever the number of documents. A
+length has pieces. Where none has room, new sequences are opened, each filled with as
+many pieces of the length as fit, and one more pattern has what is left over. Every
+step uses up a length or a pattern, so there are at most ``2 * width`` patterns and
+``2 * width**2`` slots, whatever the number of documents. A
 piece then finds its slot by its rank among the pieces of its length. Ranks come
 from ``buckets`` numbered parts of each length, so that no task holds a length.
 
@@ -40,7 +42,9 @@ def plan(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, list[
             while room >= length and not by_room[room]:
                 room -= 1
             if room < length:
-                by_room[width - length].append((left, [length]))
+                for copies, n in zip((1, left // (width // length)), (left % (width // length), width // length), strict=True):
+                    if copies and n:
+                        by_room[width - n * length].append((copies, [length] * n))
                 break
             copies, lengths = by_room[room].pop()
             used = min(copies, left)

@@ -281,6 +281,21 @@ def test_plan_places_every_piece():
     assert placed == Counter(histogram) and len(patterns) <= 100
 
 
+def test_plan_fills_sequences_with_a_hot_length():
+    draw = random.Random(10)
+    histogram = Counter(draw.randint(1, 2048) for _ in range(2000)) + Counter({120: 9001})
+    patterns = packing.plan(histogram, 2048)
+    placed = Counter()
+    for copies, lengths in patterns:
+        assert sum(lengths) <= 2048
+        for n in lengths:
+            placed[n] += copies
+    assert placed == histogram and len(patterns) <= 2 * 2048
+    bound = -(-sum(n * c for n, c in histogram.items()) // 2048)
+    assert sum(copies for copies, _ in patterns) <= 1.02 * bound
+    assert packing.plan({3: 7}, 10) == [(2, [3, 3, 3]), (1, [3])]
+
+
 def segmentations(word, p):
     if not word:
         return 1.0
