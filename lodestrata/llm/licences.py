@@ -6,7 +6,7 @@ matched against the licence rules in their order. A rule is a sequence of identi
 must follow each other (other sentences that look like licence text may not come between,
 ordinary prose may). A match uses its identifiers up; the next rules see what is left.
 
-Defined results: null or empty text, and text without a licence word: no licence (null)
+Defined results: null or empty text, and text with neither a licence word nor a known sentence: no licence (null)
 and no identifiers. Licences of a text are distinct and in alphabetical order.
 Repeated rows are scanned once each. An empty table gives an empty table.
 """
@@ -48,18 +48,27 @@ SENTENCES = (
     ("mpl-2-named", r"mozilla public (?:license|licence) ?(?:v|version)? ?2 0"),
     ("epl-2-named", r"eclipse public (?:license|licence) ?(?:v|version)? ?2 0"),
     ("cc0-named", r"(?:cc0 1 0|creative commons zero)"),
-    ("cc-by-nc-sa-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc sa ?\d? ?\d?"),
-    ("cc-by-nc-nd-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc nd ?\d? ?\d?"),
-    ("cc-by-nc-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc ?\d? ?\d?"),
-    ("cc-by-sa-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by sa ?\d? ?\d?"),
-    ("cc-by-nd-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nd ?\d? ?\d?"),
-    ("cc-by-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by ?\d? ?\d?"),
+    ("cc-by-nc-sa-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc sa ?\d? ?\d?|creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc-nd-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc nd ?\d? ?\d?|creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
+    ("cc-by-nc-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc ?\d? ?\d?|creative commons attribution non ?commercial"),
+    ("cc-by-sa-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by sa ?\d? ?\d?|creative commons attribution share ?alike"),
+    ("cc-by-nd-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nd ?\d? ?\d?|creative commons attribution no ?deriv(?:ative)?s"),
+    ("cc-by-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by ?\d? ?\d?|creative commons attribution"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", r"(?:dedicated|released|placed) (?:to|into|in) the public domain"),
     ("reserved", r"all rights reserved"),
     ("copyright", r"copyright (?:c )?\d{4}"),
 )
 
+# SPDX identifiers, normalised, with the licence of each.
+SPDX = {
+    "mit": "MIT", "apache 2 0": "Apache-2.0", "isc": "ISC", "bsd 2 clause": "BSD-2-Clause", "bsd 3 clause": "BSD-3-Clause",
+    "mpl 2 0": "MPL-2.0", "epl 2 0": "EPL-2.0", "cc0 1 0": "CC0-1.0", "unlicense": "Unlicense",
+    **{f"{g} {v} 0{end}": f"{g.upper()}-{v}.0{kind}" for g, v in (("agpl", 3), ("lgpl", 3), ("gpl", 3), ("gpl", 2)) for end, kind in (("", ""), (" only", ""), (" or later", "-or-later"))},
+    **{f"lgpl 2 {k}{end}": f"LGPL-2.1{kind}" for k in (0, 1) for end, kind in (("", ""), (" only", ""), (" or later", "-or-later"))},
+    **{f"cc {kind} {v}": f"CC-{kind.upper().replace(' ', '-')}" for kind in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd") for v in ("1 0", "2 0", "2 5", "3 0", "4 0")},
+}
+
 # Licence rules in the order in which they are tried.
 RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
@@ -93,25 +102,55 @@ RULES = (
     ("Unlicense", ("unlicense",)),
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("reserved",)),
+    *((name, (f"spdx-{name}",)) for name in sorted(set(SPDX.values()))),
 )
 
 UNKNOWN = "unknown"
 _hint = re.compile(r"licen[sc]e|permission|redistribut|copyright|warrant|public domain|rights reserved|mpl|cc0", re.IGNORECASE)
-_ends = re.compile(r"(?<=[.!?;:])\s+|\n\s*\n")
+# The colon of an SPDX line ends no sentence.
+_ends = re.compile(r"(?<=[.!?;:])(?<!(?i:spdx-license-identifier:))\s+|\n\s*\n")
 _other = re.compile(r"[^a-z0-9]+")
-_named = re.compile("|".join(f"(?P<s{k}>{p})" for k, (_, p) in enumerate(SENTENCES)))
+_spdx_name = "(?:" + "|".join(sorted(SPDX, key=len, reverse=True)) + r")\b"
+_spdx_names = re.compile(_spdx_name)
+_later = re.compile(r"(?<=\d)\+")
+_named = re.compile(
+    "|".join(f"(?P<s{k}>{p})" for k, (_, p) in enumerate(SENTENCES))
+    + rf"|(?P<spdx>spdx license identifier {_spdx_name}(?: (?:with (?:\w+ ){{1,8}}?)?(?:or|and) {_spdx_name})*)"
+)
+#: Each pattern's match has one of these; a text without any has no match.
+LITERALS = ("licen", "permission", "redistribut", "copyright", "warrant", "public domain", "rights reserved", "any later version", "endorse or promote", "applicable law", "cc0", "creative commons", "cc by")
+
+
+def _flat(value: str) -> str:
+    return _other.sub(" ", value.lower()).strip()
+
+
+def _names(match: re.Match) -> list[str]:
+    if match.lastgroup == "spdx":
+        return [f"spdx-{SPDX[x]}" for x in _spdx_names.findall(match.group())]
+    return [SENTENCES[int(match.lastgroup[1:])][0]]
 
 
 def identifiers(text: str | None) -> list[str]:
     """Identifiers of the text's licence sentences in order; ``unknown`` for one that only looks like licence text."""
     out: list[str] = []
-    if not text or not _hint.search(text):
+    if not text:
+        return out
+    # A sentence's normal form is a part of the text's.
+    whole = _flat(text)
+    if not any(x in whole for x in LITERALS) and not _hint.search(text):
         return out
     for sentence in _ends.split(text):
-        if _hint.search(sentence):
-            flat = _other.sub(" ", sentence.lower()).strip()
-            found = [SENTENCES[int(m.lastgroup[1:])][0] for m in _named.finditer(flat)]
-            out += found or [UNKNOWN]
+        flat = _flat(sentence)
+        found: list[str] = []
+        if any(x in flat for x in LITERALS):
+            if "spdx" in flat:
+                flat = _flat(_later.sub("-or-later", sentence))
+            found = [name for m in _named.finditer(flat) for name in _names(m)]
+        if found:
+            out += found
+        elif _hint.search(sentence):
+            out.append(UNKNOWN)
     return out
 
 

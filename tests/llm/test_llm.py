@@ -438,6 +438,49 @@ def test_licences(value, expected):
     assert licences.licences(licences.identifiers(value)) == expected
 
 
+@pytest.mark.parametrize(
+    ("value", "expected"),
+    [
+        ("Released under CC BY-SA 4.0.", ["CC-BY-SA"]), ("Dedicated under Creative Commons Zero.", ["CC0-1.0"]),
+        ("It is free. Use it under a Creative Commons Attribution 4.0 International License.", ["CC-BY"]), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0", ["CC-BY-NC-SA"]),
+        ("Creative Commons Attribution-NoDerivatives 4.0", ["CC-BY-ND"]), ("// SPDX-License-Identifier: MIT\ncode", ["MIT"]), ("# SPDX-License-Identifier: GPL-2.0+\n", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: (MIT OR Apache-2.0)", ["Apache-2.0", "MIT"]), ("SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", ["GPL-2.0", "MIT"]),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", ["LGPL-2.1-or-later"]), ("SPDX-License-Identifier: Unheard-1.0", []), ("Any person may use it, at any time.", []),
+    ],
+)
+def test_licences_without_hint_words_and_by_identifier(value, expected):
+    assert licences.licences(licences.identifiers(value)) == expected
+
+
+def shortest(parsed, k):
+    """A shortest text that a parsed pattern matches, by the k-th of each list of alternatives."""
+    out = ""
+    for op, value in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(value)
+        elif op == "IN":
+            out += shortest(value[:1], k)
+        elif op == "CATEGORY":
+            out += "7"
+        elif op == "MAX_REPEAT":
+            out += shortest(value[2], k) * value[0] if value[0] else ""
+        elif op == "SUBPATTERN":
+            out += shortest(value[3], k)
+        else:
+            assert op == "BRANCH", op
+            out += shortest(value[1][k % len(value[1])], k)
+    return out
+
+
+@pytest.mark.parametrize("k", range(4))
+@pytest.mark.parametrize(("name", "pattern"), licences.SENTENCES)
+def test_no_gate_hides_a_licence_sentence(name, pattern, k):
+    from re import _parser
+
+    assert licences.identifiers(shortest(_parser.parse(pattern), k)) == [name]
+
+
 def test_licence_rows(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, None), (3, "a licence to thrill")], "doc_id long, text string").withColumn("licences", F.lit(0))
     assert Counter(tuple(r) for r in licences.scan(df).collect()) == Counter({(1, "MIT", "mit-named", 0): 2, (2, None, None, 0): 1, (3, None, "unknown", 1): 1})
