@@ -168,7 +168,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of ``docs`` for each component: the smallest id (null last), of equal ids one text, of equal rows one."""
-    found = _members(docs, id_col, text_col, radius)
+    return first_of_each(docs, _members(docs, id_col, text_col, radius), id_col=id_col, text_col=text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The first row of ``docs`` for each component of ``found`` (id, var, component)."""
     order = F.struct(F.col("id").isNull().alias("null"), "id", "var")
     first = found.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.var").alias("_var"))
     var = checksum(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bwt, classlm, decontaminate, langid, licences, packing, quality, queries, repeats, simhash, substring, suffixes, text, urls
+from lodestrata.llm import bwt, classlm, decontaminate, jaccard, langid, licences, packing, quality, queries, repeats, simhash, substring, suffixes, text, urls
 from lodestrata.llm.tokens import PackedEncoder, default_vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -158,6 +158,39 @@ def test_simhash(docs):
     assert found == components(rows)
 
 
+@pytest.mark.parametrize("frequent", [16, 2])
+def test_near_dedup_stage_by_jaccard(spark, frequent, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(jaccard, "SAMPLE", 1)
+    draw = random.Random(21)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(3, 6)))
+    line, rows = [word() for _ in range(40)], []
+    for k in range(12):
+        body = [word() for _ in range(draw.randint(20, 200))] + line * (k % 2)
+        for _ in range(draw.randint(1, 12)):
+            copy = list(body)
+            for _ in range(draw.randint(0, 6)):
+                copy[draw.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(900, None), (901, " "), (902, "One two"), (903, "one TWO"), (None, rows[0][1]), (0, rows[0][1])]
+    sets = []
+    for _, value in rows:
+        w = (value or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    expected = sorted(min(rows[k][0] for k in range(len(rows)) if group[k] == g and rows[k][0] is not None) for g in set(group))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect())
+    assert found == expected and 12 < len(expected) < len(rows) - 6
+
+
 def test_one_of_each_component_stays(spark):
     a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
     rows = [(3, a), (1, a), (1, a), (None, a), (None, b), (None, b), (7, "x y z"), (7, "quite another text it is")]
