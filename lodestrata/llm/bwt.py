@@ -37,39 +37,37 @@ def shard(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbols[before], np.array(order)[owner], suffix - starts[owner]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, common) of the merged order: index into the joined shards, and the length (at most ``depth``) of
-    the prefix shared with the row before.
+def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, interval, common) after ``depth`` rounds of the interleave of several transforms.
 
-    The interleave starts as the shards one after the other and is refined by one symbol a
-    round: rows are dealt, in their present order, to the symbol before them. No suffix is
-    compared or sorted again; a round only deals rows out. Rows that part in round t share
-    t - 1 symbols.
+    ``row``: index into the joined shards of every suffix that shares ``depth`` symbols with another, in merged
+    order; ``interval``: its repeated interval; ``common``: for each joined row the longest prefix, up to
+    ``depth``, that it shares with any other.
+
+    The interleave starts as the shards one after the other and is refined by one symbol a round: rows are dealt,
+    in their present order, to the symbol before them. No suffix is compared or sorted again. A row alone in its
+    interval has its place, and so have the rows that would be dealt from it: they take no part any more.
     """
     joined = np.concatenate(transforms)
     n = len(joined)
-    of = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    row = np.arange(n)
-    apart = np.zeros(n, bool)
-    apart[:1] = True
-    common = np.zeros(n, np.int16)
-    for _ in range(depth):
+    home, at = np.empty(n, np.int64), 0  # where a shard deals each of its rows
+    for t in transforms:
+        home[at + np.argsort(t, kind="stable")] = np.arange(at, at + len(t))
+        at += len(t)
+    row, interval = np.arange(n), np.zeros(n, np.int64)
+    common = np.zeros(n, np.int32)
+    for length in range(1, depth + 1):
         symbols = joined[row]
         dealt = np.argsort(symbols, kind="stable")
-        block = np.cumsum(apart)[dealt]
         symbols = symbols[dealt]
-        parted = np.ones(n, bool)
-        parted[1:] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1]) | (symbols[1:] == 0)
-        of = of[dealt]
-        row = np.empty(n, np.int64)
-        row[np.argsort(of, kind="stable")] = np.arange(n)
-        apart = parted
-        common[~apart] += 1
-        if apart.all():
+        dealt = dealt[np.searchsorted(symbols, 1) :]  # nothing goes on beyond an end mark
+        symbols = symbols[len(symbols) - len(dealt) :]
+        row, block = home[row[dealt]], interval[dealt]
+        new = np.ones(len(row) + 1, bool)
+        new[1:-1] = (symbols[1:] != symbols[:-1]) | (block[1:] != block[:-1])
+        stays = ~(new[:-1] & new[1:])
+        row, interval = row[stays], np.cumsum(new[:-1])[stays]
+        common[row] = length
+        if not len(row):
             break
-    return row, common
-
-
-def repeated_intervals(common: np.ndarray, depth: int) -> np.ndarray:
-    """Number of the interval of each row: rows of one interval share ``depth`` symbols."""
-    return np.cumsum(common < depth) - 1
+    return row, interval, common

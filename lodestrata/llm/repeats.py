@@ -14,14 +14,16 @@ Extension in two steps, neither of which makes pairs of documents:
   One occurrence of each such class (its representative) is compared passage by
   passage; what is found holds for the class.
 
-Rows for which documents are joined: (anchor, class, document, position). Hot anchors
-are split by Spark's skew join; sums are partially aggregated before any shuffle.
+Occurrences are shuffled once, by anchor, and sorted; classes are read off in one pass. A
+class that occurs often in one task is summed up there: its smallest and largest document go to
+the anchor's task, its occurrences to any task, and they meet the class's verdict in a join
+that Spark can split. So what a hot anchor sends to one task grows with tasks, not with rows.
 Equality is that of an anchor's hash and a context's or passage's hash: 128 bits.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +36,12 @@ from lodestrata.session import discard, materialise, release_shuffles
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-OCCURRENCE = "anchor long, cls long, id {id}, var int, pos int, run int"
+#: Occurrences that are combined at once before the shuffle, and from how many on a class is summed up.
+CHUNK, HEAVY = 1 << 20, 32
+#: Kinds of rows: an occurrence, a summed class's end, an occurrence of a summed class.
+PLAIN, SUMMARY, DEFERRED = 0, 1, 2
+OCCURRENCE = "key long, anchor long, cls long, id {id}, var int, at long, kind byte"
+VERDICT = "anchor long, cls long, id {id}, var int, at long, first {id}, n int, kind byte, rep boolean"
 
 
 @dataclass(frozen=True)
@@ -99,7 +106,7 @@ def anchors(h: np.ndarray, s: Scheme) -> tuple[np.ndarray, ...]:
     padded = np.concatenate((np.zeros(width - 1, np.uint64), lowest, np.zeros(width - 1, np.uint64)))
     pos = np.flatnonzero(sliding(padded, width, np.maximum) == grams)
     lo, hi = np.maximum(pos - s.context, 0), np.minimum(pos + s.length, n)
-    shape = ((pos - lo) * 1024 + (hi - pos)).astype(np.uint64)
+    shape = ((pos - lo) << 32 | (hi - pos)).astype(np.uint64)
     cls = mix(rolling.runs(lo, hi) + mix(shape + np.uint64(1)))
     anchor = grams[pos]
     first = np.ones(len(pos), bool)
@@ -115,24 +122,141 @@ def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), checksum(text).alias("var"), text.alias("text"))
 
 
+def codes_of(ids: pa.Array) -> np.ndarray:
+    """Integers in the order of the ids."""
+    if pa.types.is_integer(ids.type):
+        return ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before it."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def _combined(ids: pa.Array, var: pa.Array, doc: np.ndarray, anchor: np.ndarray, cls: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """The occurrences of a chunk of documents (``doc``: index into ids), with the classes that occur often summed up."""
+    order = np.lexsort((codes_of(ids)[doc], cls))
+    doc, anchor, cls, at = doc[order], anchor[order], cls[order], at[order]
+    starts = np.flatnonzero(_starts(cls, anchor))
+    size = np.diff(np.append(starts, len(cls)))
+    kind = np.where(np.repeat(size >= HEAVY, size), DEFERRED, PLAIN).astype(np.int8)
+    heavy = size >= HEAVY
+    ends = np.concatenate((starts[heavy], (starts + size - 1)[heavy]))  # the smallest and the largest document
+    pick = np.concatenate((np.arange(len(cls)), ends))
+    kind = np.concatenate((kind, np.full(len(ends), SUMMARY, np.int8)))
+    spread = mix((doc[pick].astype(np.uint64) << np.uint64(32)) ^ at[pick].view(np.uint64)).view(np.int64)
+    key = np.where(kind == DEFERRED, spread, anchor[pick])
+    who = pa.array(doc[pick])
+    columns = [pa.array(key), pa.array(anchor[pick]), pa.array(cls[pick]), ids.take(who), var.take(who), pa.array(at[pick]), pa.array(kind)]
+    return pa.RecordBatch.from_arrays(columns, ["key", "anchor", "cls", "id", "var", "at", "kind"])
+
+
 def occurrences(rows: DataFrame, s: Scheme) -> DataFrame:
+    """(key, anchor, cls, id, var, at, kind): ``at`` is position << 32 | run, ``key`` the hash that deals the row to a task."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def find(batches):
         hashes = s.hashes()
+        ids, var, parts, sizes, held = [], [], [], [], 0
+
+        def flush():
+            anchor, cls, pos, run = (np.concatenate(x) for x in zip(*parts, strict=True))
+            at = pos.astype(np.int64) << 32 | run
+            return _combined(pa.concat_arrays(ids), pa.concat_arrays(var), np.repeat(np.arange(len(sizes)), sizes), anchor, cls, at)
+
         for batch in batches:
-            parts, sizes = [], []
+            ids.append(batch["id"])
+            var.append(batch["var"])
             for text in texts_of(batch["text"]):
                 parts.append(anchors(hashes(text), s))
                 sizes.append(len(parts[-1][0]))
-            at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            a, c, p, r = (np.concatenate(x) for x in zip(*parts, strict=True))
-            columns = [pa.array(a), pa.array(c), batch["id"].take(at), batch["var"].take(at), pa.array(p), pa.array(r)]
-            yield pa.RecordBatch.from_arrays(columns, ["anchor", "cls", "id", "var", "pos", "run"])
+                held += sizes[-1]
+            if held >= CHUNK:
+                yield flush()
+                ids, var, parts, sizes, held = [], [], [], [], 0
+        if parts:
+            yield flush()
 
     return map_arrow(rows.where(F.col("id").isNotNull()), find, OCCURRENCE.format(id=id_type))
 
 
+def _verdicts(rows: pa.Table) -> pa.RecordBatch:
+    """Whole anchors, sorted by anchor, to what is known of their classes. Rows that can lose nothing go."""
+    anchor, ids = rows["anchor"].to_numpy(), rows["id"].combine_chunks()
+    code = codes_of(ids)
+    starts = np.flatnonzero(_starts(anchor))
+    shared = np.minimum.reduceat(code, starts) < np.maximum.reduceat(code, starts)
+    pick = np.flatnonzero(np.repeat(shared, np.diff(np.append(starts, len(anchor)))))
+    cls, at, var, kind = (rows[c].to_numpy() for c in ("cls", "at", "var", "kind"))
+    pick = pick[np.lexsort((at[pick], var[pick], code[pick], cls[pick], anchor[pick]))]
+    anchor, cls, code, kind = anchor[pick], cls[pick], code[pick], kind[pick]
+    new = _starts(anchor, cls)
+    rep = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    first = rep[of]  # the class's smallest document
+    group = np.cumsum(_starts(anchor)) - 1 if len(anchor) else anchor
+    n = np.bincount(group[rep], minlength=0)[group] if len(rep) else group
+    several = np.zeros(len(anchor), bool)
+    if len(rep):
+        heads = np.flatnonzero(_starts(group[rep]))
+        differ = np.minimum.reduceat(code[rep], heads) < np.maximum.reduceat(code[rep], heads)
+        several = differ[group]
+    n = np.where(several, n, 0)
+    keep = np.flatnonzero((code > code[first]) | several | (kind == SUMMARY))
+    named = several[keep] | (kind[keep] == SUMMARY)
+    take = pa.array(pick[keep])
+    columns = [
+        pa.array(anchor[keep], mask=~named),
+        pa.array(cls[keep], mask=~named),
+        ids.take(take),
+        rows["var"].combine_chunks().take(take),
+        pa.array(at[pick[keep]]),
+        ids.take(pa.array(pick[first[keep]])),
+        pa.array(n[keep].astype(np.int32)),
+        pa.array(kind[keep]),
+        pa.array(new[keep] & several[keep]),
+    ]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in VERDICT.split(", ")])
+
+
+def verdicts(found: DataFrame) -> DataFrame:
+    """Of anchors that documents share: (anchor, cls, id, var, at, first, n, kind, rep).
+
+    ``first``: smallest document of the class. ``n``: classes of the anchor if they can cover each other, else 0.
+    ``rep``: the class's representative. Anchor and class are null where nothing asks for them.
+    """
+    id_type = found.schema["id"].dataType.simpleString()
+
+    def judge(batches):
+        names = ["anchor", "cls", "id", "var", "at", "kind"]
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            kinds = batch["kind"].to_numpy()
+            later = batch.filter(pa.array(kinds == DEFERRED))
+            if len(later):
+                blank = [pa.nulls(len(later), later["id"].type), pa.nulls(len(later), pa.int32()), later["kind"], pa.array(np.zeros(len(later), bool))]
+                yield pa.RecordBatch.from_arrays([*(later[c] for c in names[:-1]), *blank], [c.split()[0] for c in VERDICT.split(", ")])
+            held.append(batch.filter(pa.array(kinds != DEFERRED)).select(names))
+            n += len(held[-1])
+            if n >= CHUNK:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                values = whole["anchor"].to_numpy()
+                cut = int(np.searchsorted(values, values[-1]))  # the last anchor may go on
+                if cut:
+                    yield _verdicts(whole.slice(0, cut))
+                held, n = whole.slice(cut).to_batches(), len(whole) - cut
+                n = 0 if cut else -len(whole)  # a large anchor: look again after as many rows
+        if held and sum(map(len, held)):
+            yield _verdicts(pa.Table.from_batches(held).combine_chunks())
+
+    dealt = found.repartition("key").sortWithinPartitions("anchor")
+    return map_arrow(dealt, judge, VERDICT.format(id=id_type))
+
+
 def passages(rows: DataFrame, requests: DataFrame, s: Scheme) -> DataFrame:
     """(anchor, cls, id, a, passage): the passages that start ``a`` units before each representative.
 
@@ -140,30 +264,45 @@ def passages(rows: DataFrame, requests: DataFrame, s: Scheme) -> DataFrame:
     belongs to one of its anchors, the same in all texts, so none is listed twice.
     """
     id_type = rows.schema["id"].dataType.simpleString()
-    wanted = requests.groupBy("id", "var").agg(F.collect_list(F.struct("anchor", "cls", "pos")).alias("at"))
-    joined = rows.join(wanted, ["id", "var"]).dropDuplicates(["id", "var"]).select("id", "text", "at")
-
     def expand(batches):
         hashes = s.hashes()
         for batch in batches:
             out, ids = [], []
-            for k, (text, at) in enumerate(zip(texts_of(batch["text"]), batch["at"].to_pylist(), strict=True)):
+            for k, text, at in wanted_of(batch):
                 rolling = Rolling(hashes(text))
                 whole = rolling.every(s.length).view(np.int64)
-                pos = np.array([x["pos"] for x in at], np.int64)
+                pos = at["at"] >> 32
                 before, after = reach(rolling.every(s.seed), pos, s.context)
                 a = np.arange(s.context + 1)
                 start = pos[:, None] - a[None, :]
                 ok = (start >= 0) & (start < len(whole)) & (a <= before[:, None]) & (s.context - a <= after[:, None])
                 who, which = np.nonzero(ok)
-                anchor, cls = (np.array([x[f] for x in at], np.int64)[who] for f in ("anchor", "cls"))
-                out.append((anchor, cls, which.astype(np.int8), whole[start[ok]]))
+                out.append((at["anchor"][who], at["cls"][who], which.astype(np.int32), whole[start[ok]]))
                 ids.append(np.full(len(who), k))
+            if not out:
+                continue
             at = pa.array(np.concatenate(ids))
             anchor, cls, a, passage = (pa.array(np.concatenate(x)) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([anchor, cls, batch["id"].take(at), a, passage], ["anchor", "cls", "id", "a", "passage"])
 
-    return map_arrow(joined, expand, f"anchor long, cls long, id {id_type}, a byte, passage long")
+    return map_arrow(with_requests(rows, requests), expand, f"anchor long, cls long, id {id_type}, a int, passage long")
+
+
+def with_requests(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """(id, var, text, asked): the rows that representatives come from, with their anchors."""
+    asked = F.collect_list(F.struct("anchor", "cls", "at", "n")).alias("asked")
+    return rows.join(requests.groupBy("id", "var").agg(asked), ["id", "var"])
+
+
+def wanted_of(batch: pa.RecordBatch) -> Iterator[tuple[int, bytes, dict[str, np.ndarray]]]:
+    """(row, text, arrays of the asked anchors); of repeated rows that follow each other, one."""
+    asked = batch["asked"]
+    fields = {f: asked.values.field(f).to_numpy(zero_copy_only=False) for f in ("anchor", "cls", "at", "n")}
+    ends, before = asked.offsets.to_numpy(), None
+    for k, (row, var, text) in enumerate(zip(batch["id"].to_pylist(), batch["var"].to_pylist(), texts_of(batch["text"]), strict=True)):
+        if (row, var) != before:
+            yield k, text, {f: v[ends[k] : ends[k + 1]] for f, v in fields.items()}
+        before = row, var
 
 
 def reach(grams: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,44 +320,38 @@ def reach(grams: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np
 def offsets_by_hash(rows: DataFrame, representatives: DataFrame, s: Scheme) -> DataFrame:
     """(anchor, cls, offsets): offsets of the passages that a smaller document has, found by passage hashes."""
     found = materialise(passages(rows, representatives, s), "passages")
-    release_shuffles(rows.sparkSession)
     key = ["anchor", "a", "passage"]
     smallest = found.groupBy(key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    smallest = materialise(smallest, "smallest")
-    release_shuffles(rows.sparkSession)
     covered = found.join(smallest, key).where(F.col("id") > F.col("first"))
-    return covered.groupBy("anchor", "cls").agg(F.collect_set("a").alias("offsets"))
+    out = materialise(covered.groupBy("anchor", "cls").agg(F.collect_set("a").alias("offsets")), "offsets")
+    discard(found)
+    return out
 
 
 def covered_spans(rows: DataFrame, s: Scheme, offsets: Callable[[DataFrame, DataFrame, Scheme], DataFrame] = offsets_by_hash) -> DataFrame:
     """(id, var, spans): for each document with removals, its covered ranges as start << 32 | end (ends may pass the text's)."""
     spark = rows.sparkSession
-    found = occurrences(rows, s)
-    by_anchor = found.groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    shared = materialise(by_anchor.select("anchor"), "shared-anchors")
-    release_shuffles(spark)
-    hits = materialise(found.join(shared.hint("shuffle_hash"), "anchor", "left_semi"), "hits")
-    release_shuffles(spark)
-    one = F.min(F.struct("id", "var", "pos")).alias("one")
-    classes = materialise(hits.groupBy("anchor", "cls").agg(one).select("anchor", "cls", "one.*"), "classes")
-    several = classes.groupBy("anchor").agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
-    several = several.where("n > 1 and lo < hi").select("anchor", "n")
+    hits = materialise(verdicts(occurrences(rows, s)), "hits")
     release_shuffles(spark)
-    representatives = classes.join(several, "anchor")
-    partly = materialise(offsets(rows, representatives, s), "offsets")
+    partly = offsets(rows, hits.where("rep").select("anchor", "cls", "id", "var", "at", "n"), s)
     release_shuffles(spark)
-    # Written first, so that the next join reads two plain shuffles: only such joins are split where a key is hot.
-    known = materialise(classes.select("anchor", "cls", F.col("id").alias("first")).join(partly, ["anchor", "cls"], "left"), "known")
-    applied = hits.join(known, ["anchor", "cls"]).where((F.col("id") > F.col("first")) | F.col("offsets").isNotNull())
-    last = F.col("pos") + F.col("run") - 1
-    pack = lambda lo, hi: F.shiftleft(lo.cast("long"), 32).bitwiseOR(hi.cast("long"))
-    whole = F.array(pack(F.greatest(F.col("pos") - s.context, F.lit(0)), last + s.length))
-    some = F.transform("offsets", lambda a: pack(F.col("pos") - a, last - a + s.length))
-    ranges = F.when(F.col("id") > F.col("first"), whole).otherwise(some)
-    spans = materialise(applied.select("id", "var", ranges.alias("r")).groupBy("id", "var").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
+    # A summed class's occurrences are anywhere; this join may meet hot keys and is one that Spark can split.
+    summed = hits.where(F.col("kind") == SUMMARY).select("anchor", "cls", "first", "n").dropDuplicates(["anchor", "cls"])
+    later = hits.where(F.col("kind") == DEFERRED).select("anchor", "cls", "id", "var", "at").join(summed, ["anchor", "cls"])
+    plain = hits.where(F.col("kind") == PLAIN).select("anchor", "cls", "id", "var", "at", "first", "n")
+    every = plain.unionByName(later)
+    pos = F.shiftright("at", 32)
+    last = pos + F.col("at").bitwiseAND(0xFFFFFFFF) - 1
+    pack = lambda lo, hi: F.shiftleft(lo, 32).bitwiseOR(hi)
+    whole = every.where(F.col("id") > F.col("first")).select("id", "var", pack(F.greatest(pos - s.context, F.lit(0)), last + s.length).alias("r"))
+    # Only a class's smallest document is looked up, so no key is hot here.
+    part = every.where((F.col("id") == F.col("first")) & (F.col("n") > 0)).join(partly, ["anchor", "cls"])
+    part = part.select("id", "var", pos.alias("pos"), last.alias("last"), F.explode("offsets").alias("a"))
+    part = part.select("id", "var", pack(F.col("pos") - F.col("a"), F.col("last") - F.col("a") + s.length).alias("r"))
+    spans = materialise(whole.unionByName(part).groupBy("id", "var").agg(F.collect_list("r").alias("spans")), "spans")
     release_shuffles(spark)
-    for table in (shared, hits, classes, partly, known):
-        discard(table)
+    discard(hits)
+    discard(partly)
     return spans
 
 

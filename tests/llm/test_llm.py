@@ -63,19 +63,23 @@ def removals(rows, units, length):
     return out
 
 
-@pytest.mark.parametrize("length", [50, 12])
-def test_substring_dedup(docs, length):
+@pytest.mark.parametrize("length", [50, 12, 200])
+def test_substring_dedup(spark, length):
+    long = " ".join(f"w{k * k % 97}" for k in range(260))
+    rows = [*corpus(), (109, long + " end", "en", "s", 0), (110, "start " + long, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("id", F.lit("clash"))
     expected = Counter()
-    for doc_id, u, gone in removals([(r[0], (r[1] or "").encode().split()) for r in corpus()], bytes.split, length):
+    for doc_id, u, gone in removals([(r[0], (r[1] or "").encode().split()) for r in rows], bytes.split, length):
         kept = b" ".join(w for w, g in zip(u, gone, strict=True) if not g)
         expected[doc_id, len(u), sum(gone), hashlib.sha256(kept).hexdigest()] += 1
     found = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.digests(docs, length=length).collect())
     assert found == expected and any(k[2] for k in found)
 
 
-@pytest.mark.parametrize("large", [20_000, 0])
-def test_suffix_array_dedup(docs, large, monkeypatch):
+@pytest.mark.parametrize(("large", "heavy"), [(5_000, 32), (0, 32), (5_000, 2)])
+def test_suffix_array_dedup(docs, large, heavy, monkeypatch):
     monkeypatch.setattr(suffixes, "LARGE", large)
+    monkeypatch.setattr(repeats, "HEAVY", heavy)
     expected = Counter()
     for doc_id, u, gone in removals([(r[0], (r[1] or "").encode()) for r in corpus()], None, 50):
         kept = bytes(c for c, g in zip(u, gone, strict=True) if not g)
@@ -99,16 +103,19 @@ def test_merged_transforms(seed):
     assert set(zip(owner.tolist(), offset.tolist(), strict=True)) == expected
 
 
-def test_merge_sorts_the_suffixes_of_all_shards():
+@pytest.mark.parametrize("depth", [1, 2, 4, 20])
+def test_merge_refines_the_interleave_of_all_shards(depth):
     strings = [b"banana", b"bandana", b"ananas", b"banana", b""]
     shards = [strings[:2], strings[2:]]
     built = [bwt.shard(x) for x in shards]
-    row, common = bwt.merge([t for t, _, _ in built], 20)
-    suffixes_ = [x[k][o:] for x, (_, owner, offset) in zip(shards, built, strict=True) for k, o in zip(owner, offset, strict=True)]
-    merged = [suffixes_[k] for k in row]
-    assert merged == sorted(x[k:] for x in strings for k in range(len(x) + 1))
-    for before, after, n in zip(merged, merged[1:], common[1:], strict=False):
-        assert before[:n] == after[:n] and before[n : n + 1] != after[n : n + 1] or (before == after and n == len(before))
+    row, interval, common = bwt.merge([t for t, _, _ in built], depth)
+    every = [x[k][o:] for x, (_, owner, offset) in zip(shards, built, strict=True) for k, o in zip(owner, offset, strict=True)]
+    shared = lambda x, y: next((n for n, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+    longest = [min(depth, max(shared(x, y) for j, y in enumerate(every) if j != k)) for k, x in enumerate(every)]
+    assert common.tolist() == longest
+    merged = [every[k][:depth] for k in row]
+    assert merged == sorted(x[:depth] for x, n in zip(every, longest, strict=True) if n == depth)
+    assert [x == y for x, y in zip(merged, merged[1:], strict=False)] == (interval[1:] == interval[:-1]).tolist()
 
 
 def test_anchors_are_shared_by_equal_passages():
