@@ -37,10 +37,10 @@ from lodestrata.session import discard, materialise, release_shuffles
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Occurrences that are combined at once before the shuffle, and from how many on a class is summed up.
-CHUNK, HEAVY = 1 << 20, 32
+CHUNK, HEAVY = 1 << 20, 16
 #: Kinds of rows: an occurrence, a summed class's end, an occurrence of a summed class.
 PLAIN, SUMMARY, DEFERRED = 0, 1, 2
-OCCURRENCE = "key long, anchor long, cls long, id {id}, var int, at long, kind byte"
+OCCURRENCE = "anchor long, cls long, id {id}, var int, at long, kind byte"
 VERDICT = "anchor long, cls long, id {id}, var int, at long, first {id}, n int, kind byte, rep boolean"
 
 
@@ -147,15 +147,13 @@ def _combined(ids: pa.Array, var: pa.Array, doc: np.ndarray, anchor: np.ndarray,
     ends = np.concatenate((starts[heavy], (starts + size - 1)[heavy]))  # the smallest and the largest document
     pick = np.concatenate((np.arange(len(cls)), ends))
     kind = np.concatenate((kind, np.full(len(ends), SUMMARY, np.int8)))
-    spread = mix((doc[pick].astype(np.uint64) << np.uint64(32)) ^ at[pick].view(np.uint64)).view(np.int64)
-    key = np.where(kind == DEFERRED, spread, anchor[pick])
     who = pa.array(doc[pick])
-    columns = [pa.array(key), pa.array(anchor[pick]), pa.array(cls[pick]), ids.take(who), var.take(who), pa.array(at[pick]), pa.array(kind)]
-    return pa.RecordBatch.from_arrays(columns, ["key", "anchor", "cls", "id", "var", "at", "kind"])
+    columns = [pa.array(anchor[pick]), pa.array(cls[pick]), ids.take(who), var.take(who), pa.array(at[pick]), pa.array(kind)]
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "cls", "id", "var", "at", "kind"])
 
 
 def occurrences(rows: DataFrame, s: Scheme) -> DataFrame:
-    """(key, anchor, cls, id, var, at, kind): ``at`` is position << 32 | run, ``key`` the hash that deals the row to a task."""
+    """(anchor, cls, id, var, at, kind): ``at`` is position << 32 | run."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def find(batches):
@@ -253,7 +251,8 @@ def verdicts(found: DataFrame) -> DataFrame:
         if held and sum(map(len, held)):
             yield _verdicts(pa.Table.from_batches(held).combine_chunks())
 
-    dealt = found.repartition("key").sortWithinPartitions("anchor")
+    key = F.when(F.col("kind") == DEFERRED, F.xxhash64("id", "at")).otherwise(F.col("anchor"))
+    dealt = found.repartition(key).sortWithinPartitions("anchor")
     return map_arrow(dealt, judge, VERDICT.format(id=id_type))
 
 
@@ -320,6 +319,7 @@ def reach(grams: np.ndarray, pos: np.ndarray, most: int) -> tuple[np.ndarray, np
 def offsets_by_hash(rows: DataFrame, representatives: DataFrame, s: Scheme) -> DataFrame:
     """(anchor, cls, offsets): offsets of the passages that a smaller document has, found by passage hashes."""
     found = materialise(passages(rows, representatives, s), "passages")
+    release_shuffles(rows.sparkSession)
     key = ["anchor", "a", "passage"]
     smallest = found.groupBy(key).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
     covered = found.join(smallest, key).where(F.col("id") > F.col("first"))

@@ -31,10 +31,12 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import bwt, repeats
 from lodestrata.llm.text import map_arrow, texts_of
-from lodestrata.session import discard, materialise
+from lodestrata.session import discard, materialise, release_shuffles
 
 LENGTH, SEED = 50, 16
-SHARDS, GROUP, LARGE = 4, 20_000, 5_000
+SHARDS, GROUP, LARGE = 4, 4_000, 5_000
+#: Symbols by which a round refines the interleave.
+STEP = 5
 
 
 def byte_hashes():
@@ -100,7 +102,7 @@ def repeated_starts(strings: list[bytes], ids: np.ndarray, length: int, shards:
     """(string, offset) of every ``length``-byte string that also starts in a string with a smaller id."""
     groups = [g for g in np.array_split(np.arange(len(strings)), shards) if len(g)]
     built = [bwt.shard([strings[k] for k in g]) for g in groups]
-    row, interval, _ = bwt.merge([t for t, _, _ in built], length)
+    row, interval, _ = bwt.merge([t for t, _, _ in built], length, STEP)
     if not len(row):
         return row, row
     owner = np.concatenate([g[o] for g, (_, o, _) in zip(groups, built, strict=True)])[row]
@@ -114,6 +116,7 @@ def repeated_starts(strings: list[bytes], ids: np.ndarray, length: int, shards:
 def offsets_by_merge(rows: DataFrame, representatives: DataFrame, s: repeats.Scheme) -> DataFrame:
     """(anchor, cls, offsets), as ``repeats.offsets_by_hash`` gives them."""
     strings = materialise(contexts(rows, representatives, s), "contexts")
+    release_shuffles(rows.sparkSession)
     groups = max(1, math.ceil(strings.count() / GROUP))
     dealt = strings.repartition(F.pmod("deal", F.lit(groups))).withColumn("group", F.pmod("deal", F.lit(groups))).sortWithinPartitions("group")
     half = s.context // 2
