@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -31,10 +32,16 @@ def build(app: str = "lodestrata", cores: str = "*", partitions: int = 8) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a temporary one only where it is unset."""
+    """The folder that driver and executors share, as the session names it.
+
+    Where it is unset, a temporary one in local mode; on a cluster an error, as executors would write to their own disks.
+    """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_KEY} has to name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
@@ -42,9 +49,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package through Spark's own file server (once for an application; not needed in local mode)."""
+    """Give executors this package through Spark's own file server, once for an application."""
     context = spark.sparkContext
-    if context.applicationId in _shipped or context.master.startswith("local["):
+    if context.applicationId in _shipped:
         return
     top = os.path.dirname(os.path.abspath(__file__))
     packed = io.BytesIO()
@@ -86,8 +93,13 @@ def discard(df: DataFrame) -> None:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more.
+
+    The listeners of a query that has just ended still hold its plan, so the second call follows when they have let go.
+    """
     import gc
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for wait in (0.3, 0.0):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(wait)
