@@ -28,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.text import checksum, map_arrow, texts_of
@@ -36,12 +36,12 @@ from lodestrata.session import discard, materialise, release_shuffles
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: Occurrences that are combined at once before the shuffle, and from how many on a class is summed up.
+#: Occurrences that are combined at once before the shuffle, and from how many documents on a class is summed up.
 CHUNK, HEAVY = 1 << 20, 16
 #: Kinds of rows: an occurrence, a summed class's end, an occurrence of a summed class.
 PLAIN, SUMMARY, DEFERRED = 0, 1, 2
-OCCURRENCE = "anchor long, cls long, id {id}, var int, at long, kind byte"
-VERDICT = "anchor long, cls long, id {id}, var int, at long, first {id}, n int, kind byte, rep boolean"
+OCCURRENCE = "anchor long, cls long, id {id}, var int, at long, more array<bigint>, kind byte"
+VERDICT = "anchor long, cls long, id {id}, var int, at long, more array<bigint>, first {id}, n int, kind byte, rep boolean"
 
 
 @dataclass(frozen=True)
@@ -116,10 +116,16 @@ def anchors(h: np.ndarray, s: Scheme) -> tuple[np.ndarray, ...]:
     return anchor[at].view(np.int64), cls[at].view(np.int64), pos[at].astype(np.int32), run.astype(np.int32)
 
 
+def telling(docs: DataFrame, id_col: str, text: Column) -> Column:
+    """What tells rows with equal ids apart: the text's checksum, or nothing where no id is there twice."""
+    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
+    return checksum(text) if repeated.limit(1).count() else F.lit(0)
+
+
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, var (checksum of the text, tells rows with equal ids apart), text (binary)."""
+    """id, var (see ``telling``), text (binary)."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.col(id_col).alias("id"), checksum(text).alias("var"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("id"), telling(docs, id_col, text).alias("var"), text.alias("text"))
 
 
 def codes_of(ids: pa.Array) -> np.ndarray:
@@ -138,22 +144,28 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 def _combined(ids: pa.Array, var: pa.Array, doc: np.ndarray, anchor: np.ndarray, cls: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     """The occurrences of a chunk of documents (``doc``: index into ids), with the classes that occur often summed up."""
-    order = np.lexsort((codes_of(ids)[doc], cls))
+    order = np.lexsort((at, codes_of(ids)[doc], cls))
     doc, anchor, cls, at = doc[order], anchor[order], cls[order], at[order]
+    own = _starts(cls, anchor, doc)
+    one = np.flatnonzero(own)  # a row for each class and document
+    sizes = np.diff(np.append(one, len(cls))) - 1
+    doc, anchor, cls = doc[one], anchor[one], cls[one]
     starts = np.flatnonzero(_starts(cls, anchor))
     size = np.diff(np.append(starts, len(cls)))
-    kind = np.where(np.repeat(size >= HEAVY, size), DEFERRED, PLAIN).astype(np.int8)
     heavy = size >= HEAVY
     ends = np.concatenate((starts[heavy], (starts + size - 1)[heavy]))  # the smallest and the largest document
     pick = np.concatenate((np.arange(len(cls)), ends))
-    kind = np.concatenate((kind, np.full(len(ends), SUMMARY, np.int8)))
+    kind = np.concatenate((np.where(np.repeat(heavy, size), DEFERRED, PLAIN), np.full(len(ends), SUMMARY))).astype(np.int8)
     who = pa.array(doc[pick])
-    columns = [pa.array(anchor[pick]), pa.array(cls[pick]), ids.take(who), var.take(who), pa.array(at[pick]), pa.array(kind)]
-    return pa.RecordBatch.from_arrays(columns, ["anchor", "cls", "id", "var", "at", "kind"])
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate((sizes, np.zeros(len(ends), np.int64)))))).astype(np.int32)
+    none = np.concatenate((sizes == 0, np.ones(len(ends), bool)))
+    more = pa.ListArray.from_arrays(pa.array(offsets), pa.array(at[~own]), mask=pa.array(none))
+    columns = [pa.array(anchor[pick]), pa.array(cls[pick]), ids.take(who), var.take(who), pa.array(at[one][pick]), more, pa.array(kind)]
+    return pa.RecordBatch.from_arrays(columns, ["anchor", "cls", "id", "var", "at", "more", "kind"])
 
 
 def occurrences(rows: DataFrame, s: Scheme) -> DataFrame:
-    """(anchor, cls, id, var, at, kind): ``at`` is position << 32 | run."""
+    """(anchor, cls, id, var, at, more, kind): ``at`` is position << 32 | run, ``more`` has the document's others of the class."""
     id_type = rows.schema["id"].dataType.simpleString()
 
     def find(batches):
@@ -212,6 +224,7 @@ def _verdicts(rows: pa.Table) -> pa.RecordBatch:
         ids.take(take),
         rows["var"].combine_chunks().take(take),
         pa.array(at[pick[keep]]),
+        rows["more"].combine_chunks().take(take),
         ids.take(pa.array(pick[first[keep]])),
         pa.array(n[keep].astype(np.int32)),
         pa.array(kind[keep]),
@@ -221,7 +234,7 @@ def _verdicts(rows: pa.Table) -> pa.RecordBatch:
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """Of anchors that documents share: (anchor, cls, id, var, at, first, n, kind, rep).
+    """Of anchors that documents share: (anchor, cls, id, var, at, more, first, n, kind, rep).
 
     ``first``: smallest document of the class. ``n``: classes of the anchor if they can cover each other, else 0.
     ``rep``: the class's representative. Anchor and class are null where nothing asks for them.
@@ -229,7 +242,7 @@ def verdicts(found: DataFrame) -> DataFrame:
     id_type = found.schema["id"].dataType.simpleString()
 
     def judge(batches):
-        names = ["anchor", "cls", "id", "var", "at", "kind"]
+        names = ["anchor", "cls", "id", "var", "at", "more", "kind"]
         held: list[pa.RecordBatch] = []
         n = 0
         for batch in batches:
@@ -337,18 +350,19 @@ def covered_spans(rows: DataFrame, s: Scheme, offsets: Callable[[DataFrame, Data
     release_shuffles(spark)
     # A summed class's occurrences are anywhere; this join may meet hot keys and is one that Spark can split.
     summed = hits.where(F.col("kind") == SUMMARY).select("anchor", "cls", "first", "n").dropDuplicates(["anchor", "cls"])
-    later = hits.where(F.col("kind") == DEFERRED).select("anchor", "cls", "id", "var", "at").join(summed, ["anchor", "cls"])
-    plain = hits.where(F.col("kind") == PLAIN).select("anchor", "cls", "id", "var", "at", "first", "n")
+    later = hits.where(F.col("kind") == DEFERRED).select("anchor", "cls", "id", "var", "at", "more").join(summed, ["anchor", "cls"])
+    plain = hits.where(F.col("kind") == PLAIN).select("anchor", "cls", "id", "var", "at", "more", "first", "n")
     every = plain.unionByName(later)
-    pos = F.shiftright("at", 32)
-    last = pos + F.col("at").bitwiseAND(0xFFFFFFFF) - 1
+    places = F.concat(F.array("at"), F.coalesce("more", F.array().cast("array<bigint>")))
+    pos = lambda x: F.shiftright(x, 32)
+    end = lambda x: pos(x) + x.bitwiseAND(0xFFFFFFFF) - 1 + s.length
     pack = lambda lo, hi: F.shiftleft(lo, 32).bitwiseOR(hi)
-    whole = every.where(F.col("id") > F.col("first")).select("id", "var", pack(F.greatest(pos - s.context, F.lit(0)), last + s.length).alias("r"))
+    whole = F.transform(places, lambda x: pack(F.greatest(pos(x) - s.context, F.lit(0)), end(x)))
+    whole = every.where(F.col("id") > F.col("first")).select("id", "var", whole.alias("r"))
     # Only a class's smallest document is looked up, so no key is hot here.
     part = every.where((F.col("id") == F.col("first")) & (F.col("n") > 0)).join(partly, ["anchor", "cls"])
-    part = part.select("id", "var", pos.alias("pos"), last.alias("last"), F.explode("offsets").alias("a"))
-    part = part.select("id", "var", pack(F.col("pos") - F.col("a"), F.col("last") - F.col("a") + s.length).alias("r"))
-    spans = materialise(whole.unionByName(part).groupBy("id", "var").agg(F.collect_list("r").alias("spans")), "spans")
+    part = part.select("id", "var", F.flatten(F.transform("offsets", lambda a: F.transform(places, lambda x: pack(pos(x) - a, end(x) - a)))).alias("r"))
+    spans = materialise(whole.unionByName(part).groupBy("id", "var").agg(F.flatten(F.collect_list("r")).alias("spans")), "spans")
     release_shuffles(spark)
     discard(hits)
     discard(partly)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm import repeats
-from lodestrata.llm.text import checksum, map_arrow, texts_of
+from lodestrata.llm.text import map_arrow, texts_of
 
 LENGTH, SEED = 50, 12
 _CACHE = 300_000
@@ -87,12 +87,12 @@ def digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with the repeated words cut from their texts; a text without removals stays as it is, one with no word left goes."""
+    """``docs`` with the repeated words cut from their texts; a text without removals (a null one too) stays as it is, one with no word left goes."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), checksum(text).alias("var"), text.alias("text"))
-    rows = rows.withColumn("row", F.col("row").withField(text_col, F.lit(None).cast("string")))
-    out = _cut(rows, scheme(length), ["row", "text"])
-    left = F.decode(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), "UTF-8")
+    var = repeats.telling(docs, id_col, text)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), var.alias("var"), text.alias("text"), F.col(text_col).isNull().alias("none"))
+    rows = rows.withColumn("row", F.col("row").withField(f"`{text_col}`", F.lit(None).cast("string")))
+    out = _cut(rows, scheme(length), ["row", "text", "none"])
+    left = F.when(~F.col("none"), F.decode(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")), "UTF-8"))
     kept = out.where((F.col("n_removed") == 0) | (F.length("kept") > 0))
-    return kept.select(F.col("row").withField(text_col, left).alias("row")).select("row.*").select(docs.columns)
-
+    return kept.select(F.col("row").withField(f"`{text_col}`", left).alias("row")).select("row.*").select(*(f"`{c}`" for c in docs.columns))
