@@ -7,8 +7,9 @@ match contains a piece unchanged. All pieces of all items are searched in one pa
 an Aho-Corasick automaton; each hit fixes where the item would lie, and there the edit
 distance of the item to its best substring is computed in bit-parallel columns.
 
-Items are read in blocks of ``ITEM_BLOCK``, and each block's automaton is broadcast, so
-driver and executors hold a block at most; every block is matched with all documents.
+Items are read in blocks of at most ``ITEM_BLOCK`` items and ``BLOCK_CHARS`` characters, and each block is broadcast, so
+driver and executors hold a block at most; every block is matched with all documents, and a Python worker
+builds its automaton once.
 
 Defined results: null or blank texts and items match nothing. Equal items are one item for each id.
 Items too short for an error must stand between non-letters. Repeated rows are
@@ -17,17 +18,19 @@ reported once each. An empty table on either side gives an empty result.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestrata.llm.text import map_arrow
 
-CHARS_PER_ERROR, ITEM_BLOCK = 24, 20_000
+CHARS_PER_ERROR, ITEM_BLOCK, BLOCK_CHARS = 24, 20_000, 8_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -123,6 +126,30 @@ class Matcher:
         return out
 
 
+def blocks_of(items: Iterable[tuple], item_block: int) -> Iterator[list[tuple]]:
+    """(id, text) pairs in lists of bounded number and size."""
+    block, size = [], 0
+    for item in items:
+        block.append(item)
+        size += len(item[1])
+        if len(block) >= item_block or size >= BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+_built: dict[str, Matcher] = {}
+
+
+def _matcher(token: str, block: list[tuple], chars_per_error: int) -> Matcher:
+    """The matcher of a block: the tasks of a Python worker share it, the last one is kept."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = Matcher(block, chars_per_error)
+    return _built[token]
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -143,19 +170,17 @@ def contamination(
     items = benchmark.select(F.col(item_id_col).alias("item"), F.col(item_text_col).alias("text")).distinct().orderBy("item", "text")
     source = ((r["item"], normalise(r["text"])) for r in items.toLocalIterator())
     source = (x for x in source if x[1])
-    found = []
-    while block := list(islice(source, item_block)):
-        found.append(_match(rows, block, chars_per_error, schema))
+    item_type = to_arrow_type(benchmark.schema[item_id_col].dataType)
+    found = [_match(rows, block, chars_per_error, schema, item_type) for block in blocks_of(source, item_block)]
     out = reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
     return out.withColumnsRenamed({"id": id_col})
 
 
-def _match(rows: DataFrame, block: list[tuple], chars_per_error: int, schema: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(block)
-    item_type = pa.array([x[0] for x in block]).type
+def _match(rows: DataFrame, block: list[tuple], chars_per_error: int, schema: str, item_type: pa.DataType) -> DataFrame:
+    shared, token = rows.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
     def match(batches):
-        matcher = Matcher(shared.value, chars_per_error)
+        matcher = _matcher(token, shared.value, chars_per_error)
         for batch in batches:
             at, found = [], []
             for k, text in enumerate(batch["text"].to_pylist()):
@@ -169,17 +194,17 @@ def _match(rows: DataFrame, block: list[tuple], chars_per_error: int, schema: st
     return map_arrow(rows, match, schema)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_text_col: str = "text", chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
     """The rows of ``docs`` in which no item is found, with all their columns."""
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col("text").alias("t")).distinct()
+    items = benchmark.select(F.col(item_text_col).alias("t")).distinct()
     source = (normalise(r["t"]) for r in items.toLocalIterator())
     source = ((n, x) for n, x in enumerate(source) if x)
-    while block := list(islice(source, ITEM_BLOCK)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    for block in blocks_of(source, ITEM_BLOCK):
+        shared, token = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def clean(batches, shared=shared):
-            matcher = Matcher(shared.value, chars_per_error)
+        def clean(batches, shared=shared, token=token):
+            matcher = _matcher(token, shared.value, chars_per_error)
             for batch in batches:
                 ok = [not matcher.find(normalise(text)) for text in batch["text"].to_pylist()]
                 yield batch.filter(pa.array(ok, pa.bool_()))

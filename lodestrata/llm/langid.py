@@ -13,7 +13,7 @@ from equal probabilities. Training rows are a documented sample: about
 is scored on its whole text.
 
 Defined results: null text, or text without a letter: ``und`` with score 0. No
-labelled row at all: ``und``. Null ids are in no held-out fold and may train.
+labelled row at all: ``und``. Words of any length train and are scored whole. Null ids are in no held-out fold and may train.
 Ties go to the first language in alphabetical order. Extra columns are ignored.
 """
 
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.text import map_arrow
-from lodestrata.session import materialise
+from lodestrata.session import discard, materialise
 
 ROWS_PER_LANGUAGE, ROUNDS, SMOOTHING = 2000, 2, 0.05
 #: The model is broadcast: (pieces + 1) x languages doubles. 50,256 pieces and 512 languages are 206 MB.
@@ -110,6 +110,8 @@ def piece_table(path: str) -> tuple[dict[bytes, int], int, PieceIndex]:
 def expected_counts(word: bytes, pieces: dict[bytes, int], longest: int, p: np.ndarray) -> list[tuple[int, float]]:
     """(piece, expected uses) over the word's segmentations."""
     n = len(word)
+    if n > LONG_WORD:
+        return _expected_long(word, pieces, longest, p)
     forward = [0.0] * (n + 1)
     forward[0] = 1.0
     found = []
@@ -132,6 +134,35 @@ def expected_counts(word: bytes, pieces: dict[bytes, int], longest: int, p: np.n
     return out
 
 
+def _expected_long(word: bytes, pieces: dict[bytes, int], longest: int, p: np.ndarray) -> list[tuple[int, float]]:
+    """The same in logarithms, for words whose probability would underflow."""
+    n = len(word)
+    ends: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]  # pieces by where they end
+    for i in range(n):
+        for j in range(i + 1, min(n, i + longest) + 1):
+            piece = pieces.get(word[i:j])
+            if piece is not None and p[piece] > 0:
+                ends[j].append((i, piece, math.log(p[piece])))
+    forward = [0.0] + [-math.inf] * n
+    for j in range(1, n + 1):
+        forward[j] = _log_sum([forward[i] + q for i, _, q in ends[j]])
+    if forward[n] == -math.inf:
+        return []
+    later: list[list[float]] = [[] for _ in range(n)] + [[0.0]]
+    out = []
+    for j in range(n, 0, -1):
+        after = _log_sum(later[j])
+        for i, piece, q in ends[j]:
+            later[i].append(q + after)
+            out.append((piece, math.exp(forward[i] + q + after - forward[n])))
+    return out
+
+
+def _log_sum(values: list[float]) -> float:
+    top = max(values, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
+
 def score_words(words: list[bytes], pieces: dict[bytes, int], longest: int, p: np.ndarray, index: PieceIndex | None = None) -> np.ndarray:
     """Log probability of every word under every language. ``p``: pieces + 1 rows, the last zero."""
     index = index or PieceIndex(pieces)
@@ -157,6 +188,8 @@ def score_words(words: list[bytes], pieces: dict[bytes, int], longest: int, p: n
                     if which.size:
                         forward[j, which] += forward[i, which] * p[piece]
             out[at] = np.log(np.maximum(forward[n], 1e-300))
+            for k in np.flatnonzero((forward[n] < 1e-290).any(axis=1)).tolist():
+                out[at[k]] = _score_long(words[at[k]], pieces, longest, p)
     return out
 
 
@@ -225,18 +258,18 @@ def train(
             sums: dict[tuple[int, int], float] = {}
             for batch in batches:
                 for k, word, n in zip(*(batch[c].to_pylist() for c in ("k", "word", "n")), strict=True):
-                    for piece, uses in expected_counts((b" " + word)[:LONG_WORD], table, longest, p[:, k]):
+                    for piece, uses in expected_counts(b" " + word, table, longest, p[:, k]):
                         sums[k, piece] = sums.get((k, piece), 0.0) + n * uses
             k, piece = zip(*sums, strict=True) if sums else ((), ())
             arrays = [pa.array(k, pa.int32()), pa.array(piece, pa.int32()), pa.array(sums.values(), pa.float64())]
             yield pa.RecordBatch.from_arrays(arrays, ["k", "piece", "n"])
 
-        rows = map_arrow(words, expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).collect()
+        rows = map_arrow(words, expect, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()  # at most pieces x languages
         shared.unpersist()
         p = np.full((len(pieces), len(languages)), SMOOTHING)
-        for r in rows:  # at most pieces x languages
-            p[r["piece"], r["k"]] += r["n"]
+        p[rows["piece"].to_numpy(), rows["k"].to_numpy()] += rows["n"].to_numpy()
         p /= p.sum(axis=0)
+    discard(words)
     return languages, np.vstack([p, np.zeros((1, len(languages)))])
 
 
@@ -288,5 +321,5 @@ def identify(
             columns = [*(batch[n] for n in names), pa.array(langs, pa.string()), pa.array(best, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given) + ", lang_pred string, score double"
     return map_arrow(rows, predict, schema).withColumnRenamed("id", id_col)

@@ -1,10 +1,14 @@
 """Licence scan by sentence rules.
 
-A text is cut into sentences, each is normalised (lower case, punctuation to spaces) and
-mapped to the identifier of a known licence sentence; the sequence of identifiers is then
-matched against the licence rules in their order. A rule is a sequence of identifiers that
-must follow each other (other sentences that look like licence text may not come between,
-ordinary prose may). A match uses its identifiers up; the next rules see what is left.
+A text is cut into sentences, each is normalised (lower case, other characters than letters and digits to
+blanks, a plus after a version to "or later") and looked up in a table of known licence sentences, each with an
+identifier. A table entry is a run of words; a sentence has its identifier if it holds the run at word
+boundaries. Of entries that overlap the leftmost wins, of those that begin alike the longest. All entries
+are found in one pass by an automaton, so every sentence is looked up and none is screened out before.
+
+The sequence of identifiers is then matched against the licence rules in their order. A rule is a sequence of
+identifiers; unknown sentences, prose and copyright lines may stand between them, another known sentence may not. A match uses its
+identifiers up; the next rules see what is left.
 
 Defined results: null or empty text, and text with neither a licence word nor a known sentence: no licence (null)
 and no identifiers. Licences of a text are distinct and in alphabetical order.
@@ -14,149 +18,164 @@ Repeated rows are scanned once each. An empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from itertools import product
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.text import map_arrow
 
-# Sentences of public licence texts, normalised, as patterns.
-SENTENCES = (
-    ("apache-2-named", r"licensed under (?:the )?apache (?:license|licence|software license)? ?(?:version )?2 0"),
-    ("apache-2-copy", r"you may obtain a copy of the license at"),
-    ("apache-2-asis", r"unless required by applicable law or agreed to in writing software"),
-    ("mit-named", r"(?:released|licensed|available|distributed) under (?:the )?(?:terms of the )?(?:mit|expat) (?:license|licence)"),
-    ("mit-grant", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit-notice", r"the above copyright notice and this permission notice shall be included in all"),
-    ("mit-asis", r"the software is provided as is without warranty of any kind express or implied"),
-    ("isc-grant", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-named-2", r"under (?:the )?(?:terms of the )?(?:simplified bsd|bsd 2 clause|2 clause bsd) (?:license|licence)"),
-    ("bsd-named-3", r"under (?:the )?(?:terms of the )?(?:new bsd|modified bsd|bsd 3 clause|3 clause bsd) (?:license|licence)"),
-    ("bsd-grant", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-source", r"redistributions of source code must retain the above copyright notice"),
-    ("bsd-binary", r"redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-endorse", r"may be used to endorse or promote products derived from"),
-    ("bsd-asis", r"this software is provided by the .*as is and any express or implied warranties"),
-    ("agpl-3-named", r"gnu affero general public (?:license|licence) ?(?:as published by the free software foundation )?(?:either )?(?:version|v) ?3"),
-    ("lgpl-3-named", r"gnu lesser general public (?:license|licence) ?(?:as published by the free software foundation )?(?:either )?(?:version|v) ?3"),
-    ("lgpl-2-named", r"gnu (?:lesser|library) general public (?:license|licence) ?(?:as published by the free software foundation )?(?:either )?(?:version|v) ?2"),
-    ("gpl-3-named", r"gnu general public (?:license|licence) ?(?:as published by the free software foundation )?(?:either )?(?:version|v) ?3"),
-    ("gpl-2-named", r"gnu general public (?:license|licence) ?(?:as published by the free software foundation )?(?:either )?(?:version|v) ?2"),
-    ("gpl-named", r"gnu general public (?:license|licence)"),
-    ("gpl-later", r"or at your option any later version"),
-    ("mpl-2-named", r"mozilla public (?:license|licence) ?(?:v|version)? ?2 0"),
-    ("epl-2-named", r"eclipse public (?:license|licence) ?(?:v|version)? ?2 0"),
-    ("cc0-named", r"(?:cc0 1 0|creative commons zero)"),
-    ("cc-by-nc-sa-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc sa ?\d? ?\d?|creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc-nd-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc nd ?\d? ?\d?|creative commons attribution non ?commercial no ?deriv(?:ative)?s"),
-    ("cc-by-nc-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nc ?\d? ?\d?|creative commons attribution non ?commercial"),
-    ("cc-by-sa-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by sa ?\d? ?\d?|creative commons attribution share ?alike"),
-    ("cc-by-nd-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by nd ?\d? ?\d?|creative commons attribution no ?deriv(?:ative)?s"),
-    ("cc-by-named", r"(?:under|license|licence) (?:the )?(?:cc|creative commons) by ?\d? ?\d?|creative commons attribution"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", r"(?:dedicated|released|placed) (?:to|into|in) the public domain"),
-    ("reserved", r"all rights reserved"),
-    ("copyright", r"copyright (?:c )?\d{4}"),
+# Sentences of public licence texts, normalised, up to where the texts of their versions part.
+TEXTS = {
+    "apache-2-copy": ("you may obtain a copy of the license at",),
+    "apache-2-asis": ("unless required by applicable law or agreed to in writing software",),
+    "mit-grant": ("permission is hereby granted free of charge to any person obtaining a copy",),
+    "mit-notice": ("the above copyright notice and this permission notice shall be included in all",),
+    "mit-asis": ("the software is provided as is without warranty of any kind express or implied",),
+    "isc-grant": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted",
+    ),
+    "bsd-grant": ("redistribution and use in source and binary forms with or without modification are permitted",),
+    "bsd-source": ("redistributions of source code must retain the above copyright notice",),
+    "bsd-binary": ("redistributions in binary form must reproduce the above copyright notice",),
+    "bsd-endorse": ("may be used to endorse or promote products derived from",),
+    "bsd-asis": ("as is and any express or implied warranties",),
+    "later": ("or at your option any later version", "or any later version"),
+    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "public-domain": tuple(f"{verb} {to} the public domain" for verb, to in product(("dedicated", "released", "placed"), ("to", "into", "in"))),
+    "reserved": ("all rights reserved",),
+}
+
+_versions = lambda v: (f"version {v}", f"v{v}", f"v {v}", str(v), f"version {v} 0", f"v{v} 0", f"{v} 0")
+_gnu = lambda name, v: tuple(
+    f"gnu {name} general public {word}{by}{either} {at}".replace("  ", " ")
+    for word, by, either, at in product(("license", "licence"), ("", " as published by the free software foundation"), ("", " either"), _versions(v))
 )
-
-# SPDX identifiers, normalised, with the licence of each.
-SPDX = {
-    "mit": "MIT", "apache 2 0": "Apache-2.0", "isc": "ISC", "bsd 2 clause": "BSD-2-Clause", "bsd 3 clause": "BSD-3-Clause",
-    "mpl 2 0": "MPL-2.0", "epl 2 0": "EPL-2.0", "cc0 1 0": "CC0-1.0", "unlicense": "Unlicense",
-    **{f"{g} {v} 0{end}": f"{g.upper()}-{v}.0{kind}" for g, v in (("agpl", 3), ("lgpl", 3), ("gpl", 3), ("gpl", 2)) for end, kind in (("", ""), (" only", ""), (" or later", "-or-later"))},
-    **{f"lgpl 2 {k}{end}": f"LGPL-2.1{kind}" for k in (0, 1) for end, kind in (("", ""), (" only", ""), (" or later", "-or-later"))},
-    **{f"cc {kind} {v}": f"CC-{kind.upper().replace(' ', '-')}" for kind in ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd") for v in ("1 0", "2 0", "2 5", "3 0", "4 0")},
+_cc_terms = {
+    "by": "attribution", "by-sa": "attribution share alike", "by-nd": "attribution no derivatives", "by-nc": "attribution non commercial",
+    "by-nc-sa": "attribution non commercial share alike", "by-nc-nd": "attribution non commercial no derivatives",
 }
+_spelt = lambda x: {x, x.replace("share alike", "sharealike"), x.replace("non commercial", "noncommercial"), x.replace("share alike", "sharealike").replace("non commercial", "noncommercial"), x.replace("no derivatives", "noderivatives").replace("non commercial", "noncommercial")}
+
+# Full names, which need no introduction, by licence.
+NAMES = {
+    "MIT": ("mit license", "mit licence", "expat license", "expat licence"),
+    "Apache-2.0": tuple(f"apache {word}{v}" for word, v in product(("license", "licence", "software license"), (" version 2 0", " v2 0", " 2 0", " version 2", " v2", " 2"))),
+    "ISC": ("isc license", "isc licence"),
+    "BSD-2-Clause": ("simplified bsd license", "bsd 2 clause license", "2 clause bsd license"),
+    "BSD-3-Clause": ("new bsd license", "modified bsd license", "bsd 3 clause license", "3 clause bsd license"),
+    "MPL-2.0": tuple(f"mozilla public {word} {v}" for word, v in product(("license", "licence"), _versions(2))),
+    "EPL-2.0": tuple(f"eclipse public {word} {v}" for word, v in product(("license", "licence"), _versions(2))),
+    "AGPL-3.0": _gnu("affero", 3),
+    "LGPL-3.0": _gnu("lesser", 3),
+    "LGPL-2.1": (*_gnu("lesser", 2), *_gnu("library", 2), *(f"gnu lesser general public license {v}" for v in ("version 2 1", "v2 1", "2 1"))),
+    "GPL-3.0": _gnu("", 3),
+    "GPL-2.0": _gnu("", 2),
+    "GPL": ("gnu general public license", "gnu general public licence"),
+    "CC0-1.0": ("cc0 1 0", "creative commons zero", "cc0 1 0 universal"),
+    "Unlicense": ("the unlicense",),
+    **{f"CC-{k.upper()}": tuple(f"creative commons {x}{v}" for x in sorted(_spelt(terms)) for v in ("", " 1 0", " 2 0", " 2 5", " 3 0", " 4 0")) for k, terms in _cc_terms.items()},
+}
+
+# Short names and public identifiers, which count only where a sentence introduces them, by licence.
+SHORT = {
+    "MIT": ("mit", "expat"), "Apache-2.0": ("apache 2 0", "apache 2", "apache v2"), "ISC": ("isc",), "BSD-2-Clause": ("bsd 2 clause",),
+    "BSD-3-Clause": ("bsd 3 clause",), "MPL-2.0": ("mpl 2 0", "mpl v2", "mpl 2"), "EPL-2.0": ("epl 2 0",), "CC0-1.0": ("cc0 1 0", "cc0"), "Unlicense": ("unlicense",),
+    **{f"{g}-{v}": tuple(f"{g.lower()}{at}{only}" for at in (f" {v.replace('.', ' ')}", f" v{v[0]}", f"v{v[0]}", f" {v[0]}") for only in ("", " only"))
+       for g, v in (("AGPL", "3.0"), ("LGPL", "3.0"), ("LGPL", "2.1"), ("GPL", "3.0"), ("GPL", "2.0"))},
+    **{f"CC-{k.upper()}": tuple(f"cc {k.replace('-', ' ')}{v}" for v in ("", " 1 0", " 2 0", " 2 5", " 3 0", " 4 0")) for k in _cc_terms},
+}
+
+# What introduces a short name, and what may follow one that has no introduction.
+BEFORE = ("spdx license identifier", "license", "licence", *(f"{verb}under {the}".strip() for verb, the in product(("licensed ", "released ", "available ", "distributed ", ""), ("", "the", "the terms of the"))))
+AFTER = ("licensed", "license", "licence")
+# Fixed value: licences whose version may be followed by "or any later version".
+WITH_LATER = ("AGPL-3.0", "LGPL-3.0", "LGPL-2.1", "GPL-3.0", "GPL-2.0")
 
 # Licence rules in the order in which they are tried.
 RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("MIT", ("mit-grant", "mit-notice")),
-    ("MIT", ("mit-named",)),
-    ("Apache-2.0", ("apache-2-named",)),
+    ("MIT", ("MIT", "mit-grant")),
     ("ISC", ("isc-grant",)),
-    ("BSD-2-Clause", ("bsd-named-2",)),
-    ("BSD-3-Clause", ("bsd-named-3",)),
-    ("AGPL-3.0-or-later", ("agpl-3-named", "gpl-later")),
-    ("AGPL-3.0", ("agpl-3-named",)),
-    ("LGPL-3.0-or-later", ("lgpl-3-named", "gpl-later")),
-    ("LGPL-3.0", ("lgpl-3-named",)),
-    ("LGPL-2.1-or-later", ("lgpl-2-named", "gpl-later")),
-    ("LGPL-2.1", ("lgpl-2-named",)),
-    ("GPL-3.0-or-later", ("gpl-3-named", "gpl-later")),
-    ("GPL-3.0", ("gpl-3-named",)),
-    ("GPL-2.0-or-later", ("gpl-2-named", "gpl-later")),
-    ("GPL-2.0", ("gpl-2-named",)),
-    ("GPL", ("gpl-named",)),
-    ("MPL-2.0", ("mpl-2-named",)),
-    ("EPL-2.0", ("epl-2-named",)),
-    ("CC0-1.0", ("cc0-named",)),
-    ("CC-BY-NC-SA", ("cc-by-nc-sa-named",)),
-    ("CC-BY-NC-ND", ("cc-by-nc-nd-named",)),
-    ("CC-BY-NC", ("cc-by-nc-named",)),
-    ("CC-BY-SA", ("cc-by-sa-named",)),
-    ("CC-BY-ND", ("cc-by-nd-named",)),
-    ("CC-BY", ("cc-by-named",)),
+    *((f"{name}-or-later", (name, "later")) for name in WITH_LATER),
+    *((f"{name}-or-later", (f"{name}-or-later",)) for name in WITH_LATER),
+    *((name, (name,)) for name in NAMES),
     ("Unlicense", ("unlicense",)),
     ("Public-Domain", ("public-domain",)),
     ("All-Rights-Reserved", ("reserved",)),
-    *((name, (f"spdx-{name}",)) for name in sorted(set(SPDX.values()))),
 )
 
-UNKNOWN = "unknown"
-_hint = re.compile(r"licen[sc]e|permission|redistribut|copyright|warrant|public domain|rights reserved|mpl|cc0", re.IGNORECASE)
-# The colon of an SPDX line ends no sentence.
-_ends = re.compile(r"(?<=[.!?;:])(?<!(?i:spdx-license-identifier:))\s+|\n\s*\n")
+UNKNOWN, COPYRIGHT = "unknown", "copyright"
+#: A sentence without an identifier is reported as unknown if it has one of these.
+_licence_word = re.compile(r"licen[sc]e|permission|redistribut|copyright|warrant|public domain|rights reserved", re.IGNORECASE)
+_year = re.compile(r"  copyright  (?:c  )?\d{4}  ")
+# The colon of a tag ends no sentence.
+_ends = re.compile(r"(?<=[.!?;:])(?<!(?i:identifier:))(?<!(?i:licen[sc]e:))\s+|\n\s*\n")
 _other = re.compile(r"[^a-z0-9]+")
-_spdx_name = "(?:" + "|".join(sorted(SPDX, key=len, reverse=True)) + r")\b"
-_spdx_names = re.compile(_spdx_name)
 _later = re.compile(r"(?<=\d)\+")
-_named = re.compile(
-    "|".join(f"(?P<s{k}>{p})" for k, (_, p) in enumerate(SENTENCES))
-    + rf"|(?P<spdx>spdx license identifier {_spdx_name}(?: (?:with (?:\w+ ){{1,8}}?)?(?:or|and) {_spdx_name})*)"
-)
-#: Each pattern's match has one of these; a text without any has no match.
-LITERALS = ("licen", "permission", "redistribut", "copyright", "warrant", "public domain", "rights reserved", "any later version", "endorse or promote", "applicable law", "cc0", "creative commons", "cc by")
+#: Parts of an expression of public identifiers.
+_joined = re.compile(r"  (?:and|or)(?=  (?!later  |at  |any  ))")
+
+
+def normalise(sentence: str) -> str:
+    """Words between two blanks each, with two at the ends, so that entries at word boundaries never share a blank."""
+    words = _other.sub("  ", _later.sub(" or later", sentence.lower())).strip()
+    return f"  {words}  "
+
+
+def table() -> dict[str, str]:
+    """Identifier of every known run of words."""
+    out = {}
+    for name, shorts in SHORT.items():
+        for short, kind in product(shorts, ("", " or later") if name in WITH_LATER else ("",)):
+            identifier = name + kind.replace(" ", "-")
+            out |= {f"{before} {short}{kind}": identifier for before in BEFORE} | {f"{short}{kind} {after}": identifier for after in AFTER}
+    for name, full in NAMES.items():
+        out |= dict.fromkeys(full, name)
+    for identifier, texts in TEXTS.items():
+        out |= dict.fromkeys(texts, identifier)
+    return out
 
 
-def _flat(value: str) -> str:
-    return _other.sub(" ", value.lower()).strip()
+@lru_cache(maxsize=1)
+def _automaton() -> ahocorasick.Automaton:
+    """Finds the entries; built once by each Python worker."""
+    out = ahocorasick.Automaton()
+    for words, identifier in table().items():
+        out.add_word(f" {words.replace(' ', '  ')} ", identifier)
+    out.make_automaton()
+    return out
 
 
-def _names(match: re.Match) -> list[str]:
-    if match.lastgroup == "spdx":
-        return [f"spdx-{SPDX[x]}" for x in _spdx_names.findall(match.group())]
-    return [SENTENCES[int(match.lastgroup[1:])][0]]
+def sentence_identifiers(sentence: str) -> list[str]:
+    """Identifiers of the known runs in one sentence, in order."""
+    flat = normalise(sentence)
+    # Every part of an expression of public identifiers is introduced like the first.
+    if "  spdx  license  identifier  " in flat:
+        flat = _joined.sub("  spdx  license  identifier", flat)
+    return [identifier for _, identifier in _automaton().iter_long(flat)] or ([COPYRIGHT] if _year.search(flat) else [])
 
 
 def identifiers(text: str | None) -> list[str]:
     """Identifiers of the text's licence sentences in order; ``unknown`` for one that only looks like licence text."""
     out: list[str] = []
-    if not text:
-        return out
-    # A sentence's normal form is a part of the text's.
-    whole = _flat(text)
-    if not any(x in whole for x in LITERALS) and not _hint.search(text):
-        return out
-    for sentence in _ends.split(text):
-        flat = _flat(sentence)
-        found: list[str] = []
-        if any(x in flat for x in LITERALS):
-            if "spdx" in flat:
-                flat = _flat(_later.sub("-or-later", sentence))
-            found = [name for m in _named.finditer(flat) for name in _names(m)]
-        if found:
-            out += found
-        elif _hint.search(sentence):
-            out.append(UNKNOWN)
+    for sentence in _ends.split(text) if text else ():
+        found = sentence_identifiers(sentence)
+        out += found or ([UNKNOWN] if _licence_word.search(sentence) else [])
     return out
 
 
 def licences(found: list[str]) -> list[str]:
     """Licences that the rules find in a sequence of identifiers."""
-    left, out = [x for x in found if x != "copyright"], set()
+    left, out = [x for x in found if x not in (COPYRIGHT, UNKNOWN)], set()
+    if not left:
+        return []
     for name, rule in RULES:
         k = 0
         while k + len(rule) <= len(left):

@@ -9,7 +9,8 @@ many pieces of the length as fit, and one more pattern has what is left over. Ev
 step uses up a length or a pattern, so there are at most ``2 * width`` patterns and
 ``2 * width**2`` slots, whatever the number of documents. A
 piece then finds its slot by its rank among the pieces of its length. Ranks come
-from ``buckets`` numbered parts of each length, so that no task holds a length.
+from numbered parts of each length, about ``ROWS`` pieces each (more, beyond ``PARTS`` parts in all), so that no task holds
+a length and what is broadcast has a bound.
 
 Defined results: a null or empty text is the closing id alone. Repeated rows are
 packed once each. A null doc_id is kept. An empty table gives an empty table.
@@ -29,7 +30,9 @@ from lodestrata.llm.text import map_arrow
 from lodestrata.llm.tokens import default_vocabulary, encoder
 from lodestrata.session import materialise
 
-WIDTH, END_ID, BUCKETS = 2048, 1, 64
+WIDTH, END_ID = 2048, 1
+#: Pieces of a part whose ranks one task gives, and the most parts that are broadcast.
+ROWS, PARTS = 200_000, 100_000
 
 
 def plan(histogram: dict[int, int], width: int = WIDTH) -> list[tuple[int, list[int]]]:
@@ -100,22 +103,25 @@ def pack(
     *,
     vocabulary: str | None = None,
     width: int = WIDTH,
-    buckets: int = BUCKETS,
+    rows_per_part: int = ROWS,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Columns id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row for each piece."""
     spark = docs.sparkSession
     pieces = cut_pieces(docs, vocabulary=vocabulary, width=width, id_col=id_col, text_col=text_col)
-    pieces = materialise(pieces.withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.lit(buckets)).cast("int")), "pieces")
-    parts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most width * buckets rows
+    pieces = materialise(pieces, "pieces")
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most width rows
+    rows_per_part = max(rows_per_part, sum(histogram.values()) // PARTS)
+    sizes = spark.createDataFrame([(k, -(-n // rows_per_part)) for k, n in histogram.items()], "length long, parts long")
+    cut_up = pieces.join(F.broadcast(sizes), "length").withColumn("bucket", F.pmod(F.xxhash64("id", "start", "ids_crc32"), F.col("parts")).cast("int")).drop("parts")
+    parts = cut_up.groupBy("length", "bucket").agg(F.count("*").alias("n"))  # at most width + PARTS rows
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     parts = materialise(parts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "parts")
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = spark.sparkContext.broadcast(slots(plan(histogram, width)))
 
     order = Window.partitionBy("length", "bucket").orderBy("id", "start", "ids_crc32", "doc_tokens")
-    ranked = pieces.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(parts.drop("n")), ["length", "bucket"])
+    ranked = cut_up.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(parts.drop("n")), ["length", "bucket"])
     names = ["id", "start", "length", "ids_crc32", "doc_tokens"]
     ranked = ranked.select(*names, (F.col("rank") + F.col("before")).alias("rank"))
     id_type = pieces.schema["id"].dataType.simpleString()

@@ -7,11 +7,12 @@ it. No word at all: fingerprint zero, linked like any other.
 Links: fingerprints with at most ``radius`` differing bits. A fingerprint is mapped to
 the bit counts of its 32 two-bit segments, a point in Z^32. The Manhattan distance of
 two points is at most the fingerprints' Hamming distance, so it is a lower bound and a
-range query of that radius loses nothing. The axes form six groups; a distance of 3
-touches at most three groups, so two points in range agree on the other three: the 20
-triples of groups are the grids, and a triple's counts are the cell. Points of one cell
-are compared exactly, in blocks of bounded size, and a block gives a spanning forest
-of its links instead of all pairs, which keeps the components the same.
+range query of that radius loses nothing. The axes form eight groups; a distance of 3
+touches at most three groups, so two points in range agree on five others: the 56
+fives of groups are the grids, and their counts are the cell. Points of one cell whose Manhattan distance is
+in range are compared exactly. Two unrelated fingerprints meet in a cell with a probability of about
+56 * (3/8)**20, 2e-7. A cell of up to ``SMALL_CELL`` points is compared in one row, a larger one in blocks of bounded
+size; a block gives a spanning forest of its links instead of all pairs, which keeps the components the same.
 
 Only distinct fingerprints take part; copies are attached afterwards. Hot cells are
 cut into blocks and block pairs are separate tasks, so no task holds a cell.
@@ -42,8 +43,9 @@ BLOCK = 1024
 SMALL_CELL = 32
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 16
-#: The 16 axes of each half count the bits of two-bit segments; groups of axes as (first bit, bits).
-GROUPS = ((0, 10), (10, 10), (20, 12), (32, 10), (42, 10), (52, 12))
+#: The 32 axes count the bits of two-bit segments; eight groups of four axes, by their first bits.
+GROUPS, GROUP_BITS = tuple(range(0, 64, 8)), 8
+_LOW = 0x5555555555555555
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -76,11 +78,10 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return map_arrow(rows, hashed, f"id {rows.schema['id'].dataType.simpleString()}, var int, fp long")
 
 
-def _group_counts(fp: Column, first: int, bits: int) -> Column:
-    """The counts of the group's two-bit segments, packed two bits each."""
-    part = F.shiftrightunsigned(fp, first).bitwiseAND((1 << bits) - 1)
-    ones = int("01" * (bits // 2), 2)
-    return part.bitwiseAND(ones) + F.shiftrightunsigned(part, 1).bitwiseAND(ones)
+def embedding(fp: Column) -> Column:
+    """The counts of the 32 segments in unary, two bits each, so that the Manhattan distance of two is the number of differing bits."""
+    up = F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseOR(up).bitwiseAND(_LOW).bitwiseOR(F.shiftleft(fp.bitwiseAND(up).bitwiseAND(_LOW), 1))
 
 
 def links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
@@ -89,18 +90,12 @@ def links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     Exact for radius 0 to 3. Applied to distinct values only.
     """
     if not 0 <= radius <= 3:
-        raise ValueError("six groups of axes are exact up to a radius of 3")
-    counts = [_group_counts(F.col("fp"), *group) for group in GROUPS]
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(g).cast("byte").alias("grid"),
-                F.shiftleft(counts[a].cast("long"), 24).bitwiseOR(F.shiftleft(counts[b].cast("long"), 12)).bitwiseOR(counts[c].cast("long")).alias("cell"),
-            )
-            for g, (a, b, c) in enumerate(combinations(range(6), 3))
-        )
-    )
-    spread = points.select("fp", F.explode(cells).alias("c")).select("c.grid", "c.cell", "fp")
+        raise ValueError("eight groups of axes are exact up to a radius of 3")
+    # A grid's cell: the embedding without the bits of three groups; the grid's number is in the bits of one of them.
+    masks = [sum(0xFF << first for first in kept) for kept in combinations(GROUPS, len(GROUPS) - 3)]
+    grids = F.array(*(F.struct(F.lit(g).cast("byte").alias("grid"), F.lit(m - (m >> 63 << 64)).alias("mask")) for g, m in enumerate(masks)))
+    spread = points.select("fp", embedding(F.col("fp")).alias("e"), F.explode(grids).alias("g"))
+    spread = spread.select("g.grid", F.col("e").bitwiseAND(F.col("g.mask")).alias("cell"), "fp")
     sizes = spread.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
     members = spread.join(sizes, ["grid", "cell"])
     blocks = F.ceil(F.col("n") / block).cast("int")
@@ -119,10 +114,10 @@ def links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
 
     ship(points.sparkSession)
     small = F.col("n") <= SMALL_CELL
-    lists = members.where(small).groupBy("grid", "cell").agg(F.collect_list("fp").alias("fps"))
-    near = F.expr(
-        f"flatten(transform(fps, x -> transform(filter(fps, y -> y > x and bit_count(x ^ y) <= {radius}), y -> struct(x as src, y as dst))))"
-    )
+    lists = members.where(small).groupBy("grid", "cell").agg(F.collect_list(F.struct("fp", embedding(F.col("fp")).alias("e"))).alias("points"))
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    close = lambda x: F.filter("points", lambda y: (y["fp"] > x["fp"]) & (apart(x["e"], y["e"]) <= radius) & (apart(x["fp"], y["fp"]) <= radius))
+    near = F.flatten(F.transform("points", lambda x: F.transform(close(x), lambda y: F.struct(x["fp"].alias("src"), y["fp"].alias("dst")))))
     few = lists.select(F.explode(near).alias("l")).select("l.src", "l.dst")
     work = members.where(~small).select("grid", "cell", "fp", F.explode(pairs).alias("p")).select("grid", "cell", "p.i", "p.j", "fp")
     found = work.groupBy("grid", "cell", "i", "j").applyInPandas(compare, "src long, dst long")
@@ -132,6 +127,8 @@ def links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
 def spanning_links(values: np.ndarray, radius: int) -> np.ndarray:
     """A spanning forest of the links among sorted distinct values, as pairs: breadth-first, so no pair table is held."""
     unsigned = values.view(np.uint64)
+    low = np.uint64(_LOW)
+    counts = (unsigned | unsigned >> np.uint64(1)) & low | (unsigned & unsigned >> np.uint64(1) & low) << np.uint64(1)
     open_ = np.ones(len(values), bool)
     out = []
     for root in range(len(values)):
@@ -142,6 +139,7 @@ def spanning_links(values: np.ndarray, radius: int) -> np.ndarray:
         while queue:
             at = queue.pop()
             rest = np.flatnonzero(open_)
+            rest = rest[np.bitwise_count(counts[rest] ^ counts[at]) <= radius]  # the lower bound
             near = rest[np.bitwise_count(unsigned[rest] ^ unsigned[at]) <= radius]
             open_[near] = False
             queue.extend(near.tolist())
@@ -174,8 +172,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def first_of_each(docs: DataFrame, found: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     """The first row of ``docs`` for each component of ``found`` (id, var, component)."""
     order = F.struct(F.col("id").isNull().alias("null"), "id", "var")
-    first = found.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.id").alias("_id"), F.col("f.var").alias("_var"))
+    first = found.groupBy("component").agg(F.min(order).alias("f")).select(F.col("f.id").alias("first_id"), F.col("f.var").alias("first_var"))
     var = checksum(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
-    marked = docs.withColumn("_text_checksum", var)
-    kept = marked.join(first, marked[id_col].eqNullSafe(F.col("_id")) & (marked["_text_checksum"] == F.col("_var")), "left_semi")
-    return kept.dropDuplicates([id_col, "_text_checksum"]).drop("_text_checksum")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), var.alias("var"))  # no name of the table's can clash
+    kept = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("var") == F.col("first_var")), "left_semi")
+    return kept.dropDuplicates(["id", "var"]).select("row.*")

@@ -3,8 +3,8 @@
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased
 (user and port stay part of it). Path: from there up to ``?``, ``#`` or the end.
 A rule fits its host and all subdomains if the path starts with the rule's path.
-Of several rules that fit, the one with most host labels wins, then the one with
-the longest path; if the same rule is listed for both actions, block wins.
+Of several rules that fit, the longest wins: the one whose host and path together have most
+characters, of equals the one with the longer host; if the same rule is listed for both actions, block wins.
 
 Defined results: a null url, or one without ``://``, has an empty host and an
 empty path, so no rule with a host fits it and it gets the default verdict.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.text import ascii_lower, map_arrow
 
-#: A trie is broadcast up to this many rules; beyond it, rules are joined by host and folder.
-MAX_BROADCAST_RULES = 200_000
+#: A trie is broadcast up to this many bytes of rules; beyond it, rules are joined by host and folder.
+MAX_BROADCAST_BYTES = 16_000_000
 
 
 def split_host(host: str) -> list[str]:
@@ -55,8 +55,9 @@ class RuleTrie:
             node = node.get(label)
             if node is None:
                 break
-            if None in node:
-                best = self._along(node[None], segments) or best
+            found = self._along(node[None], segments) if None in node else None
+            if found and (best is None or len(found[0]) >= len(best[0])):  # hosts come with growing length
+                best = found
         return best
 
     @staticmethod
@@ -91,13 +92,13 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     default: str = "allow",
-    max_broadcast_rules: int = MAX_BROADCAST_RULES,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Columns id, host, path, rule, verdict. ``rules``: (action, host, path) with action allow or block."""
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     host, path = host_and_path(F.col("url"))
     urls = urls.select("id", host.alias("host"), path.alias("path"))
-    if len(rules) > max_broadcast_rules:
+    if sum(len(h.encode()) + len(p.encode()) for _, h, p in rules) > max_broadcast_bytes:
         return _by_join(urls, rules, default).withColumnRenamed("id", id_col)
     spark = pages.sparkSession
     trie = spark.sparkContext.broadcast(RuleTrie(rules))
@@ -131,7 +132,7 @@ def _by_join(urls: DataFrame, rules: list[tuple[str, str, str]], default: str) -
     spread = keyed.select("uid", "path", F.explode(suffixes).alias("r_host"), folders.alias("folders"))
     spread = spread.select("uid", "path", "r_host", F.explode("folders").alias("r_folder"))
     fits = spread.join(table, ["r_host", "r_folder"]).where(F.startswith("path", "r_path"))
-    rank = F.struct(F.size(F.split("r_host", r"\.")), F.length("r_path"), F.col("action") == "block")
+    rank = F.struct(F.length("rule"), F.length("r_host"), F.col("action") == "block")
     best = fits.groupBy("uid").agg(F.max_by(F.struct("rule", "action"), rank).alias("best"))
     return keyed.join(best, "uid", "left").select(
         "id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
