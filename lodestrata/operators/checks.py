@@ -45,6 +45,14 @@ def difference(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.exceptAll(found).withColumn("side", F.lit("expected")).unionByName(found.exceptAll(expected).withColumn("side", F.lit("found")))
 
 
+def identity(written: DataFrame, actual: DataFrame) -> DataFrame:
+    """(doc_id, bytes, status) of two tables (doc_id, bytes, sha): identical, altered, missing (written only) or extra (actual only)."""
+    left = written.select("doc_id", "bytes", F.col("sha").alias("old"), F.lit(True).alias("l"))
+    right = actual.select("doc_id", F.col("bytes").alias("now"), F.col("sha").alias("new"), F.lit(True).alias("r"))
+    status = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").when(~F.col("old").eqNullSafe(F.col("new")), "altered").otherwise("identical")
+    return left.join(right, "doc_id", "full_outer").select("doc_id", F.coalesce("bytes", "now").alias("bytes"), status.alias("status"))
+
+
 def required_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """A left join that fails on a row without a partner."""
     marked = right.withColumn("_found", F.lit(True))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
-from lodestrata.operators import assignment
+from lodestrata.operators import assignment, checks
 from lodestrata.plans.relations import _RECORDS, records, table
+from lodestrata.session import materialise
 
 LABELS = (0, 1)
 
@@ -31,24 +32,27 @@ ORPHANS = """SELECT doc_id, 'no_label' AS side FROM documents ANTI JOIN labels U
 
 
 def manifest_diff(spark, sf_dir):
-    rows = records(spark, sf_dir).select("doc_id", "sha")
-    derived = rows.where(F.pmod("doc_id", F.lit(97)) != 0).withColumn("sha", F.when(F.pmod("doc_id", F.lit(89)) == 0, F.reverse("sha")).otherwise(F.col("sha")))
-    return rows.exceptAll(derived).withColumn("side", F.lit("expected")).union(derived.exceptAll(rows).withColumn("side", F.lit("found")))
+    """Rows of the documents' manifest and of one written with the recorded lengths, on one side only. The written one is reread."""
+    documents = table(spark, sf_dir, "documents")
+    written = materialise(documents.select("doc_id", F.col("n_chars").cast("long").alias("chars"), "lang"), "manifest")
+    found = documents.select("doc_id", F.length("text").cast("long").alias("chars"), "lang")
+    return checks.difference(written, found)
 
 
-MANIFEST_DIFF = f"""WITH {_RECORDS}, derived AS (SELECT doc_id, CASE WHEN doc_id % 89 = 0 THEN reverse(sha) ELSE sha END AS sha FROM records WHERE doc_id % 97 <> 0)
-(SELECT *, 'expected' AS side FROM (SELECT doc_id, sha FROM records EXCEPT ALL SELECT * FROM derived)) UNION ALL
-(SELECT *, 'found' FROM (SELECT * FROM derived EXCEPT ALL SELECT doc_id, sha FROM records))"""
+MANIFEST_DIFF = """WITH w AS (SELECT doc_id, CAST(n_chars AS BIGINT) AS chars, lang FROM documents), f AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, lang FROM documents)
+(SELECT *, 'expected' AS side FROM (SELECT * FROM w EXCEPT ALL SELECT * FROM f)) UNION ALL (SELECT *, 'found' FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM w))"""
 
 
 def identity_verify(spark, sf_dir):
-    expected = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    actual = records(spark, sf_dir).where(F.pmod("doc_id", F.lit(101)) != 0).select("doc_id", F.col("sha").alias("actual"))
-    status = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("sha"), "altered").otherwise("identical")
-    return expected.join(actual, "doc_id", "full_outer").groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    """Documents and labels as two sides of a manifest: a label's document by its digest, recomputed against the one written to the shared folder."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    written = materialise(table(spark, sf_dir, "labels").select("doc_id").join(documents, "doc_id", "left"), "identities")
+    return checks.identity(written, documents).groupBy("status").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-IDENTITY = """SELECT CASE WHEN doc_id % 101 = 0 THEN 'missing' ELSE 'identical' END AS status, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents GROUP BY ALL"""
+IDENTITY = """WITH d AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha FROM documents), w AS (SELECT doc_id, bytes, sha FROM labels LEFT JOIN d USING (doc_id))
+SELECT CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'extra' WHEN w.sha IS DISTINCT FROM d.sha THEN 'altered' ELSE 'identical' END AS status,
+       count(*) AS n, CAST(sum(coalesce(w.bytes, d.bytes)) AS BIGINT) AS bytes FROM w FULL JOIN d ON w.doc_id = d.doc_id GROUP BY ALL"""
 
 
 def hash_ordered_sample(spark, sf_dir):
@@ -151,14 +155,16 @@ def polygon_area_validity(spark, sf_dir):
     e = lambda k: F.get("embedding", F.lit(k)).cast("double") * 100 + 50
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*map(e, range(4))).alias("xs"), F.array(*map(e, range(4, 8))).alias("ys"))
     area = scalar.twice_area(F.col("xs"), F.col("ys")) / 2
-    low, high = F.least(F.array_min("xs"), F.array_min("ys")), F.greatest(F.array_max("xs"), F.array_max("ys"))
-    reason = F.when(area < 1, "zero_area").when(low < 0, "negative").when(high >= 80, "outside").otherwise("valid")
-    return rows.select("vec_id", F.round(area, 4).alias("area"), reason.alias("reason"))
+    named = {p: F.coalesce(checks.polygon_reason(F.col("xs"), F.col("ys"), F.lit(80.0), F.lit(80.0), p), F.lit("valid")).alias(p) for p in ("inspect", "audit", "convert")}
+    return rows.select("vec_id", F.round(area, 4).alias("area"), *named.values())
 
 
 POLYGONS = """WITH p AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: CAST(v AS DOUBLE) * 100 + 50) AS v FROM embeddings),
 a AS (SELECT vec_id, v, abs(v[1]*v[6]-v[2]*v[5] + v[2]*v[7]-v[3]*v[6] + v[3]*v[8]-v[4]*v[7] + v[4]*v[5]-v[1]*v[8]) / 2 AS area FROM p)
-SELECT vec_id, round(area, 4) AS area, CASE WHEN area < 1 THEN 'zero_area' WHEN list_min(v) < 0 THEN 'negative' WHEN list_max(v) >= 80 THEN 'outside' ELSE 'valid' END AS reason FROM a"""
+SELECT vec_id, round(area, 4) AS area,
+       CASE WHEN area = 0 THEN 'zero_area' WHEN list_min(v) < 0 THEN 'negative' WHEN list_max(v) >= 80 THEN 'outside' ELSE 'valid' END AS inspect,
+       CASE WHEN area = 0 THEN 'zero_area' WHEN list_min(v) < 0 OR list_max(v) > 80 THEN 'out_of_bounds' WHEN list_max(v) = 80 THEN 'boundary' ELSE 'valid' END AS audit,
+       CASE WHEN list_min(v) < 0 OR list_max(v) > 80 THEN 'outside' WHEN 2 * area / 6400 <= 1e-12 THEN 'zero_area' ELSE 'valid' END AS "convert" FROM a"""
 
 
 def coordinate_residuals(spark, sf_dir):
@@ -211,7 +217,11 @@ def name_hint_report(spark, sf_dir):
     rows = table(spark, sf_dir, "pages").select(
         "page_id", scalar.suffix(path).alias("suffix"), path.rlike("(?i)(aug|bright|noise)").alias("augmentation_hint"), path.rlike(r"[0-9]{3}").alias("number_hint"), scalar.unsafe_path(path).alias("unsafe")
     )
-    return rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if("augmentation_hint").alias("augmentation"), F.count_if("number_hint").alias("numbers"), F.count_if("unsafe").alias("unsafe"), F.array_join(F.slice(F.array_sort(F.collect_list("page_id")), 1, 5), "|").alias("examples"))
+    counts = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.count_if("augmentation_hint").alias("augmentation"), F.count_if("number_hint").alias("numbers"), F.count_if("unsafe").alias("unsafe"))
+    # Five examples of each suffix: Spark keeps each task's first five of a window's rank limit, so no suffix is gathered whole.
+    five = Window.partitionBy("suffix").orderBy("page_id")
+    examples = rows.withColumn("k", F.row_number().over(five)).where("k <= 5").groupBy("suffix").agg(F.array_join(F.array_sort(F.collect_list("page_id")), "|").alias("examples"))
+    return counts.join(examples, "suffix")
 
 
 NAME_HINTS = r"""WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages),

@@ -16,22 +16,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, sha, family (first 64 ASCII letters, lower case), split, source, lang."""
-    letters = F.lower(F.substring(F.regexp_replace("text", "[^A-Za-z]", ""), 1, 64))
+    """doc_id, sha, family (digest of all ASCII letters in lower case, null if there is none), split, source, lang."""
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    letters = F.when(letters != "", F.md5(letters))
     bucket = F.pmod(F.col("doc_id"), F.lit(10))
     split = F.when(bucket < 7, "train").when(bucket < 9, "val").otherwise("test")
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), letters.alias("family"), split.alias("split"), "source", "lang")
 
 
 _RECORDS = """records AS (
-  SELECT doc_id, sha256(text) AS sha, lower(substr(regexp_replace(text, '[^A-Za-z]', '', 'g'), 1, 64)) AS family,
+  SELECT doc_id, sha256(text) AS sha, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN md5(lower(regexp_replace(text, '[^A-Za-z]', '', 'g'))) END AS family,
          CASE WHEN doc_id % 10 < 7 THEN 'train' WHEN doc_id % 10 < 9 THEN 'val' ELSE 'test' END AS split, source, lang
   FROM documents)"""
 
 
 def content_hash_duplicates(spark, sf_dir):
-    groups = records(spark, sf_dir).groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.array_join(F.array_sort(F.collect_list("doc_id")), "|").alias("members"))
-    return groups.where("n > 1")
+    rows = records(spark, sf_dir).select("sha", "doc_id")
+    repeated = rows.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    members = rows.join(repeated, "sha").groupBy("sha", "n", "first_id")  # the list is the report; only repeated hashes are gathered
+    return members.agg(F.array_join(F.array_sort(F.collect_list("doc_id")), "|").alias("members"))
 
 
 CONTENT_HASH_DUPLICATES = f"""WITH {_RECORDS}
@@ -63,9 +66,8 @@ SELECT stem, family, count(*) AS n, min(page_id) AS first_page FROM keyed GROUP
 
 def blocked_family_pairs(spark, sf_dir):
     rows = records(spark, sf_dir)
-    across = pairs.blocked_pairs(rows, "family", "doc_id", "split", across=True).withColumn("kind", F.lit("cross_split"))
-    within = pairs.blocked_pairs(rows, "family", "doc_id", "split", across=False).withColumn("kind", F.lit("within_split"))
-    return across.union(within).select("a", "b", "kind")
+    kind = F.when(F.col("split_a") != F.col("split_b"), "cross_split").otherwise("within_split")
+    return pairs.blocked_pairs(rows, "family", "doc_id", "split").select("a", "b", kind.alias("kind"))
 
 
 FAMILY_PAIRS = f"""WITH {_RECORDS}
@@ -182,7 +184,7 @@ def _linked(spark, sf_dir) -> DataFrame:
 
 
 _COMPONENTS = f"""{_RECORDS},
-keys AS (SELECT doc_id, 's' || sha AS k FROM records UNION ALL SELECT doc_id, 'f' || family FROM records),
+keys AS (SELECT doc_id, 's' || sha AS k FROM records WHERE sha IS NOT NULL UNION ALL SELECT doc_id, 'f' || family FROM records WHERE family IS NOT NULL),
 walk(doc_id, component) AS (
   SELECT doc_id, doc_id FROM records
   UNION
@@ -190,9 +192,21 @@ walk(doc_id, component) AS (
 linked AS (SELECT doc_id, min(component) AS component FROM walk GROUP BY doc_id)"""
 
 
+def ranked(rows: DataFrame, by: str) -> DataFrame:
+    """Adds ``rank`` from 1 in the order of distinct values of ``by``: ranges are ranked by tasks and shifted by the counts before them."""
+    placed = materialise(rows.repartitionByRange(F.col(by)).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy("part").agg(F.count("*").alias("n")).collect()  # one row for each task
+    sizes, before = {r["part"]: r["n"] for r in counts}, [(-1, 0)]
+    for part in sorted(sizes):
+        before.append((part, sum(sizes[p] for p in sizes if p < part)))
+    shift = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(by))
+    return placed.withColumn("own", own).join(shift, "part").withColumn("rank", F.col("own") + F.col("before")).drop("part", "own", "before")
+
+
 def source_components(spark, sf_dir):
     linked = _linked(spark, sf_dir)
-    names = linked.select("component").distinct().withColumn("rank", F.row_number().over(Window.orderBy("component")))
+    names = ranked(linked.select("component").distinct(), "component")
     return linked.join(names, "component").select("doc_id", "component", F.format_string("sg-%04d", "rank").alias("group_id"))
 
 
@@ -317,6 +331,8 @@ SELECT component, count(*) AS images, count(*) FILTER (quality = 1) AS good, cou
        count(*) FILTER (quality = 1 AND toxic = 1) AS multi, min(doc_id) AS first_member
 FROM linked LEFT JOIN labels USING (doc_id) GROUP BY component"""
 
+#: Fixed value: the published seed of the split (64 bits, whole).
+SEED = 13436313853456744620
 TARGETS = ((0.70, 0.15, 0.15), (0.70, 0.10, 0.20))
 
 
@@ -326,8 +342,7 @@ def _groups(spark, sf_dir) -> DataFrame:
 
 def group_split_greedy(spark, sf_dir):
     """The deterministic split: lexicographic objective, seed derived from a digest."""
-    seed = 13436313853456744620 & 0xFFFFFFFF
-    return assignment.split_trials(_groups(spark, sf_dir), ["good", "bad"], [(seed, TARGETS[0])]).select("id", "split")
+    return assignment.split_trials(_groups(spark, sf_dir), ["good", "bad"], [(SEED, TARGETS[0])]).select("id", "split")
 
 
 def split_monte_carlo(spark, sf_dir):
@@ -352,16 +367,32 @@ def split_leakage_audit(spark, sf_dir):
     bucket = F.pmod(F.crc32(F.col("component").cast("string").cast("binary")), F.lit(10))
     own = F.when(bucket < 7, "train").when(bucket < 9, "val").otherwise("test")
     at = linked.select("doc_id", "split", own.alias("own"))
-    rows = records(spark, sf_dir)
-    edges = pairs.blocked_pairs(rows, "sha", "doc_id", "split").select("a", "b", F.lit("exact").alias("kind")).union(pairs.blocked_pairs(rows, "family", "doc_id", "split").select("a", "b", F.lit("named").alias("kind")))
-    joined = edges.join(at.toDF("a", "sa", "oa"), "a").join(at.toDF("b", "sb", "ob"), "b")
-    return joined.groupBy("kind").agg(F.count("*").alias("edges"), F.count_if(F.col("sa") != F.col("sb")).alias("official_crossings"), F.count_if(F.col("oa") != F.col("ob")).alias("group_aware_crossings"))
-
-
-LEAKAGE = f"""WITH {_RECORDS}, edges AS (
-  SELECT 'exact' AS kind, x.split AS sa, y.split AS sb FROM records x JOIN records y ON x.sha = y.sha AND x.doc_id < y.doc_id
-  UNION ALL SELECT 'named', x.split, y.split FROM records x JOIN records y ON x.family = y.family AND x.doc_id < y.doc_id)
-SELECT kind, count(*) AS edges, count(*) FILTER (sa <> sb) AS official_crossings, CAST(0 AS BIGINT) AS group_aware_crossings FROM edges GROUP BY kind"""
+    keys = F.explode(F.array(F.struct(F.lit("exact").alias("kind"), F.col("sha").alias("key")), F.struct(F.lit("named").alias("kind"), F.col("family").alias("key"))))
+    rows = records(spark, sf_dir).select("doc_id", keys.alias("k")).select("doc_id", "k.*").where("key IS NOT NULL").join(at, "doc_id")
+    # Pairs are counted and never made: n members give n (n - 1) / 2, less those within each split.
+    two = lambda n: n * (n - 1) / 2
+    cells = rows.groupBy("kind", "key", "split", "own").agg(F.count("*").alias("n"))
+    within = lambda by, name: cells.groupBy("kind", "key", by).agg(F.sum("n").alias("n")).groupBy("kind").agg(F.sum(two(F.col("n"))).alias(name))
+    every = cells.groupBy("kind", "key").agg(F.sum("n").alias("n")).groupBy("kind").agg(F.sum(two(F.col("n"))).cast("long").alias("edges"))
+    joined = every.where("edges > 0").join(within("split", "same"), "kind").join(within("own", "same_own"), "kind")
+    return joined.select("kind", "edges", (F.col("edges") - F.col("same")).cast("long").alias("official_crossings"), (F.col("edges") - F.col("same_own")).cast("long").alias("group_aware_crossings"))
+
+
+def _own_split(component: str) -> str:
+    """SQL of the group's split: CRC-32 of the component's digits, bit by bit, modulo ten."""
+    byte = f"list_transform(range(1, strlen(CAST({component} AS VARCHAR)) + 1), lambda p: ascii(substr(CAST({component} AS VARCHAR), p, 1)))"
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    eight = "list_reduce([CAST(xor(s, x) AS BIGINT)] || CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[]), lambda c, z: " + step + ")"
+    crc = f"xor(list_reduce([CAST(4294967295 AS BIGINT)] || CAST({byte} AS BIGINT[]), lambda s, x: {eight}), 4294967295)"
+    return f"CASE WHEN {crc} % 10 < 7 THEN 'train' WHEN {crc} % 10 < 9 THEN 'val' ELSE 'test' END"
+
+
+LEAKAGE = f"""WITH RECURSIVE {_COMPONENTS}, own_split AS (SELECT doc_id, {_own_split("component")} AS own FROM linked),
+placed AS (SELECT doc_id, split, own, sha, family FROM records JOIN own_split USING (doc_id)),
+edges AS (
+  SELECT 'exact' AS kind, x.split AS sa, y.split AS sb, x.own AS oa, y.own AS ob FROM placed x JOIN placed y ON x.sha = y.sha AND x.doc_id < y.doc_id
+  UNION ALL SELECT 'named', x.split, y.split, x.own, y.own FROM placed x JOIN placed y ON x.family = y.family AND x.doc_id < y.doc_id)
+SELECT kind, count(*) AS edges, count(*) FILTER (sa <> sb) AS official_crossings, count(*) FILTER (oa <> ob) AS group_aware_crossings FROM edges GROUP BY kind"""
 
 QUERIES = {
     "content_hash_duplicates": (content_hash_duplicates, CONTENT_HASH_DUPLICATES),
