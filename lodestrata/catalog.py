@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import audits, relations
+from lodestrata.plans import audits, relations, reports
 
-_ALL = relations.QUERIES | audits.QUERIES
+_ALL = relations.QUERIES | audits.QUERIES | reports.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

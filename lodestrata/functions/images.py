@@ -130,6 +130,13 @@ def mask_iou(a: list, b: list, width: int, height: int) -> float:
     return int((x & y).sum()) / union if union else 0.0
 
 
+@F.pandas_udf(T.DoubleType())
+def mask_overlaps(a: pd.Series, b: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """``mask_iou`` of columns of polygon lists (arrays of arrays of [x, y]); null where a side is null."""
+    points = lambda polygons: [[tuple(p) for p in polygon] for polygon in polygons]
+    return pd.Series([None if x is None or y is None else mask_iou(points(x), points(y), int(w), int(h)) for x, y, w, h in zip(a, b, width, height, strict=True)], dtype="float64")
+
+
 def decode(files: DataFrame, decoder: Callable[[bytes], np.ndarray], content: str = "content") -> DataFrame:
     """Adds status (decoded or unreadable), width, height and the luminance as bytes. ``decoder``: bytes to a 2-D uint8 array, or an exception."""
 

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.functions.scalar import box_iou
+
 SPLITS = ("train", "val", "test")
 
 
@@ -79,55 +82,69 @@ def split_trials(groups: DataFrame, classes: list[str], trials: list[tuple[int,
     return numbered.groupBy("trial").applyInPandas(run, f"trial int, seed string, id {kind}, split string")
 
 
-def iou(a, b) -> float:
-    wide, high = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    both = max(0.0, wide) * max(0.0, high)
-    union = sum(max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1]) for x in (a, b)) - both
-    return both / union if union > 0 else 0.0
-
-
 def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Class-independent one-to-one matches of each image: highest IoU, then confidence, then ids as text.
 
     ``truth``: image_id, id, cls, box. ``predicted``: also confidence. Result: image_id, kind (matched, missed
-    or false_positive), gt_id, pred_id, gt_class, pred_class, confidence, box_iou.
+    or false_positive), gt_id, pred_id, gt_class, pred_class, confidence, box_iou. Overlaps are computed and
+    filtered in the JVM; a task sees the candidates of one image only. Ids are unique within an image.
     """
-
-    def match(key, gt, pred):
-        gt, pred = gt.to_dict("records"), pred.to_dict("records")
-        near = []
-        for i, g in enumerate(gt):
-            for j, p in enumerate(pred):
-                value = iou(g["box"], p["box"])
-                if value >= threshold:
-                    near.append((-value, -p["confidence"], str(g["id"]), str(p["id"]), i, j))
-        pairs: dict[int, tuple[int, float]] = {}
-        taken: set[int] = set()
-        for value, _, _, _, i, j in sorted(near):
-            if i not in pairs and j not in taken:
-                pairs[i] = (j, -value)
-                taken.add(j)
-        rows = []
-        for i, g in enumerate(gt):
-            if i in pairs:
-                p = pred[pairs[i][0]]
-                rows.append((key[0], "matched", g["id"], p["id"], g["cls"], p["cls"], p["confidence"], pairs[i][1]))
-            else:
-                rows.append((key[0], "missed", g["id"], None, g["cls"], None, None, None))
-        rows += [(key[0], "false_positive", None, p["id"], None, p["cls"], p["confidence"], None) for j, p in enumerate(pred) if j not in taken]
-        names = ["image_id", "kind", "gt_id", "pred_id", "gt_class", "pred_class", "confidence", "box_iou"]
-        out = pd.DataFrame(rows, columns=names)
-        return out.astype({"gt_id": "Int64", "pred_id": "Int64", "gt_class": "Int32", "pred_class": "Int32"})
-
-    # Fresh columns: both sides may come from one table, and a cogroup can't tell equal columns apart.
-    truth = truth.select(*(F.col(c).alias(c) for c in ("image_id", "id", "cls", "box")))
-    predicted = predicted.select(*(F.col(c).alias(c) for c in ("image_id", "id", "cls", "confidence", "box")))
-    schema = "image_id long, kind string, gt_id long, pred_id long, gt_class int, pred_class int, confidence double, box_iou double"
-    return truth.groupBy("image_id").cogroup(predicted.groupBy("image_id")).applyInPandas(match, schema)
+    t = truth.select("image_id", F.col("id").alias("gt_id"), F.col("cls").cast("int").alias("gt_class"), F.col("box").alias("gt_box"))
+    p = predicted.select("image_id", F.col("id").alias("pred_id"), F.col("cls").cast("int").alias("pred_class"), F.col("confidence").cast("double").alias("confidence"), F.col("box").alias("pred_box"))
+    overlap = box_iou(F.col("gt_box"), F.col("pred_box")).alias("box_iou")
+    near = t.join(p, "image_id").select("image_id", "gt_id", "pred_id", "confidence", overlap).where(F.col("box_iou") >= threshold)
+    near = near.withColumns({"gt_text": F.col("gt_id").cast("string"), "pred_text": F.col("pred_id").cast("string")})
+
+    def settle(image: pd.DataFrame) -> pd.DataFrame:
+        image = image.sort_values(["box_iou", "confidence", "gt_text", "pred_text"], ascending=[False, False, True, True])
+        (gt, _), (pred, _) = pd.factorize(image["gt_text"]), pd.factorize(image["pred_text"])
+        free_gt, free_pred = np.ones(len(image), bool), np.ones(len(image), bool)
+        won = np.zeros(len(image), bool)
+        for k, (i, j) in enumerate(zip(gt, pred, strict=True)):
+            if free_gt[i] and free_pred[j]:
+                won[k], free_gt[i], free_pred[j] = True, False, False
+        return image.loc[won, ["image_id", "gt_id", "pred_id", "box_iou"]]
+
+    types = {f.name: f.dataType.simpleString() for f in near.schema.fields}
+    won = near.groupBy("image_id").applyInPandas(settle, ", ".join(f"{c} {types[c]}" for c in ("image_id", "gt_id", "pred_id", "box_iou")))
+    left = t.drop("gt_box").join(won, ["image_id", "gt_id"], "left")
+    full = left.join(p.drop("pred_box"), ["image_id", "pred_id"], "full_outer")
+    kind = F.when(F.col("gt_id").isNull(), "false_positive").when(F.col("pred_id").isNull(), "missed").otherwise("matched")
+    return full.select("image_id", kind.alias("kind"), "gt_id", "pred_id", "gt_class", "pred_class", "confidence", "box_iou")
+
+
+def match_by_class(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Predictions in their order, each to the free box of its class with most overlap (the first of equals): hit, false_positive or ignored.
+
+    ``truth``: image_id, id, cls, box, ignore. ``predicted``: image_id, id, cls, box, ordinal. A prediction that overlaps an ignored box of
+    its class best counts neither way, and an ignored box is never used up. Result: image_id, pred_id, gt_id, outcome.
+    """
+    t = truth.select("image_id", F.col("id").alias("gt_id"), "cls", F.col("box").alias("gt_box"), F.coalesce("ignore", F.lit(False)).alias("ignore"))
+    p = predicted.select("image_id", F.col("id").alias("pred_id"), "cls", F.col("box").alias("pred_box"), "ordinal")
+    near = p.join(t, ["image_id", "cls"], "left").withColumn("overlap", box_iou(F.col("pred_box"), F.col("gt_box")))
+    near = near.select("image_id", "ordinal", "pred_id", "gt_id", "ignore", F.when(F.col("overlap") >= threshold, F.col("overlap")).alias("overlap"))
+    types = {f.name: f.dataType.simpleString() for f in near.schema.fields}
+
+    def settle(image: pd.DataFrame) -> pd.DataFrame:
+        used, rows = set(), []
+        for (_, pred), options in image.sort_values(["ordinal", "overlap", "gt_id"], ascending=[True, False, True]).groupby(["ordinal", "pred_id"], sort=False):
+            free = options[options["overlap"].notna() & ~options["gt_id"].isin(used)]
+            best = None if free.empty else free.iloc[0]
+            outcome = "false_positive" if best is None else "ignored" if best["ignore"] else "hit"
+            if outcome == "hit":
+                used.add(best["gt_id"])
+            rows.append((image["image_id"].iloc[0], pred, None if best is None else best["gt_id"], outcome))
+        return pd.DataFrame(rows, columns=["image_id", "pred_id", "gt_id", "outcome"]).astype({"gt_id": "Int64"} if types["gt_id"] in ("bigint", "int") else {})
+
+    return near.groupBy("image_id").applyInPandas(settle, f"image_id {types['image_id']}, pred_id {types['pred_id']}, gt_id {types['gt_id']}, outcome string")
 
 
 def failure_category(matches: DataFrame, poor_mask: float = 0.5) -> DataFrame:
-    """Adds ``category``: missed, false positive, severe, adjacent, poor localisation, or empty; the first that applies."""
+    """Adds ``category``: missed, false positive, severe, adjacent, poor localisation, or empty; the first that applies.
+
+    Localisation is judged by ``mask_iou`` where the matches have it (see ``images.mask_overlaps``), else by the boxes.
+    """
+    overlap = F.col("mask_iou" if "mask_iou" in matches.columns else "box_iou")
     apart = F.abs(F.col("gt_class") - F.col("pred_class"))
     return matches.withColumn(
         "category",
@@ -135,6 +152,6 @@ def failure_category(matches: DataFrame, poor_mask: float = 0.5) -> DataFrame:
         .when(F.col("kind") == "false_positive", "F2 false positive")
         .when(apart == 2, "F4 severe")
         .when(apart == 1, "F3 adjacent")
-        .when(F.col("box_iou") < poor_mask, "F5 poor localisation")
+        .when(overlap < poor_mask, "F5 poor localisation")
         .otherwise(""),
     )

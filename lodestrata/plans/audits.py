@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
-from lodestrata.operators import assignment, checks
+from lodestrata.operators import checks
 from lodestrata.plans.relations import _RECORDS, records, table
 from lodestrata.session import materialise
 
@@ -143,13 +143,6 @@ BOX_IOU = f"""WITH {_BOXES}, p AS (
 SELECT image_id, gt_id, pred_id, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.2"""
 
 
-def greedy_box_matching(spark, sf_dir):
-    boxes = _boxes(spark, sf_dir)
-    truth = boxes.select("image_id", "id", "cls", "box")
-    predicted = boxes.select("image_id", "id", F.pmod(F.col("cls") + F.pmod("id", F.lit(2)), F.lit(3)).alias("cls"), "confidence", F.col("other").alias("box"))
-    return assignment.failure_category(assignment.match_boxes(truth, predicted, threshold=0.2))
-
-
 def polygon_area_validity(spark, sf_dir):
     """Quadrilaterals of vector components: the first reason that applies, and the area."""
     e = lambda k: F.get("embedding", F.lit(k)).cast("double") * 100 + 50
@@ -282,7 +275,6 @@ QUERIES = {
     "failure_taxonomy": (failure_taxonomy, TAXONOMY),
     "top_cases_per_category": (top_cases_per_category, TOP_CASES),
     "box_iou_candidates": (box_iou_candidates, BOX_IOU),
-    "greedy_box_matching": (greedy_box_matching, None),
     "polygon_area_validity": (polygon_area_validity, POLYGONS),
     "coordinate_residuals": (coordinate_residuals, RESIDUALS),
     "json_attribute_counts": (json_attribute_counts, JSON_COUNTS),

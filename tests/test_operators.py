@@ -232,3 +232,41 @@ def test_event_windows(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:10:00", "a"), (1, "2024-01-01 00:10:00", "a"), (2, "2024-01-01 01:10:00", "a")], "event_id long, ts string, kind string")
     assert events.first_seen(rows, ["event_id"]).count() == 2
     assert sorted(r["n"] for r in events.windowed_counts(rows, "kind").collect()) == [1, 2]
+
+
+def test_match_by_class_uses_a_box_once_and_skips_ignored(spark):
+    from lodestrata.operators import assignment
+
+    truth = spark.createDataFrame([(1, 1, 0, [0.0, 0.0, 10.0, 10.0], False), (1, 2, 1, [0.0, 0.0, 10.0, 10.0], True)], "image_id long, id long, cls int, box array<double>, ignore boolean")
+    predicted = [(1, 5, 0, [0.0, 0.0, 10.0, 9.0], 0), (1, 6, 0, [0.0, 0.0, 10.0, 10.0], 1), (1, 7, 1, [0.0, 0.0, 10.0, 10.0], 2), (1, 8, 1, [0.0, 0.0, 10.0, 10.0], 3), (1, 9, 2, [0.0, 0.0, 1.0, 1.0], 4)]
+    found = assignment.match_by_class(truth, spark.createDataFrame(predicted, "image_id long, id long, cls int, box array<double>, ordinal int")).collect()
+    assert {(r["pred_id"], r["gt_id"], r["outcome"]) for r in found} == {(5, 1, "hit"), (6, None, "false_positive"), (7, 2, "ignored"), (8, 2, "ignored"), (9, None, "false_positive")}
+
+
+def test_mask_overlap_decides_poor_localisation(spark):
+    from pyspark.sql import functions as F
+
+    from lodestrata.functions import images
+    from lodestrata.operators import assignment
+
+    square, corner = [[[0.0, 0.0], [8.0, 0.0], [8.0, 8.0], [0.0, 8.0]]], [[[0.0, 0.0], [8.0, 0.0], [0.0, 2.0]]]
+    rows = [("matched", 0, 0, 0.9, square, square), ("matched", 0, 0, 0.9, square, corner), ("missed", 0, None, None, square, None)]
+    df = spark.createDataFrame(rows, "kind string, gt_class int, pred_class int, box_iou double, a array<array<array<double>>>, b array<array<array<double>>>")
+    found = assignment.failure_category(df.withColumn("mask_iou", images.mask_overlaps("a", "b", F.lit(10), F.lit(10)))).collect()
+    assert [r["category"] for r in found] == ["", "F5 poor localisation", "F1 missed"]
+
+
+def test_identity_finds_altered_missing_and_extra(spark):
+    from lodestrata.operators import checks
+
+    written = spark.createDataFrame([(1, 3, "a"), (2, 3, "b"), (3, 1, "c")], "doc_id long, bytes long, sha string")
+    actual = spark.createDataFrame([(1, 3, "a"), (2, 4, "x"), (4, 1, "d")], "doc_id long, bytes long, sha string")
+    assert {r["doc_id"]: r["status"] for r in checks.identity(written, actual).collect()} == {1: "identical", 2: "altered", 3: "missing", 4: "extra"}
+
+
+def test_ranks_are_those_of_one_sort(spark):
+    from lodestrata.plans.relations import ranked
+
+    values = [(k * 7919) % 1009 for k in range(300)]
+    found = {r["v"]: r["rank"] for r in ranked(spark.createDataFrame([(v,) for v in values], "v long"), "v").collect()}
+    assert found == {v: k for k, v in enumerate(sorted(values), 1)}
