@@ -104,6 +104,44 @@ def polygon_reason(xs: Column, ys: Column, width: Column, height: Column, policy
     raise ValueError(policy)
 
 
+def operating_threshold(split: str, fixed: float, asked: float | None = None, locked: tuple[str, ...] = ("test",)) -> float:
+    """The confidence threshold of a split: the fixed one, or another that is asked for on a split that isn't locked."""
+    if asked is None or asked == fixed:
+        return fixed
+    if split in locked:
+        raise ValueError(f"the threshold of {split} is fixed at {fixed}")
+    if not 0 <= asked <= 1:
+        raise ValueError("a threshold lies between 0 and 1")
+    return asked
+
+
+def threshold_label(threshold: float) -> str:
+    """A label that fits file names: 0.65 gives 0p65."""
+    return f"{threshold:.4g}".replace(".", "p")
+
+
+def checked_split(split: str, unlocked: bool = False, known: tuple[str, ...] = ("train", "val", "test"), locked: tuple[str, ...] = ("test",)) -> str:
+    """The split's name if it may be read: a locked one only where it has been unlocked."""
+    if split not in known:
+        raise ValueError(f"unknown split {split}")
+    if split in locked and not unlocked:
+        raise PermissionError(f"{split} is locked")
+    return split
+
+
+def label_line_faults(lines: DataFrame, classes: int, expected: DataFrame | None = None) -> DataFrame:
+    """(file, line, fault) of label lines (file, line, cls, xs, ys): class, tokens, range or, against ``expected`` (file, n), count."""
+    bad = F.when(F.coalesce(~F.col("cls").between(0, classes - 1), F.lit(True)), "class")
+    bad = bad.when((F.size("xs") != F.size("ys")) | (F.size("xs") < 3), "tokens")
+    bad = bad.when(F.exists(F.concat("xs", "ys"), lambda x: F.coalesce(~x.between(0, 1), F.lit(True))), "range")
+    out = lines.select("file", "line", bad.alias("fault")).where("fault IS NOT NULL")
+    if expected is not None:
+        counts = lines.groupBy("file").agg(F.count("*").alias("have")).join(expected, "file", "full_outer")
+        differ = counts.where(~F.col("have").eqNullSafe(F.col("n"))).select("file", F.lit(None).cast("int").alias("line"), F.lit("count").alias("fault"))
+        out = out.unionByName(differ)
+    return out
+
+
 def filter_predictions(df: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Rows at or above a confidence, and the conservation report exported = kept + excluded."""
     kept = F.col("confidence") >= threshold

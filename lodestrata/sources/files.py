@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.functions.images import header_size
+from lodestrata.functions.scalar import TIERS
 
 MEMBERS = "path string, bytes long, compressed long, is_dir boolean"
 REGION = "struct<shape_attributes: struct<name: string, all_points_x: array<double>, all_points_y: array<double>>, region_attributes: map<string,string>>"
@@ -95,6 +96,40 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("file", "filename", "region_index", F.when(label != "", label).alias("label"), F.col("r.shape_attributes.name").alias("shape"), F.col("r.shape_attributes.all_points_x").alias("xs"), F.col("r.shape_attributes.all_points_y").alias("ys"))
 
 
+def keyed_annotations(spark: SparkSession, path: str, unique: bool = True) -> DataFrame:
+    """(split, filename, regions) from documents named split/anything.json: the regions of an image as one array in order.
+
+    With ``unique`` a file name that is there twice in a split fails when the rows are read.
+    """
+    rows = annotations(spark, path).withColumn("split", F.element_at(F.split("file", "/"), -2))
+    region = F.struct("region_index", "label", "shape", "xs", "ys")
+    one = rows.groupBy("split", "filename", "file").agg(F.array_sort(F.collect_list(F.when(F.col("region_index").isNotNull(), region))).alias("regions"), F.count_if(F.coalesce("region_index", F.lit(0)) == 0).alias("entries"))
+    keyed = one.groupBy("split", "filename").agg(F.sum("entries").alias("entries"), F.first("regions").alias("regions"))
+    twice = F.raise_error(F.concat(F.lit("file name is there twice: "), "split", F.lit("/"), "filename")).cast("string")
+    name = F.when(F.col("entries") > 1, twice).otherwise(F.col("filename")) if unique else F.col("filename")
+    return keyed.select("split", name.alias("filename"), "regions")
+
+
+def adjudications(spark: SparkSession, path: str, tiers: tuple[str, ...] = TIERS) -> DataFrame:
+    """(a, b, prior, reviewed) from a JSON list of reviewed relations; equal ends, unknown tiers or a pair given twice raise ValueError."""
+    rows = spark.read.json(path, schema="a string, b string, prior string, reviewed string", multiLine=True, mode="FAILFAST")
+    pair = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "prior", "reviewed")
+    bad = pair.where(F.coalesce((F.col("a") == F.col("b")) | ~F.col("prior").isin(*tiers) | ~F.col("reviewed").isin(*tiers), F.lit(True)))
+    if bad.limit(1).count() or pair.groupBy("a", "b").count().where("count > 1").limit(1).count():
+        raise ValueError("adjudications need two ends, known tiers and one row for each pair")
+    return pair
+
+
+def with_polygons(rows: DataFrame, spark: SparkSession, folder: str, reference: str = "mask_reference") -> DataFrame:
+    """Predictions with the polygon of their side file (a JSON array of [x, y]); a reference without a file fails, no reference is null."""
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json").select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"))
+    side = files.select(F.col("name").alias("side_name"), F.from_json("value", "array<array<double>>").alias("polygon"))
+    joined = rows.join(side, F.element_at(F.split(F.col(reference), "/"), -1) == F.col("side_name"), "left")
+    missing = F.raise_error(F.concat(F.lit("no polygon file "), F.col(reference))).cast("array<array<double>>")
+    polygon = F.when(F.col(reference).isNull(), F.lit(None)).when(F.col("polygon").isNull(), missing).otherwise(F.col("polygon"))
+    return joined.withColumn("polygon", polygon).drop("side_name")
+
+
 def csv_table(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A CSV file with a header, an explicit schema and no guessing; a bad row fails."""
     return spark.read.csv(path, header=True, schema=schema, mode="FAILFAST", enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
@@ -110,7 +145,7 @@ def label_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, cls, xs, ys) from label files: a class and normalised coordinates on each line."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
     parts = F.split(F.trim("text"), r"\s+")
-    numbers = F.transform(F.slice(parts, 2, 1_000_000), lambda x: x.try_cast("double"))
+    numbers = F.transform(F.slice(parts, 2, F.size(parts)), lambda x: x.try_cast("double"))
     rows = lines.where(F.trim("text") != "").select("file", "line", F.get(parts, F.lit(0)).try_cast("int").alias("cls"), numbers.alias("v"))
     return rows.select("file", "line", "cls", F.filter("v", lambda x, i: i % 2 == 0).alias("xs"), F.filter("v", lambda x, i: i % 2 == 1).alias("ys"))
 
@@ -130,9 +165,9 @@ def flat_protocol(path: str) -> dict:
     return {key: json.loads(value) for key, value in (x.split(": ", 1) for x in lines)}
 
 
-def resolve_source(explicit: str | None, variable: str, fallbacks: list[str]) -> str:
-    """The first that exists of: an explicit path, an environment variable's, the fallbacks."""
-    for path in [explicit] if explicit else [os.environ.get(variable), *fallbacks]:
+def resolve_source(explicit: str | None, variable: str, fallbacks: list[str], platform_default: str | None = None) -> str:
+    """The first that exists of: an explicit path, an environment variable's, the platform's default, the fallbacks."""
+    for path in [explicit] if explicit else [os.environ.get(variable), platform_default, *fallbacks]:
         if path and os.path.exists(path):
             return path
     raise FileNotFoundError("no source: give a path or set " + variable)

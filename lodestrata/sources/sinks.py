@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import datetime
 import json
 import os
 import shutil
@@ -27,6 +28,28 @@ def write_json(report: dict, path: str) -> None:
         out.write("\n")
 
 
+def plain(value: object) -> object:
+    """A value of built-in types only: dates and paths as text, sets sorted, numbers of numpy as Python's. Others raise TypeError."""
+    if value is None or isinstance(value, (bool, int, float, str)):
+        return value
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (set, frozenset)):
+        return sorted(map(plain, value))
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    if isinstance(value, (datetime.date, os.PathLike)):
+        return value.isoformat() if isinstance(value, datetime.date) else os.fspath(value)
+    if hasattr(value, "item"):
+        return plain(value.item())
+    raise TypeError(f"{type(value).__name__} has no plain form")
+
+
+def write_cases(df: DataFrame, path: str, category: str) -> None:
+    """JSON records in one folder for each category; an existing folder is refused."""
+    df.write.partitionBy(category).mode("errorifexists").json(path)
+
+
 def write_protocol(values: dict, path: str) -> None:
     """``key: <JSON value>`` lines in the given order; values that JSON can't hold raise TypeError."""
     with staged(path) as temporary, open(temporary, "w", encoding="utf-8") as out:

@@ -270,3 +270,48 @@ def test_ranks_are_those_of_one_sort(spark):
     values = [(k * 7919) % 1009 for k in range(300)]
     found = {r["v"]: r["rank"] for r in ranked(spark.createDataFrame([(v,) for v in values], "v long"), "v").collect()}
     assert found == {v: k for k, v in enumerate(sorted(values), 1)}
+
+
+def test_locks_labels_and_plain_values(tmp_path):
+    import datetime
+
+    import numpy as np
+
+    from lodestrata.operators import checks
+    from lodestrata.sources import sinks
+
+    assert checks.operating_threshold("test", 0.25) == 0.25 and checks.operating_threshold("val", 0.25, 0.5) == 0.5 and checks.threshold_label(0.65) == "0p65"
+    for call in (lambda: checks.operating_threshold("test", 0.25, 0.5), lambda: checks.operating_threshold("val", 0.25, 2.0), lambda: checks.checked_split("other")):
+        with pytest.raises(ValueError):
+            call()
+    with pytest.raises(PermissionError):
+        checks.checked_split("test")
+    assert checks.checked_split("test", unlocked=True) == "test"
+    assert sinks.plain({"a": {3, 1}, "b": np.float64(0.5), "c": datetime.date(2020, 1, 2), "d": tmp_path}) == {"a": [1, 3], "b": 0.5, "c": "2020-01-02", "d": str(tmp_path)}
+    with pytest.raises(TypeError):
+        sinks.plain(object())
+
+
+def test_keyed_annotations_adjudications_and_label_faults(spark, tmp_path):
+    import json
+
+    from lodestrata.operators import checks
+    from lodestrata.sources import files
+
+    region = {"shape_attributes": {"name": "polygon", "all_points_x": [1, 2, 3], "all_points_y": [1, 2, 1]}, "region_attributes": {"name": "ripe"}}
+    (tmp_path / "train").mkdir()
+    (tmp_path / "train" / "one.json").write_text(json.dumps({"k1": {"filename": "a.jpg", "regions": [region, region]}, "k2": {"filename": "b.jpg", "regions": []}}))
+    rows = {r["filename"]: (r["split"], len(r["regions"])) for r in files.keyed_annotations(spark, str(tmp_path / "train")).collect()}
+    assert rows == {"a.jpg": ("train", 2), "b.jpg": ("train", 0)}
+    (tmp_path / "train" / "two.json").write_text(json.dumps({"k1": {"filename": "a.jpg", "regions": [region]}}))
+    with pytest.raises(Exception, match="there twice"):
+        files.keyed_annotations(spark, str(tmp_path / "train")).collect()
+    reviewed = tmp_path / "reviewed.json"
+    reviewed.write_text(json.dumps([{"a": "y", "b": "x", "prior": "Candidate", "reviewed": "Supported"}]))
+    assert [tuple(r) for r in files.adjudications(spark, str(reviewed)).collect()] == [("x", "y", "Candidate", "Supported")]
+    reviewed.write_text(json.dumps([{"a": "x", "b": "x", "prior": "Candidate", "reviewed": "Supported"}]))
+    with pytest.raises(ValueError):
+        files.adjudications(spark, str(reviewed))
+    lines = spark.createDataFrame([("f", 0, 1, [0.1, 0.2, 0.3], [0.1, 0.2, 0.3]), ("f", 1, 7, [0.1] * 3, [0.1] * 3), ("f", 2, 1, [0.1, 0.2], [0.1] * 3), ("f", 3, 1, [0.1, 1.2, 0.3], [0.1] * 3)], "file string, line int, cls int, xs array<double>, ys array<double>")
+    faults = checks.label_line_faults(lines, 3, spark.createDataFrame([("f", 5), ("g", 1)], "file string, n long")).collect()
+    assert {(r["file"], r["line"], r["fault"]) for r in faults} == {("f", 1, "class"), ("f", 2, "tokens"), ("f", 3, "range"), ("f", None, "count"), ("g", None, "count")}
