@@ -5,6 +5,7 @@ No image library is needed: pixels come as arrays. Decoding is left to a functio
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Callable, Iterator
 
@@ -131,10 +132,14 @@ def mask_iou(a: list, b: list, width: int, height: int) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def mask_overlaps(a: pd.Series, b: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-    """``mask_iou`` of columns of polygon lists (arrays of arrays of [x, y]); null where a side is null."""
-    points = lambda polygons: [[tuple(p) for p in polygon] for polygon in polygons]
-    return pd.Series([None if x is None or y is None else mask_iou(points(x), points(y), int(w), int(h)) for x, y, w, h in zip(a, b, width, height, strict=True)], dtype="float64")
+def _mask_overlaps(a: pd.Series, b: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    rows = zip(a, b, width, height, strict=True)
+    return pd.Series([mask_iou(json.loads(x), json.loads(y), int(w), int(h)) if isinstance(x, str) and isinstance(y, str) else None for x, y, w, h in rows], dtype="float64")
+
+
+def mask_overlaps(a: str, b: str, width: Column, height: Column) -> Column:
+    """``mask_iou`` of two columns of polygon lists (arrays of arrays of [x, y]); null where a side is null. Lists travel as JSON text."""
+    return _mask_overlaps(F.to_json(a), F.to_json(b), width, height)
 
 
 def decode(files: DataFrame, decoder: Callable[[bytes], np.ndarray], content: str = "content") -> DataFrame:
