@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import classlm, decontaminate, langid, licences, packing, quality, simhash, substring, suffixes, urls
+from lodestrata.llm import classlm, decontaminate, divergence, innerproduct, langid, licences, packing, quality, simhash, substring, suffixes, urls, whitening
 from lodestrata.llm.text import remainder
 
 #: The rules that the url query is asked to apply: (action, host, path).
@@ -66,6 +66,19 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return innerproduct.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id").withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": op1_suffix_array_dedup,
@@ -78,6 +91,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_class_lm": op8_class_lm,
         "op9_url_filter": op9_url_filter,
         "op10_substring_dedup": op10_substring_dedup,
+        "op11_exact_topk": op11_exact_topk,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 

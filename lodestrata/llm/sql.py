@@ -74,4 +74,36 @@ SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coales
 FROM w LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)
 """
 
-ORACLES = {"op7_quality_rules": _OP7, "op9_url_filter": _OP9, "op10_substring_dedup": _OP10}
+#: op11: integer inner products of all queries with all rows, by list functions.
+_OP11 = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10"""
+
+#: op12: every kept term in every source of its language, then all pairs of sources term by term.
+_OP12 = r"""WITH d AS (
+  SELECT row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tok AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+grid AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS whole, sum(coalesce(n, 0)) OVER (PARTITION BY lang, term) AS n_lang,
+         sum(coalesce(n, 0)) OVER (PARTITION BY lang) AS whole_lang, count(*) OVER (PARTITION BY lang, source) AS terms
+  FROM grp JOIN kept USING (lang) LEFT JOIN cnt USING (lang, source, term)),
+p AS (
+  SELECT lang, source, term, n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (whole + 5 * terms) AS BIGINT) AS p, CAST(1 + (CAST(1000000000 AS HUGEINT) * (n_lang + 5)) // (whole_lang + 5 * terms) AS BIGINT) AS q FROM grid),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce((SELECT sum(abs(x.p - y.p)) FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source),
+parts AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER w AS INTEGER) AS rank FROM parts
+WINDOW w AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) QUALIFY part = 'pair' OR row_number() OVER w <= 50"""
+
+ORACLES = {"op7_quality_rules": _OP7, "op9_url_filter": _OP9, "op10_substring_dedup": _OP10, "op11_exact_topk": _OP11, "op12_source_divergence": _OP12}
