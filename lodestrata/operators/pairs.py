@@ -6,6 +6,9 @@ links a block's members to its smallest one, so that a block costs its size and
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,13 @@ def star_edges(rows: DataFrame, block: str, node: str) -> DataFrame:
     return rows.join(smallest, block).where(F.col(node) != F.col("dst")).select(F.col(node).alias("src"), "dst")
 
 
+def double_star_edges(rows: DataFrame, block: str, node: str) -> DataFrame:
+    """(a, b): each node of a block with its smallest and its largest one. No edge of a block of three or more is a bridge in it, as in the block's pairs."""
+    ends = rows.where(F.col(block).isNotNull()).groupBy(block).agg(F.min(node).alias("low"), F.max(node).alias("high"))
+    joined = rows.join(ends, block).select(F.col(node).alias("n"), F.explode(F.array("low", "high")).alias("end"))
+    return joined.where("n <> end").select(F.least("n", "end").alias("a"), F.greatest("n", "end").alias("b")).distinct()
+
+
 def blocked_pairs(rows: DataFrame, block: str, node: str, split: str, across: bool | None = None) -> DataFrame:
     """(a, b, block) with a < b of one block; ``across``: different splits only (True), equal splits only (False), any (None)."""
     left = rows.select(F.col(block).alias("block"), F.col(node).alias("a"), F.col(split).alias("split_a"))
@@ -41,26 +51,50 @@ def first_writer(edges: DataFrame, precedence: Column) -> DataFrame:
     return best.select("a", "b", *(f"e.{c}" for c in edges.columns if c not in ("a", "b")))
 
 
-def hamming_pairs(rows: DataFrame, node: str, limbs: str, n_limbs: int, radius: int) -> DataFrame:
+def band_masks(bits: int, errors: int) -> list[int]:
+    """All masks of ``bits`` bits with at most ``errors`` set: what one band is probed with."""
+    return [sum(1 << k for k in at) for n in range(errors + 1) for at in combinations(range(bits), n)]
+
+
+def hamming_pairs(rows: DataFrame, node: str, limbs: str, n_limbs: int, radius: int, bands: int | None = None, keep: tuple[str, ...] = (), where: Column | str | None = None) -> DataFrame:
     """(a, b, distance) of all pairs at most ``radius`` bits apart, a < b.
 
-    ``radius + 1`` bands of the bits: a pair in range agrees on one band at least. The distinct
-    hashes are joined by band, then verified; copies are attached afterwards.
+    Multi-index hashing: of ``bands`` bands a pair in range differs on one by ``radius // bands`` bits at most, so each
+    distinct hash is joined with the band values that near (``band_masks``), and the whole distance is part of the join's condition.
+    The number of bands only moves work between probes and comparisons: None takes the most whose width reaches
+    the logarithm of the number of hashes. Copies are attached afterwards; ``where`` may tell which pairs are wanted, by the
+    columns ``keep`` of either side (as ``name_a``, ``name_b``, of the smaller and the larger node). Nulls and an empty table give no pairs.
     """
     hashes = rows.where(F.col(limbs).isNotNull()).select(F.col(limbs).alias("h")).distinct()
     bits = 64 * n_limbs
-    bounds = [bits * k // (radius + 1) for k in range(radius + 2)]
+    if bands is None:
+        wide = max(1, math.ceil(math.log2(max(2, hashes.count()))))
+        bands = max(1, min(radius + 1, bits // wide))
+    bands = max(bands, math.ceil(bits / 60))
+    bounds = [bits * k // bands for k in range(bands + 1)]
     text = F.concat(*(F.lpad(F.bin(F.get("h", F.lit(k))), 64, "0") for k in range(n_limbs)))
-    bands = F.array(*(F.struct(F.lit(k).alias("k"), F.substring(text, lo + 1, hi - lo).alias("v")) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))))
-    spread = hashes.select("h", F.explode(bands).alias("band"))
-    left, right = spread.select(F.col("h").alias("x"), "band"), spread.select(F.col("h").alias("y"), "band")
-    near = left.join(right, "band").where(F.col("x") < F.col("y")).select("x", "y").distinct()
-    near = near.withColumn("distance", hamming(F.col("x"), F.col("y"), n_limbs)).where(F.col("distance") <= radius)
+    spans = list(enumerate(zip(bounds, bounds[1:], strict=False)))
+    value = lambda lo, hi: F.conv(F.substring(F.col("bits"), lo + 1, hi - lo), 2, 10).cast("long")
+    cut = hashes.withColumn("bits", text)
+    exact = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), value(lo, hi).alias("v")) for k, (lo, hi) in spans)))
+
+    def probes(k: int, lo: int, hi: int) -> Column:
+        masks = F.array(*(F.lit(m).cast("long") for m in band_masks(hi - lo, radius // bands)))
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("k"), value(lo, hi).bitwiseXOR(m).alias("v")))
+
+    left = cut.select(F.col("h").alias("x"), exact.alias("own"))
+    right = cut.select(F.col("h").alias("y"), F.explode(F.concat(*(probes(k, lo, hi) for k, (lo, hi) in spans))).alias("probe"))
+    apart = hamming(F.col("x"), F.col("y"), n_limbs)
+    close = left.join(right, [F.col("own") == F.col("probe"), F.col("x") < F.col("y"), apart <= radius])
+    near = close.select("x", "y").distinct().withColumn("distance", apart)
     near = near.unionByName(hashes.select(F.col("h").alias("x"), F.col("h").alias("y"), F.lit(0).alias("distance")))
-    a = rows.select(F.col(limbs).alias("x"), F.col(node).alias("p"))
-    b = rows.select(F.col(limbs).alias("y"), F.col(node).alias("q"))
-    pairs = near.join(a, "x").join(b, "y").where((F.col("x") != F.col("y")) | (F.col("p") < F.col("q")))
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "distance")
+    a = rows.select(F.col(limbs).alias("x"), F.struct(F.col(node).alias("n"), *keep).alias("p"))
+    b = rows.select(F.col(limbs).alias("y"), F.struct(F.col(node).alias("n"), *keep).alias("q"))
+    pairs = near.join(a, "x").join(b, "y").where((F.col("x") != F.col("y")) | (F.col("p.n") < F.col("q.n")))
+    pairs = pairs.select(F.when(F.col("p.n") < F.col("q.n"), F.struct("p", "q")).otherwise(F.struct(F.col("q").alias("p"), F.col("p").alias("q"))).alias("e"), "distance")
+    sides = [F.col(f"e.{side}.{c}").alias(f"{c}_{name}") for c in keep for side, name in (("p", "a"), ("q", "b"))]
+    out = pairs.select(F.col("e.p.n").alias("a"), F.col("e.q.n").alias("b"), "distance", *sides)
+    return (out if where is None else out.where(where)).select("a", "b", "distance")
 
 
 def tier(kind: Column, corr: Column, same_regions: Column, distance: Column, full_corr: Column) -> Column:
@@ -84,48 +118,3 @@ def included(mode: str, kind: Column, corr: Column, same_regions: Column, distan
     supported = seen & F.coalesce((corr >= 0.995) & (full_corr >= 0.96), F.lit(False))
     visual = {"conservative": F.lit(False), "current": supported, "worst": seen}[mode]
     return F.when(kind == "exact", True).when(kind == "named", named).otherwise(visual)
-
-
-def bridges(edges: DataFrame, components: DataFrame) -> DataFrame:
-    """(a, b) of edges whose removal splits their component. One task for each component, linear in its edges.
-
-    ``components``: (node, component). A component has to fit a task: this is an audit of single groups.
-    """
-
-    def find(pdf):
-        import pandas as pd
-
-        near: dict = {}
-        for k, (a, b) in enumerate(zip(pdf["a"], pdf["b"], strict=True)):
-            near.setdefault(a, []).append((b, k))
-            near.setdefault(b, []).append((a, k))
-        order, low, out = {}, {}, []
-        for root in near:
-            if root in order:
-                continue
-            order[root] = low[root] = len(order)
-            stack = [(root, -1, iter(near[root]))]
-            while stack:
-                node, by, rest = stack[-1]
-                for other, k in rest:
-                    if k == by:
-                        continue
-                    if other in order:
-                        low[node] = min(low[node], order[other])
-                    else:
-                        order[other] = low[other] = len(order)
-                        stack.append((other, k, iter(near[other])))
-                        break
-                else:
-                    stack.pop()
-                    if stack:
-                        parent = stack[-1][0]
-                        low[parent] = min(low[parent], low[node])
-                        if low[node] > order[parent]:
-                            out.append(by)
-        return pdf.iloc[sorted(out)][["a", "b"]] if out else pd.DataFrame(columns=["a", "b"])
-
-    typed = edges.select("a", "b").distinct()
-    joined = typed.join(components.withColumnRenamed("node", "a"), "a")
-    kind = typed.schema["a"].dataType.simpleString()
-    return joined.groupBy("component").applyInPandas(find, f"a {kind}, b {kind}")

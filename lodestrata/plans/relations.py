@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
-from lodestrata.operators import assignment, pairs
+from lodestrata.operators import assignment, pairs, signatures
 from lodestrata.operators.components import connected_components
+from lodestrata.operators.forest import bridges, spanning_forest
+from lodestrata.operators.order import ranked
 from lodestrata.session import materialise
 
 
@@ -87,55 +89,79 @@ SELECT x.doc_id AS a, y.doc_id AS b FROM records x JOIN records y ON x.sha = y.s
 WHERE NOT (x.family = y.family AND x.split <> y.split)"""
 
 
-def sign_hashes(spark, sf_dir) -> DataFrame:
-    """vec_id, h: 64 bits, bit 63 - k set if component k exceeds component k + 1 (the last: the first)."""
-    e = F.col("embedding")
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.when(F.get(e, k) > F.get(e, (k + 1) % 64), "1").otherwise("0"))
-    text = F.array_join(bits, "")
-    half = lambda at: F.conv(F.substring(text, at, 32), 2, 10).cast("long")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.shiftleft(half(1), 32).bitwiseOR(half(33))).alias("h"), text.alias("bits"))
+def profiles(spark, sf_dir) -> DataFrame:
+    """doc_id, cells, h and the split, family and digest that the shortlist looks at."""
+    found = signatures.profiles(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return materialise(found.join(records(spark, sf_dir).select("doc_id", "split", "family", "sha"), "doc_id"), "profiles")
+
+
+#: Which near pairs are news: other splits, other families, other texts.
+NEWS = "split_a <> split_b AND NOT (family_a <=> family_b) AND sha_a <> sha_b"
+
+
+def shortlist(rows: DataFrame, radius: int) -> DataFrame:
+    """(a, b, distance, corr, full_corr): near pairs across splits and families with their correlations at both resolutions."""
+    near = pairs.hamming_pairs(rows, "doc_id", "h", 4, radius, keep=("split", "family", "sha"), where=NEWS)
+    cells = rows.select("doc_id", "cells")
+    joined = near.join(cells.toDF("a", "ca"), "a").join(cells.toDF("b", "cb"), "b")
+    at = lambda cut: scalar.pearson(cut(F.col("ca")), cut(F.col("cb")))
+    return joined.select("a", "b", "distance", at(signatures.coarse).alias("corr"), at(signatures.fine).alias("full_corr"))
 
 
 def hamming_shortlist_banded(spark, sf_dir):
-    return pairs.hamming_pairs(sign_hashes(spark, sf_dir), "vec_id", "h", 1, 12)
+    return pairs.hamming_pairs(profiles(spark, sf_dir), "doc_id", "h", 4, 12, keep=("split", "family", "sha"), where=NEWS)
 
 
-HAMMING = """WITH hashes AS (
-  SELECT vec_id, list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > embedding[k % 64 + 1] THEN 1 ELSE 0 END) AS bits FROM embeddings),
+_PROFILES = r"""cell_counts AS (
+  SELECT doc_id, CAST('0x' || substr(md5(w), 1, 4) AS INTEGER) % 257 AS cell, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM documents) GROUP BY ALL),
+profiles AS (
+  SELECT doc_id, list_transform(range(257), lambda k: coalesce(m[CAST(k AS INTEGER)], 0)) AS cells
+  FROM (SELECT doc_id, map_from_entries(list((cell, n))) AS m FROM cell_counts GROUP BY doc_id HAVING sum(n) >= 50)),
+hashes AS (SELECT doc_id, cells, array_to_string(list_transform(range(1, 257), lambda k: CASE WHEN cells[k] > cells[k + 1] THEN 1 ELSE 0 END), '') AS bits, split, family, sha FROM profiles JOIN records USING (doc_id)),
 near AS (
-  SELECT x.vec_id AS a, y.vec_id AS b, CAST(hamming(array_to_string(x.bits, ''), array_to_string(y.bits, '')) AS INTEGER) AS distance
-  FROM hashes x JOIN hashes y ON x.vec_id < y.vec_id)
-SELECT * FROM near WHERE distance <= 12"""
+  SELECT x.doc_id AS a, y.doc_id AS b, CAST(hamming(x.bits, y.bits) AS INTEGER) AS distance, x.cells AS ca, y.cells AS cb
+  FROM hashes x JOIN hashes y ON x.doc_id < y.doc_id AND x.split <> y.split AND x.family IS DISTINCT FROM y.family AND x.sha <> y.sha WHERE hamming(x.bits, y.bits) <= 14),
+shortlist AS (
+  SELECT a, b, distance, (SELECT corr(list_sum(ca[4 * k - 3 : 4 * k]), list_sum(cb[4 * k - 3 : 4 * k])) FROM (SELECT unnest(range(1, 65)) AS k)) AS corr,
+         (SELECT corr(ca[k], cb[k]) FROM (SELECT unnest(range(1, 257)) AS k)) AS full_corr FROM near)"""
+HAMMING = f"WITH {_RECORDS}, {_PROFILES} SELECT a, b, distance FROM near WHERE distance <= 12"
 
 
 def pearson_pairs(spark, sf_dir):
-    near = pairs.hamming_pairs(sign_hashes(spark, sf_dir), "vec_id", "h", 1, 12)
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    joined = near.join(vectors.toDF("a", "va"), "a").join(vectors.toDF("b", "vb"), "b")
-    return joined.select("a", "b", F.round(scalar.pearson(F.col("va"), F.col("vb")), 6).alias("corr"))
+    found = shortlist(profiles(spark, sf_dir), 12)
+    return found.select("a", "b", F.round("corr", 6).alias("corr"), F.round("full_corr", 6).alias("full_corr"))
 
 
-PEARSON = f"""{HAMMING.replace("SELECT * FROM near WHERE distance <= 12", "")}
-SELECT a, b, round((SELECT corr(CAST(x.embedding[k] AS DOUBLE), CAST(y.embedding[k] AS DOUBLE)) FROM (SELECT unnest(range(1, 65)) AS k)), 6) AS corr
-FROM near JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE distance <= 12"""
+PEARSON = f"WITH {_RECORDS}, {_PROFILES} SELECT a, b, round(corr, 6) AS corr, round(full_corr, 6) AS full_corr FROM shortlist WHERE distance <= 12"
 
 
-def relation_edges(spark, sf_dir) -> DataFrame:
-    """Exact, named (family) and visual (embedding) edges with their evidence; exact suppresses named for a pair."""
-    rows = records(spark, sf_dir)
-    null = F.lit(None).cast("double")
-    exact = pairs.blocked_pairs(rows, "sha", "doc_id", "split").select("a", "b", F.lit("exact").alias("kind"), F.lit(1.0).alias("corr"), F.lit(True).alias("same"), F.lit(0).alias("distance"), F.lit(1.0).alias("full_corr"))
-    sizes = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("chars"), "lang")
+def _named(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of a family with the ratio of their lengths and whether their languages agree."""
     named = pairs.blocked_pairs(rows, "family", "doc_id", "split").select("a", "b").join(sizes.toDF("a", "ca", "la"), "a").join(sizes.toDF("b", "cb", "lb"), "b")
     closeness = F.when(F.greatest("ca", "cb") > 0, F.least("ca", "cb") / F.greatest("ca", "cb")).otherwise(1.0)
-    named = named.select("a", "b", F.lit("named").alias("kind"), closeness.alias("corr"), (F.col("la") == F.col("lb")).alias("same"), F.lit(None).cast("int").alias("distance"), null.alias("full_corr"))
-    visual = pairs.hamming_pairs(sign_hashes(spark, sf_dir), "vec_id", "h", 1, 14)
-    visual = visual.select("a", "b", F.lit("visual").alias("kind"), (1 - F.col("distance") / 64.0).alias("corr"), F.lit(False).alias("same"), "distance", null.alias("full_corr"))
-    return exact.unionByName(named).unionByName(visual)
+    return named.select("a", "b", F.lit("named").alias("kind"), closeness.alias("corr"), (F.col("la") == F.col("lb")).alias("same"), F.lit(None).cast("int").alias("distance"), F.lit(None).cast("double").alias("full_corr"))
+
+
+def _sizes(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("chars"), "lang")
+
+
+def _exact(found: DataFrame) -> DataFrame:
+    return found.select("a", "b", F.lit("exact").alias("kind"), F.lit(1.0).alias("corr"), F.lit(True).alias("same"), F.lit(0).alias("distance"), F.lit(1.0).alias("full_corr"))
+
+
+def _visual(spark, sf_dir) -> DataFrame:
+    return shortlist(profiles(spark, sf_dir), 14).select("a", "b", F.lit("visual").alias("kind"), "corr", F.lit(False).alias("same"), "distance", "full_corr")
+
 
+def relation_edges(spark, sf_dir) -> DataFrame:
+    """Exact, named (family) and visual (word profile) edges with their evidence; visual ones only between families and texts that differ."""
+    rows = records(spark, sf_dir)
+    exact = _exact(pairs.blocked_pairs(rows, "sha", "doc_id", "split"))
+    return exact.unionByName(_named(rows, _sizes(spark, sf_dir))).unionByName(_visual(spark, sf_dir))
 
-_EDGES = f"""{_RECORDS},
-hashes AS (SELECT vec_id, list_transform(range(1, 65), lambda k: CASE WHEN embedding[k] > embedding[k % 64 + 1] THEN 1 ELSE 0 END) AS bits FROM embeddings),
+
+_EDGES = f"""{_RECORDS}, {_PROFILES},
 edges AS (
   SELECT x.doc_id AS a, y.doc_id AS b, 'exact' AS kind, 1.0::DOUBLE AS corr, true AS same, 0 AS distance, 1.0::DOUBLE AS full_corr
   FROM records x JOIN records y ON x.sha = y.sha AND x.doc_id < y.doc_id
@@ -144,9 +170,7 @@ edges AS (
          x.lang = y.lang, NULL, NULL
   FROM records x JOIN records y ON x.family = y.family AND x.doc_id < y.doc_id JOIN documents p ON p.doc_id = x.doc_id JOIN documents q ON q.doc_id = y.doc_id
   UNION ALL
-  SELECT a, b, 'visual', 1 - distance / 64.0::DOUBLE, false, distance, NULL FROM (
-    SELECT x.vec_id AS a, y.vec_id AS b, CAST(hamming(array_to_string(x.bits, ''), array_to_string(y.bits, '')) AS INTEGER) AS distance
-    FROM hashes x JOIN hashes y ON x.vec_id < y.vec_id) WHERE distance <= 14),
+  SELECT a, b, 'visual', corr, false, distance, full_corr FROM shortlist),
 tiered AS (
   SELECT *, CASE WHEN kind = 'exact' THEN 'Confirmed'
     WHEN kind = 'named' THEN CASE WHEN corr >= 0.995 THEN CASE WHEN same THEN 'Strongly Supported' ELSE 'Supported' END ELSE 'Candidate' END
@@ -192,18 +216,6 @@ walk(doc_id, component) AS (
 linked AS (SELECT doc_id, min(component) AS component FROM walk GROUP BY doc_id)"""
 
 
-def ranked(rows: DataFrame, by: str) -> DataFrame:
-    """Adds ``rank`` from 1 in the order of distinct values of ``by``: ranges are ranked by tasks and shifted by the counts before them."""
-    placed = materialise(rows.repartitionByRange(F.col(by)).withColumn("part", F.spark_partition_id()), "ranges")
-    counts = placed.groupBy("part").agg(F.count("*").alias("n")).collect()  # one row for each task
-    sizes, before = {r["part"]: r["n"] for r in counts}, [(-1, 0)]
-    for part in sorted(sizes):
-        before.append((part, sum(sizes[p] for p in sizes if p < part)))
-    shift = F.broadcast(rows.sparkSession.createDataFrame(before, "part int, before long"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(by))
-    return placed.withColumn("own", own).join(shift, "part").withColumn("rank", F.col("own") + F.col("before")).drop("part", "own", "before")
-
-
 def source_components(spark, sf_dir):
     linked = _linked(spark, sf_dir)
     names = ranked(linked.select("component").distinct(), "component")
@@ -246,20 +258,93 @@ CANONICAL = f"""WITH RECURSIVE {_COMPONENTS}
 SELECT component, arg_min(doc_id, {{'c': -length(text), 'd': doc_id}}) AS canonical, count(*) AS size FROM linked JOIN documents USING (doc_id) GROUP BY component"""
 
 
+#: Tiers that merge two groups, and the place of a kind in the order of merging.
+MERGING = ("Confirmed", "Strongly Supported", "Supported")
+KINDS = ("exact", "named", "visual")
+
+
+def _place(kind) -> Column:
+    return F.array_position(F.array(*map(F.lit, KINDS)), kind)
+
+
+def merging_edges(spark, sf_dir) -> DataFrame:
+    """(a, b, kind, tier, place, strength) of edges that merge: exact ones as stars, named ones between the first copies of each text and language, visual ones.
+
+    Of the pairs that are left out, each is tied by edges that come before it in the order (kind, a, b), and is no stronger than one of its ends' others.
+    """
+    rows = records(spark, sf_dir)
+    exact = _exact(pairs.star_edges(rows, "sha", "doc_id").select(F.col("dst").alias("a"), F.col("src").alias("b")))
+    first = rows.groupBy("sha", "lang").agg(F.min("doc_id").alias("doc_id"))
+    named = _named(rows.join(first.select("doc_id"), "doc_id"), _sizes(spark, sf_dir))
+    every = exact.unionByName(named).unionByName(_visual(spark, sf_dir))
+    tiered = every.withColumn("tier", pairs.tier(*(F.col(c) for c in ("kind", "corr", "same", "distance", "full_corr"))))
+    kept = tiered.where(F.col("tier").isin(*MERGING))
+    return materialise(kept.select("a", "b", "kind", "tier", _place(F.col("kind")).alias("place"), scalar.tier_rank(F.col("tier")).alias("strength")), "merging")
+
+
+_MERGING = f"""{_EDGES},
+merging AS (SELECT *, CASE kind WHEN 'exact' THEN 1 WHEN 'named' THEN 2 ELSE 3 END AS place, CASE tier WHEN 'Confirmed' THEN 4 WHEN 'Strongly Supported' THEN 3 ELSE 2 END AS strength FROM tiered WHERE tier IN ('Confirmed', 'Strongly Supported', 'Supported'))"""
+
+
+def merged_edges(spark, sf_dir):
+    """The edges that really joined two groups when all that merge are taken in order: exact, named, visual, then by ends."""
+    forest, _ = spanning_forest(merging_edges(spark, sf_dir), "place")
+    return forest.select("a", "b", "kind", "tier")
+
+
+MERGED = f"""WITH RECURSIVE {_MERGING},
+numbered AS (SELECT *, row_number() OVER (ORDER BY place, a, b) AS r FROM merging),
+ends AS (SELECT r, a AS x, b AS y FROM numbered UNION ALL SELECT r, b, a FROM numbered),
+reach(r, node) AS (SELECT r, a FROM numbered UNION SELECT w.r, e.y FROM reach w JOIN ends e ON e.x = w.node AND e.r < w.r)
+SELECT a, b, kind, tier FROM numbered n WHERE NOT EXISTS (SELECT 1 FROM reach w WHERE w.r = n.r AND w.node = n.b)"""
+
+
+def canonical_relation(spark, sf_dir):
+    """How each document is tied to its group: the canonical member, or the strongest incident edge that merges (the first of equals in the order of merging).
+
+    The canonical member is the longest text, then the smallest id. Groups are those of the merging edges.
+    """
+    edges = merging_edges(spark, sf_dir)
+    forest, _ = spanning_forest(edges, "place")
+    found = connected_components(forest, "a", "b").withColumnRenamed("node", "doc_id")
+    grouped = _sizes(spark, sf_dir).join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    canonical = grouped.groupBy("component").agg(F.min_by("doc_id", F.struct(-F.col("chars"), "doc_id")).alias("canonical"))
+    # Every document's exact edge is with the smallest copy of its text; a text's named and visual edges hold for all its copies.
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("e"), "a", "b", "kind", "tier", "place", "strength")
+    best = both.groupBy("e.doc_id").agg(F.min_by(F.struct("kind", "tier", F.col("e.other").alias("other")), F.struct(-F.col("strength"), "place", "a", "b")).alias("best"))
+    joined = grouped.join(canonical, "component").join(best, "doc_id", "left")
+    own = F.col("doc_id") == F.col("canonical")
+    pick = lambda name, mine: F.when(own, mine).otherwise(F.col(f"best.{name}")).alias(name)
+    return joined.select("doc_id", "canonical", pick("kind", F.lit("canonical")), pick("tier", F.lit("Confirmed")), pick("other", F.lit(None)))
+
+
+CANONICAL_RELATION = f"""WITH RECURSIVE {_MERGING},
+ends AS (SELECT a AS doc_id, b AS other, a, b, kind, tier, place, strength FROM merging UNION ALL SELECT b, a, a, b, kind, tier, place, strength FROM merging),
+walk(doc_id, component) AS (SELECT doc_id, doc_id FROM records UNION SELECT e.other, w.component FROM walk w JOIN ends e USING (doc_id) WHERE w.component < e.other),
+groups AS (SELECT doc_id, min(component) AS component FROM walk GROUP BY doc_id),
+canon AS (SELECT component, arg_min(doc_id, {{'c': -length(text), 'd': doc_id}}) AS canonical FROM groups JOIN documents USING (doc_id) GROUP BY component),
+best AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY strength DESC, place, a, b) = 1)
+SELECT g.doc_id, canonical, CASE WHEN g.doc_id = canonical THEN 'canonical' ELSE kind END AS kind, CASE WHEN g.doc_id = canonical THEN 'Confirmed' ELSE tier END AS tier,
+       CASE WHEN g.doc_id = canonical THEN NULL ELSE other END AS other
+FROM groups g JOIN canon USING (component) LEFT JOIN best ON best.doc_id = g.doc_id"""
+
+
 def bridge_edges(spark, sf_dir):
+    """Edges between documents of one text or family whose removal splits their group, with the sizes that it would leave."""
     rows = records(spark, sf_dir)
-    edges = pairs.blocked_pairs(rows, "sha", "doc_id", "split").select("a", "b").union(pairs.blocked_pairs(rows, "family", "doc_id", "split").select("a", "b")).distinct()
-    return pairs.bridges(edges, connected_components(edges, "a", "b"))
+    return bridges(pairs.double_star_edges(rows, "sha", "doc_id").union(pairs.double_star_edges(rows, "family", "doc_id")))
 
 
 BRIDGES = f"""WITH RECURSIVE {_RECORDS},
 edges AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM records x JOIN records y ON (x.sha = y.sha OR x.family = y.family) AND x.doc_id < y.doc_id),
 ends AS (SELECT a, b, a AS x, b AS y FROM edges UNION ALL SELECT a, b, b, a FROM edges),
-reach(ea, eb, node) AS (
-  SELECT a, b, a FROM edges
+sides AS (SELECT a, b, a AS side FROM edges UNION ALL SELECT a, b, b FROM edges),
+reach(ea, eb, side, node) AS (
+  SELECT a, b, side, side FROM sides
   UNION
-  SELECT r.ea, r.eb, e.y FROM reach r JOIN ends e ON e.x = r.node AND NOT (e.a = r.ea AND e.b = r.eb))
-SELECT a, b FROM edges WHERE NOT EXISTS (SELECT 1 FROM reach WHERE ea = a AND eb = b AND node = b)"""
+  SELECT r.ea, r.eb, r.side, e.y FROM reach r JOIN ends e ON e.x = r.node AND NOT (e.a = r.ea AND e.b = r.eb))
+SELECT a, b, (SELECT count(*) FROM reach WHERE ea = a AND eb = b AND side = a) AS size_a, (SELECT count(*) FROM reach WHERE ea = a AND eb = b AND side = b) AS size_b
+FROM edges WHERE NOT EXISTS (SELECT 1 FROM reach WHERE ea = a AND eb = b AND side = a AND node = b)"""
 
 
 def threshold_sweep(spark, sf_dir):
@@ -408,6 +493,8 @@ QUERIES = {
     "component_size_histogram": (component_size_histogram, SIZE_HISTOGRAM),
     "guard_clusters": (guard_clusters, GUARD_CLUSTERS),
     "canonical_member": (canonical_member, CANONICAL),
+    "merged_edges": (merged_edges, MERGED),
+    "canonical_relation": (canonical_relation, CANONICAL_RELATION),
     "bridge_edges": (bridge_edges, BRIDGES),
     "threshold_sweep": (threshold_sweep, SWEEP),
     "annotation_conflicts": (annotation_conflicts, CONFLICTS),

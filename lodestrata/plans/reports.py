@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestrata.functions import scalar
 from lodestrata.operators import assignment, pairs
 from lodestrata.operators.components import connected_components
+from lodestrata.operators.order import ranked
 from lodestrata.plans.audits import _BOXES, _JUDGED, _boxes, _judged
-from lodestrata.plans.relations import _RECORDS, ranked, records, table
+from lodestrata.plans.relations import _RECORDS, records, table
 from lodestrata.session import materialise
 
 #: Edge settings: how close two lengths of a family have to be, and whether the languages have to agree.
@@ -142,30 +143,6 @@ def weakest_families(spark, sf_dir):
 WEAKEST_SQL = f"{_REVIEW} SELECT family, weakest, n, tier FROM graded ORDER BY weakest, family LIMIT 10"
 
 
-def canonical_relation(spark, sf_dir):
-    """How each document is tied to its family: its strongest tier, found from neighbours by length, without pairs."""
-    rows = _sized(spark, sf_dir)
-    copies = F.count("*").over(Window.partitionBy("sha")) > 1
-    ratio = lambda o: F.when(o.isNotNull(), F.least(F.col("chars"), o) / F.greatest(F.col("chars"), o, F.lit(1))).otherwise(0.0)
-
-    def close(*by):
-        order = Window.partitionBy(*by).orderBy("chars", "doc_id")
-        return F.greatest(ratio(F.lag("chars").over(order)), ratio(F.lead("chars").over(order)))
-
-    members = F.count("*").over(Window.partitionBy("family"))
-    best = rows.withColumns({"copies": copies, "any": close("family"), "same": close("family", "lang"), "members": members})
-    named = F.col("family").isNotNull()
-    tier = F.when(F.col("copies"), "Confirmed").when(named & (F.col("same") >= 0.995), "Strongly Supported").when(named & (F.col("any") >= 0.995), "Supported").when(named & (F.col("members") > 1), "Candidate")
-    return best.select("doc_id", tier.alias("tier")).where("tier IS NOT NULL")
-
-
-RELATION_SQL = f"""WITH {_RECORDS}, sized AS (SELECT r.*, length(text) AS chars FROM records r JOIN documents USING (doc_id)),
-edges AS (
-  SELECT x.doc_id, CASE WHEN x.sha = y.sha THEN 4 WHEN least(x.chars, y.chars) >= 0.995::DOUBLE * greatest(x.chars, y.chars) THEN CASE WHEN x.lang = y.lang THEN 3 ELSE 2 END ELSE 1 END AS r
-  FROM sized x JOIN sized y ON x.doc_id <> y.doc_id AND (x.sha = y.sha OR x.family = y.family))
-SELECT doc_id, CASE max(r) WHEN 4 THEN 'Confirmed' WHEN 3 THEN 'Strongly Supported' WHEN 2 THEN 'Supported' ELSE 'Candidate' END AS tier FROM edges GROUP BY doc_id"""
-
-
 def candidate_guards(spark, sf_dir):
     """Guard clusters: groups of equal or close texts, joined by the residual candidate edges between different groups."""
     rows = _sized(spark, sf_dir)
@@ -384,7 +361,6 @@ QUERIES = {
     "partition_comparison": (partition_comparison, COMPARISON_SQL),
     "family_review": (family_review, REVIEW_SQL),
     "weakest_families": (weakest_families, WEAKEST_SQL),
-    "canonical_relation": (canonical_relation, RELATION_SQL),
     "candidate_guards": (candidate_guards, GUARDS_SQL),
     "duplicate_label_review": (duplicate_label_review, DUPLICATE_LABELS_SQL),
     "pool_totals": (pool_totals, TOTALS_SQL),

@@ -112,12 +112,6 @@ def test_tiers_and_modes(spark):
         assert [int(r["t"]) for r in df.select(pairs.included(mode, *columns).alias("t")).collect()] == expected
 
 
-def test_bridges(spark):
-    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (8, 9)], "a long, b long")
-    found = pairs.bridges(edges, connected_components(edges, "a", "b"))
-    assert {(r["a"], r["b"]) for r in found.collect()} == {(3, 4), (4, 5), (8, 9)}
-
-
 def test_override_checks_the_prior(spark):
     edges = spark.createDataFrame([(1, 2, "Candidate"), (3, 4, "Supported")], "a long, b long, tier string")
     good = spark.createDataFrame([(2, 1, "Candidate", "Confirmed")], "a long, b long, prior string, reviewed string")
@@ -265,7 +259,7 @@ def test_identity_finds_altered_missing_and_extra(spark):
 
 
 def test_ranks_are_those_of_one_sort(spark):
-    from lodestrata.plans.relations import ranked
+    from lodestrata.operators.order import ranked
 
     values = [(k * 7919) % 1009 for k in range(300)]
     found = {r["v"]: r["rank"] for r in ranked(spark.createDataFrame([(v,) for v in values], "v long"), "v").collect()}
