@@ -72,18 +72,25 @@ def hamming_pairs(rows: DataFrame, node: str, limbs: str, n_limbs: int, radius:
         bands = max(1, min(radius + 1, bits // wide))
     bands = max(bands, math.ceil(bits / 60))
     bounds = [bits * k // bands for k in range(bands + 1)]
-    text = F.concat(*(F.lpad(F.bin(F.get("h", F.lit(k))), 64, "0") for k in range(n_limbs)))
     spans = list(enumerate(zip(bounds, bounds[1:], strict=False)))
-    value = lambda lo, hi: F.conv(F.substring(F.col("bits"), lo + 1, hi - lo), 2, 10).cast("long")
-    cut = hashes.withColumn("bits", text)
+
+    def value(lo: int, hi: int) -> Column:
+        """Bits lo to hi of the limbs, the first limb's highest bit being bit 0."""
+        limb = lambda at: F.get("h", F.lit(at // 64))
+        low = (hi - 1) % 64 + 1  # bits that the last limb gives
+        last = F.shiftrightunsigned(limb(hi - 1), 64 - low)
+        if lo // 64 != (hi - 1) // 64:
+            last = F.shiftleft(limb(lo), low).bitwiseOR(last)
+        return last.bitwiseAND(F.lit((1 << hi - lo) - 1))
+
     exact = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), value(lo, hi).alias("v")) for k, (lo, hi) in spans)))
 
     def probes(k: int, lo: int, hi: int) -> Column:
         masks = F.array(*(F.lit(m).cast("long") for m in band_masks(hi - lo, radius // bands)))
         return F.transform(masks, lambda m: F.struct(F.lit(k).alias("k"), value(lo, hi).bitwiseXOR(m).alias("v")))
 
-    left = cut.select(F.col("h").alias("x"), exact.alias("own"))
-    right = cut.select(F.col("h").alias("y"), F.explode(F.concat(*(probes(k, lo, hi) for k, (lo, hi) in spans))).alias("probe"))
+    left = hashes.select(F.col("h").alias("x"), exact.alias("own"))
+    right = hashes.select(F.col("h").alias("y"), F.explode(F.concat(*(probes(k, lo, hi) for k, (lo, hi) in spans))).alias("probe"))
     apart = hamming(F.col("x"), F.col("y"), n_limbs)
     close = left.join(right, [F.col("own") == F.col("probe"), F.col("x") < F.col("y"), apart <= radius])
     near = close.select("x", "y").distinct().withColumn("distance", apart)

@@ -17,13 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     """doc_id, sha, family (digest of all ASCII letters in lower case, null if there is none), split, source, lang."""
     letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
     letters = F.when(letters != "", F.md5(letters))
     bucket = F.pmod(F.col("doc_id"), F.lit(10))
     split = F.when(bucket < 7, "train").when(bucket < 9, "val").otherwise("test")
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), letters.alias("family"), split.alias("split"), "source", "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"), letters.alias("family"), split.alias("split"), "source", "lang", *more)
 
 
 _RECORDS = """records AS (
@@ -89,10 +89,17 @@ SELECT x.doc_id AS a, y.doc_id AS b FROM records x JOIN records y ON x.sha = y.s
 WHERE NOT (x.family = y.family AND x.split <> y.split)"""
 
 
-def profiles(spark, sf_dir) -> DataFrame:
-    """doc_id, cells, h and the split, family and digest that the shortlist looks at."""
+def _known(spark, sf_dir) -> DataFrame:
+    """``records`` and the lengths, written once: texts are hashed in one pass however often the keys are joined."""
+    chars = F.length("text").cast("double").alias("chars")
+    return materialise(records(spark, sf_dir, chars), "records")
+
+
+def profiles(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
+    """The profiles of documents and the split, family and digest that the shortlist looks at."""
     found = signatures.profiles(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return materialise(found.join(records(spark, sf_dir).select("doc_id", "split", "family", "sha"), "doc_id"), "profiles")
+    rows = _known(spark, sf_dir) if rows is None else rows
+    return materialise(found.join(rows.select("doc_id", "split", "family", "sha"), "doc_id"), "profiles")
 
 
 #: Which near pairs are news: other splits, other families, other texts.
@@ -102,10 +109,10 @@ NEWS = "split_a <> split_b AND NOT (family_a <=> family_b) AND sha_a <> sha_b"
 def shortlist(rows: DataFrame, radius: int) -> DataFrame:
     """(a, b, distance, corr, full_corr): near pairs across splits and families with their correlations at both resolutions."""
     near = pairs.hamming_pairs(rows, "doc_id", "h", 4, radius, keep=("split", "family", "sha"), where=NEWS)
-    cells = rows.select("doc_id", "cells")
-    joined = near.join(cells.toDF("a", "ca"), "a").join(cells.toDF("b", "cb"), "b")
-    at = lambda cut: scalar.pearson(cut(F.col("ca")), cut(F.col("cb")))
-    return joined.select("a", "b", "distance", at(signatures.coarse).alias("corr"), at(signatures.fine).alias("full_corr"))
+    side = lambda end: rows.select(F.col("doc_id").alias(end), F.struct("fine", "coarse", "of_fine", "of_coarse").alias(f"p{end}"))
+    joined = near.join(side("a"), "a").join(side("b"), "b")
+    at = lambda cut: scalar.pearson_of(*(F.col(f"p{end}.{cut}") for cut in (cut, f"of_{cut}") for end in "ab"))
+    return joined.select("a", "b", "distance", at("coarse").alias("corr"), at("fine").alias("full_corr"))
 
 
 def hamming_shortlist_banded(spark, sf_dir):
@@ -135,30 +142,27 @@ def pearson_pairs(spark, sf_dir):
 PEARSON = f"WITH {_RECORDS}, {_PROFILES} SELECT a, b, round(corr, 6) AS corr, round(full_corr, 6) AS full_corr FROM shortlist WHERE distance <= 12"
 
 
-def _named(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _named(rows: DataFrame) -> DataFrame:
     """Pairs of a family with the ratio of their lengths and whether their languages agree."""
+    sizes = rows.select("doc_id", "chars", "lang")
     named = pairs.blocked_pairs(rows, "family", "doc_id", "split").select("a", "b").join(sizes.toDF("a", "ca", "la"), "a").join(sizes.toDF("b", "cb", "lb"), "b")
     closeness = F.when(F.greatest("ca", "cb") > 0, F.least("ca", "cb") / F.greatest("ca", "cb")).otherwise(1.0)
     return named.select("a", "b", F.lit("named").alias("kind"), closeness.alias("corr"), (F.col("la") == F.col("lb")).alias("same"), F.lit(None).cast("int").alias("distance"), F.lit(None).cast("double").alias("full_corr"))
 
 
-def _sizes(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("double").alias("chars"), "lang")
-
-
 def _exact(found: DataFrame) -> DataFrame:
     return found.select("a", "b", F.lit("exact").alias("kind"), F.lit(1.0).alias("corr"), F.lit(True).alias("same"), F.lit(0).alias("distance"), F.lit(1.0).alias("full_corr"))
 
 
-def _visual(spark, sf_dir) -> DataFrame:
-    return shortlist(profiles(spark, sf_dir), 14).select("a", "b", F.lit("visual").alias("kind"), "corr", F.lit(False).alias("same"), "distance", "full_corr")
+def _visual(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    return shortlist(profiles(spark, sf_dir, rows), 14).select("a", "b", F.lit("visual").alias("kind"), "corr", F.lit(False).alias("same"), "distance", "full_corr")
 
 
 def relation_edges(spark, sf_dir) -> DataFrame:
     """Exact, named (family) and visual (word profile) edges with their evidence; visual ones only between families and texts that differ."""
-    rows = records(spark, sf_dir)
+    rows = _known(spark, sf_dir)
     exact = _exact(pairs.blocked_pairs(rows, "sha", "doc_id", "split"))
-    return exact.unionByName(_named(rows, _sizes(spark, sf_dir))).unionByName(_visual(spark, sf_dir))
+    return exact.unionByName(_named(rows)).unionByName(_visual(spark, sf_dir, rows))
 
 
 _EDGES = f"""{_RECORDS}, {_PROFILES},
@@ -267,16 +271,15 @@ def _place(kind) -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), kind)
 
 
-def merging_edges(spark, sf_dir) -> DataFrame:
+def merging_edges(spark, sf_dir, rows: DataFrame) -> DataFrame:
     """(a, b, kind, tier, place, strength) of edges that merge: exact ones as stars, named ones between the first copies of each text and language, visual ones.
 
     Of the pairs that are left out, each is tied by edges that come before it in the order (kind, a, b), and is no stronger than one of its ends' others.
     """
-    rows = records(spark, sf_dir)
     exact = _exact(pairs.star_edges(rows, "sha", "doc_id").select(F.col("dst").alias("a"), F.col("src").alias("b")))
     first = rows.groupBy("sha", "lang").agg(F.min("doc_id").alias("doc_id"))
-    named = _named(rows.join(first.select("doc_id"), "doc_id"), _sizes(spark, sf_dir))
-    every = exact.unionByName(named).unionByName(_visual(spark, sf_dir))
+    named = _named(rows.join(first.select("doc_id"), "doc_id"))
+    every = exact.unionByName(named).unionByName(_visual(spark, sf_dir, rows))
     tiered = every.withColumn("tier", pairs.tier(*(F.col(c) for c in ("kind", "corr", "same", "distance", "full_corr"))))
     kept = tiered.where(F.col("tier").isin(*MERGING))
     return materialise(kept.select("a", "b", "kind", "tier", _place(F.col("kind")).alias("place"), scalar.tier_rank(F.col("tier")).alias("strength")), "merging")
@@ -288,7 +291,7 @@ merging AS (SELECT *, CASE kind WHEN 'exact' THEN 1 WHEN 'named' THEN 2 ELSE 3 E
 
 def merged_edges(spark, sf_dir):
     """The edges that really joined two groups when all that merge are taken in order: exact, named, visual, then by ends."""
-    forest, _ = spanning_forest(merging_edges(spark, sf_dir), "place")
+    forest, _ = spanning_forest(merging_edges(spark, sf_dir, _known(spark, sf_dir)), "place")
     return forest.select("a", "b", "kind", "tier")
 
 
@@ -304,10 +307,11 @@ def canonical_relation(spark, sf_dir):
 
     The canonical member is the longest text, then the smallest id. Groups are those of the merging edges.
     """
-    edges = merging_edges(spark, sf_dir)
+    rows = _known(spark, sf_dir)
+    edges = merging_edges(spark, sf_dir, rows)
     forest, _ = spanning_forest(edges, "place")
     found = connected_components(forest, "a", "b").withColumnRenamed("node", "doc_id")
-    grouped = _sizes(spark, sf_dir).join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    grouped = rows.select("doc_id", "chars").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     canonical = grouped.groupBy("component").agg(F.min_by("doc_id", F.struct(-F.col("chars"), "doc_id")).alias("canonical"))
     # Every document's exact edge is with the smallest copy of its text; a text's named and visual edges hold for all its copies.
     both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("e"), "a", "b", "kind", "tier", "place", "strength")

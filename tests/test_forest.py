@@ -142,7 +142,8 @@ def test_profiles_count_words_and_compare_cells(spark):
     cells = [0] * 257
     for w in body.split():
         cells[int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % 257] += 1
-    assert set(found) == {1, 4, 5} and found[1]["cells"] == cells == found[4]["cells"]
+    assert set(found) == {1, 4, 5} and found[1]["fine"] == cells[:256] == found[4]["fine"]
+    assert found[1]["coarse"] == [sum(cells[k : k + 4]) for k in range(0, 256, 4)] and found[1]["of_fine"][:] == (256, sum(cells[:256]), sum(c * c for c in cells[:256]))
     bits = "".join("1" if cells[k] > cells[k + 1] else "0" for k in range(256))
     assert [v % 2**64 for v in found[1]["h"]] == [int(bits[k : k + 64], 2) for k in range(0, 256, 64)]
     assert sum((a ^ b).bit_count() for a, b in zip((v % 2**64 for v in found[1]["h"]), (v % 2**64 for v in found[5]["h"]), strict=True)) <= 2
