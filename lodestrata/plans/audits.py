@@ -9,6 +9,7 @@ from lodestrata.functions import scalar
 from lodestrata.operators import checks
 from lodestrata.plans.relations import _RECORDS, records, table
 from lodestrata.session import materialise
+from lodestrata.sources import archives
 
 LABELS = (0, 1)
 
@@ -223,6 +224,27 @@ SELECT suffix, count(*) AS n, count(*) FILTER (regexp_matches(path, '(?i)(aug|br
        count(*) FILTER (starts_with(path, '/') OR list_contains(string_split(path, '/'), '..')) AS unsafe, array_to_string(list_sort(list(page_id))[1:5], '|') AS examples FROM s GROUP BY suffix"""
 
 
+def archive_structure(spark, sf_dir):
+    """The structure report over the paths of all pages, as if they were an archive's members."""
+    path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[A-Za-z]+://", "")
+    rows = table(spark, sf_dir, "pages").select(path.alias("path")).where("path IS NOT NULL")
+    return archives.structure_report(rows.withColumn("is_dir", F.col("path").endswith("/")))
+
+
+_HINT_COUNTS = " ".join(f"UNION ALL SELECT 'hint', '{name}' FROM c WHERE regexp_matches(path, '{pattern}')" for name, pattern in archives.HINTS.items())
+STRUCTURE = rf"""WITH p AS (SELECT regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[A-Za-z]+://', '') AS path FROM pages WHERE url IS NOT NULL),
+m AS (SELECT path, ends_with(path, '/') AS is_dir, regexp_extract(path, '([^/]*)$', 1) AS base FROM p),
+f AS (SELECT *, coalesce(nullif(lower(regexp_extract(base, '.(\.[^.]*)$', 1)), ''), '[none]') AS suffix FROM m WHERE NOT is_dir),
+c AS (SELECT * FROM f WHERE NOT starts_with(path, '__MACOSX/') AND NOT starts_with(base, '._')),
+i AS (SELECT * FROM c WHERE suffix IN {archives.IMAGE_SUFFIXES}),
+cells(section, key) AS (
+  SELECT 'member', CASE WHEN is_dir THEN 'directory' ELSE 'file' END FROM m UNION ALL SELECT 'extension', suffix FROM f UNION ALL SELECT 'image', suffix FROM i UNION ALL SELECT 'top', string_split(path, '/')[1] FROM f
+  {_HINT_COUNTS} UNION ALL SELECT 'unsafe', 'path' FROM m WHERE starts_with(path, '/') OR list_contains(string_split(path, '/'), '..'))
+SELECT section, key, count(*) AS n FROM cells GROUP BY ALL
+UNION ALL (SELECT 'folder', CASE WHEN contains(path, '/') THEN regexp_extract(path, '^(.*)/[^/]*$', 1) ELSE '[root]' END AS key, count(*) AS n FROM f GROUP BY ALL ORDER BY n DESC, key LIMIT 30)
+UNION ALL SELECT 'repeated', 'image_names', count(*) FROM (SELECT lower(base) FROM i GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0"""
+
+
 def top_directories(spark, sf_dir):
     folder = F.regexp_extract("url", r"^(.*)/[^/]*$", 1)
     return table(spark, sf_dir, "pages").groupBy(folder.alias("folder")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "folder").limit(30)
@@ -282,6 +304,7 @@ QUERIES = {
     "daily_curve_last": (daily_curve_last, CURVE),
     "share_percent": (share_percent, SHARE),
     "name_hint_report": (name_hint_report, NAME_HINTS),
+    "archive_structure": (archive_structure, STRUCTURE),
     "top_directories": (top_directories, TOP_DIRECTORIES),
     "benchmark_contamination": (benchmark_contamination, CONTAMINATION),
     "provenance_check": (provenance_check, PROVENANCE),

@@ -4,31 +4,21 @@ from __future__ import annotations
 
 import json
 import os
-import tarfile
-import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestrata.functions.images import header_size
+from lodestrata.functions.images import image_size
 from lodestrata.functions.scalar import TIERS
+from lodestrata.sources import archives
 
-MEMBERS = "path string, bytes long, compressed long, is_dir boolean"
 REGION = "struct<shape_attributes: struct<name: string, all_points_x: array<double>, all_points_y: array<double>>, region_attributes: map<string,string>>"
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """The listing of a ZIP or TAR archive; no member is read. Other files raise ValueError."""
-    if zipfile.is_zipfile(path):
-        with zipfile.ZipFile(path) as archive:
-            rows = [(i.filename, i.file_size, i.compress_size, i.is_dir()) for i in archive.infolist()]
-    elif tarfile.is_tarfile(path):
-        with tarfile.open(path) as archive:
-            rows = [(m.name, m.size, m.size, m.isdir()) for m in archive]
-    else:
-        raise ValueError(f"not an archive: {path}")
-    return spark.createDataFrame(rows, MEMBERS)
+    return archives.members(spark, path).select("path", "bytes", "compressed", "is_dir")
 
 
 def single_root(members: DataFrame) -> str:
@@ -47,15 +37,9 @@ def image_members(members: DataFrame, folders: list[str]) -> DataFrame:
 
 
 def archive_image_sizes(spark: SparkSession, path: str, head: int = 1 << 16) -> DataFrame:
-    """(path, width, height) from the first bytes of each image member; null where no header is found."""
-    rows = []
-    with zipfile.ZipFile(path) as archive:
-        for info in archive.infolist():
-            if info.filename.lower().endswith((".jpg", ".jpeg", ".png")):
-                with archive.open(info) as member:
-                    size = header_size(member.read(head)) or (None, None)
-                rows.append((info.filename, *size))
-    return spark.createDataFrame(rows, "path string, width int, height int")
+    """(path, width, height) from the first bytes of each image member; null where no header is found. Tasks read their members by offset."""
+    rows = archives.members(spark, path, content=True, head=head).where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    return rows.select("path", image_size("content").alias("size")).select("path", "size.width", "size.height")
 
 
 def file_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -63,17 +47,16 @@ def file_tree(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
 
 
-def open_source(spark: SparkSession, path: str, unpack_to: str) -> DataFrame:
-    """A directory, or a ZIP unpacked below a shared folder, as one file table. Members that leave the folder raise ValueError."""
-    if not zipfile.is_zipfile(path):
-        return file_tree(spark, path)
-    base = os.path.realpath(unpack_to)
-    with zipfile.ZipFile(path) as archive:
-        for name in archive.namelist():
-            if not os.path.realpath(os.path.join(base, name)).startswith(base + os.sep):
-                raise ValueError(f"unsafe member: {name}")
-        archive.extractall(base)
-    return file_tree(spark, base)
+def open_source(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, content) of a directory's files or an archive's members, sidecars left out; nothing is unpacked.
+
+    Members that leave the root, and such as can't be read whole, raise an error when their rows are read.
+    """
+    if os.path.isdir(path):
+        return file_tree(spark, path).select("path", "length", "content")
+    rows = archives.members(spark, path, content=True).where(~F.col("is_dir") & ~F.col("path").rlike(r"(^|/)[._][^/]*$|^__MACOSX/"))
+    bad = F.raise_error(F.concat_ws(" ", F.col("status"), F.lit("member:"), F.col("path"))).cast("string")
+    return rows.select(F.when(F.col("status") == "ok", F.col("path")).otherwise(bad).alias("path"), F.col("bytes").alias("length"), "content")
 
 
 def regions(raw: Column) -> Column:
