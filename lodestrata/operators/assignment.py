@@ -114,26 +114,29 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5)
 
 
 def match_by_class(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Predictions in their order, each to the free box of its class with most overlap (the first of equals): hit, false_positive or ignored.
+    """Predictions in their order, each to the free box of its class with most overlap (the last of equals): hit, false_positive or ignored.
 
-    ``truth``: image_id, id, cls, box, ignore. ``predicted``: image_id, id, cls, box, ordinal. A prediction that overlaps an ignored box of
-    its class best counts neither way, and an ignored box is never used up. Result: image_id, pred_id, gt_id, outcome.
+    ``truth``: image_id, id, cls, box, ignore. ``predicted``: image_id, id, cls, box, ordinal. Ignored boxes have no class and are asked only
+    if no free box reaches the threshold: a prediction that overlaps one of them by the threshold or more counts neither way, and an ignored box is never
+    used up. Result: image_id, pred_id, gt_id (of the ignored box with most overlap, where one decided), outcome.
     """
-    t = truth.select("image_id", F.col("id").alias("gt_id"), "cls", F.col("box").alias("gt_box"), F.coalesce("ignore", F.lit(False)).alias("ignore"))
+    t = truth.select("image_id", F.col("id").alias("gt_id"), F.col("cls").alias("gt_cls"), F.col("box").alias("gt_box"), F.coalesce("ignore", F.lit(False)).alias("ignore"))
     p = predicted.select("image_id", F.col("id").alias("pred_id"), "cls", F.col("box").alias("pred_box"), "ordinal")
-    near = p.join(t, ["image_id", "cls"], "left").withColumn("overlap", box_iou(F.col("pred_box"), F.col("gt_box")))
-    near = near.select("image_id", "ordinal", "pred_id", "gt_id", "ignore", F.when(F.col("overlap") >= threshold, F.col("overlap")).alias("overlap"))
+    meets = [p["image_id"] == t["image_id"], F.col("ignore") | (F.col("cls") == F.col("gt_cls")), box_iou(F.col("pred_box"), F.col("gt_box")) >= threshold]
+    near = p.join(t, meets, "left").select(p["image_id"], "ordinal", "pred_id", "gt_id", F.coalesce("ignore", F.lit(False)).alias("ignore"), box_iou(F.col("pred_box"), F.col("gt_box")).alias("overlap"))
     types = {f.name: f.dataType.simpleString() for f in near.schema.fields}
 
     def settle(image: pd.DataFrame) -> pd.DataFrame:
         used, rows = set(), []
-        for (_, pred), options in image.sort_values(["ordinal", "overlap", "gt_id"], ascending=[True, False, True]).groupby(["ordinal", "pred_id"], sort=False):
-            free = options[options["overlap"].notna() & ~options["gt_id"].isin(used)]
-            best = None if free.empty else free.iloc[0]
-            outcome = "false_positive" if best is None else "ignored" if best["ignore"] else "hit"
+        for (_, pred), options in image.sort_values(["ordinal", "overlap", "gt_id"], ascending=[True, False, False]).groupby(["ordinal", "pred_id"], sort=False):
+            found = options[options["gt_id"].notna()]
+            free = found[~found["ignore"].astype(bool) & ~found["gt_id"].isin(used)]
+            apart = found[found["ignore"].astype(bool)]
+            best, outcome = (free, "hit") if len(free) else (apart, "ignored") if len(apart) else (None, "false_positive")
+            gt = None if best is None else best["gt_id"].iloc[0]
             if outcome == "hit":
-                used.add(best["gt_id"])
-            rows.append((image["image_id"].iloc[0], pred, None if best is None else best["gt_id"], outcome))
+                used.add(gt)
+            rows.append((image["image_id"].iloc[0], pred, gt, outcome))
         return pd.DataFrame(rows, columns=["image_id", "pred_id", "gt_id", "outcome"]).astype({"gt_id": "Int64"} if types["gt_id"] in ("bigint", "int") else {})
 
     return near.groupBy("image_id").applyInPandas(settle, f"image_id {types['image_id']}, pred_id {types['pred_id']}, gt_id {types['gt_id']}, outcome string")
@@ -142,7 +145,7 @@ def match_by_class(truth: DataFrame, predicted: DataFrame, threshold: float = 0.
 def failure_category(matches: DataFrame, poor_mask: float = 0.5) -> DataFrame:
     """Adds ``category``: missed, false positive, severe, adjacent, poor localisation, or empty; the first that applies.
 
-    Localisation is judged by ``mask_iou`` where the matches have it (see ``images.mask_overlaps``), else by the boxes.
+    Localisation is judged by ``mask_iou`` where the matches have it (see ``masks.overlaps``), else by the boxes.
     """
     overlap = F.col("mask_iou" if "mask_iou" in matches.columns else "box_iou")
     apart = F.abs(F.col("gt_class") - F.col("pred_class"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
-from lodestrata.operators import assignment, pairs
+from lodestrata.operators import assignment, masks, pairs
 from lodestrata.operators.components import connected_components
 from lodestrata.operators.order import ranked
 from lodestrata.plans.audits import _BOXES, _JUDGED, _boxes, _judged
@@ -256,6 +256,57 @@ SELECT image_id, kind, gt_id, pred_id, CAST(a.g AS INTEGER) AS gt_class, CAST(b.
 FROM out LEFT JOIN cls a ON a.id = gt_id LEFT JOIN cls b ON b.id = pred_id"""
 
 
+#: Side of the image that the polygons of boxes are drawn on, and what a box's unit and origin become there.
+CANVAS, UNIT, ORIGIN = 48, 40.0, 0.5
+
+
+def _corner(box: str, k: int) -> Column:
+    return (F.get(box, F.lit(k)) + ORIGIN) * UNIT
+
+
+def _shapes(box: str, notched: bool) -> Column:
+    """Truth: the box with a notch from its lower side. Prediction: its upper left triangle and its lower right quarter, which overlap."""
+    left, top, right, bottom = (_corner(box, k) for k in range(4))
+    x, y = (left + right) / 2, (top + bottom) / 2
+    at = lambda *points: F.array(*(F.array(p, q) for p, q in points))
+    if notched:
+        return F.array(at((left, top), (right, top), (right, bottom), (x, y), (left, bottom)))
+    return F.array(at((left, top), (right, top), (left, bottom)), at((x, y), (right, y), (right, bottom), (x, bottom)))
+
+
+def mask_localisation(spark, sf_dir):
+    """Matched boxes with the overlap of their masks: poor localisation is judged by pixels."""
+    boxes = _boxes(spark, sf_dir)
+    size = F.lit(CANVAS)
+    truth = masks.runs(boxes.select(F.col("id").alias("gt_id"), _shapes("box", True).alias("p")), "gt_id", "p", size, size)
+    drawn = masks.runs(boxes.select(F.col("id").alias("pred_id"), _shapes("other", False).alias("p")), "pred_id", "p", size, size)
+    guess = F.pmod(F.col("cls") + F.pmod("id", F.lit(2)), F.lit(3)).alias("cls")
+    found = assignment.match_boxes(boxes.select("image_id", "id", "cls", "box"), boxes.select("image_id", "id", guess, "confidence", F.col("other").alias("box")), threshold=0.2)
+    judged = assignment.failure_category(masks.overlaps(found.where("kind = 'matched'"), truth, drawn, "gt_id", "pred_id"))
+    return judged.select("image_id", "gt_id", "pred_id", F.col("common").cast("long").alias("common"), F.col("together").cast("long").alias("together"), "category")
+
+
+def _inside(points: list[tuple[str, str]]) -> str:
+    """SQL: the pixel (px, py) has its centre in a polygon by the even-odd rule."""
+    edges = zip(points, points[1:] + points[:1], strict=True)
+    return "(" + " + ".join(f"CASE WHEN ({b} > py + 0.5::DOUBLE) <> ({d} > py + 0.5::DOUBLE) AND px + 0.5::DOUBLE < ({c} - {a}) * (py + 0.5::DOUBLE - {b}) / ({d} - {b}) + {a} THEN 1 ELSE 0 END" for (a, b), (c, d) in edges) + ") % 2 = 1"
+
+
+MASKS_SQL = f"""WITH RECURSIVE {_BOXES}, m AS (SELECT * FROM ({MATCHED_SQL}) WHERE kind = 'matched'),
+c AS (
+  SELECT id, {", ".join(f"({side}{k} + {ORIGIN}::DOUBLE) * {UNIT}::DOUBLE AS {side}{k}" for k in "01" for side in "ltrb")} FROM boxes),
+s AS (SELECT *, (l0 + r0) / 2 AS x0, (t0 + b0) / 2 AS y0, (l1 + r1) / 2 AS x1, (t1 + b1) / 2 AS y1 FROM c),
+grid AS (SELECT px, py FROM (SELECT unnest(range({CANVAS})) AS px), (SELECT unnest(range({CANVAS})) AS py)),
+pixels AS (
+  SELECT id, px, py, {_inside([("l0", "t0"), ("r0", "t0"), ("r0", "b0"), ("x0", "y0"), ("l0", "b0")])} AS truth,
+         {_inside([("l1", "t1"), ("r1", "t1"), ("l1", "b1")])} OR {_inside([("x1", "y1"), ("r1", "y1"), ("r1", "b1"), ("x1", "b1")])} AS drawn FROM s, grid),
+counted AS (
+  SELECT m.*, (SELECT count(*) FROM pixels a JOIN pixels b USING (px, py) WHERE a.id = gt_id AND b.id = pred_id AND a.truth AND b.drawn) AS common,
+         (SELECT count(*) FROM pixels a JOIN pixels b USING (px, py) WHERE a.id = gt_id AND b.id = pred_id AND (a.truth OR b.drawn)) AS together FROM m)
+SELECT image_id, gt_id, pred_id, common, together,
+       CASE abs(gt_class - pred_class) WHEN 2 THEN 'F4 severe' WHEN 1 THEN 'F3 adjacent' ELSE CASE WHEN together = 0 OR common / together < 0.5 THEN 'F5 poor localisation' ELSE '' END END AS category FROM counted"""
+
+
 def evidence_text(spark, sf_dir):
     """Evidence as text, numbers read back from it, a label that fits file names, a data URI of the digest and a run stamp."""
     rows = _sized(spark, sf_dir)
@@ -368,6 +419,7 @@ QUERIES = {
     "class_accuracy": (class_accuracy, ACCURACY_SQL),
     "foreign_predictions": (foreign_predictions, FOREIGN_SQL),
     "greedy_box_matching": (matched_boxes, MATCHED_SQL),
+    "mask_localisation": (mask_localisation, MASKS_SQL),
     "evidence_text": (evidence_text, EVIDENCE_SQL),
     "subset_manifest": (subset_manifest, SUBSET_SQL),
     "preview_rows": (preview_rows, PREVIEW_SQL),

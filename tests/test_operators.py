@@ -234,7 +234,17 @@ def test_match_by_class_uses_a_box_once_and_skips_ignored(spark):
     truth = spark.createDataFrame([(1, 1, 0, [0.0, 0.0, 10.0, 10.0], False), (1, 2, 1, [0.0, 0.0, 10.0, 10.0], True)], "image_id long, id long, cls int, box array<double>, ignore boolean")
     predicted = [(1, 5, 0, [0.0, 0.0, 10.0, 9.0], 0), (1, 6, 0, [0.0, 0.0, 10.0, 10.0], 1), (1, 7, 1, [0.0, 0.0, 10.0, 10.0], 2), (1, 8, 1, [0.0, 0.0, 10.0, 10.0], 3), (1, 9, 2, [0.0, 0.0, 1.0, 1.0], 4)]
     found = assignment.match_by_class(truth, spark.createDataFrame(predicted, "image_id long, id long, cls int, box array<double>, ordinal int")).collect()
-    assert {(r["pred_id"], r["gt_id"], r["outcome"]) for r in found} == {(5, 1, "hit"), (6, None, "false_positive"), (7, 2, "ignored"), (8, 2, "ignored"), (9, None, "false_positive")}
+    assert {(r["pred_id"], r["gt_id"], r["outcome"]) for r in found} == {(5, 1, "hit"), (6, 2, "ignored"), (7, 2, "ignored"), (8, 2, "ignored"), (9, None, "false_positive")}
+
+
+def test_a_free_box_goes_before_an_ignored_one_of_any_class(spark):
+    from lodestrata.operators import assignment
+
+    truth = [(1, 1, 0, [0.0, 0.0, 10.0, 8.0], False), (1, 2, 0, [0.0, 0.0, 10.0, 10.0], True), (2, 3, 1, [0.0, 0.0, 4.0, 4.0], True), (3, 4, 0, [0.0, 0.0, 2.0, 2.0], False), (3, 5, 0, [0.0, 0.0, 2.0, 2.0], False)]
+    predicted = [(1, 5, 0, [0.0, 0.0, 10.0, 10.0], 0), (2, 6, 0, [0.0, 0.0, 4.0, 4.0], 0), (3, 7, 0, [0.0, 0.0, 2.0, 2.0], 0), (4, 8, 0, [0.0, 0.0, 2.0, 2.0], 0)]
+    frame = spark.createDataFrame(truth, "image_id long, id long, cls int, box array<double>, ignore boolean")
+    found = assignment.match_by_class(frame, spark.createDataFrame(predicted, "image_id long, id long, cls int, box array<double>, ordinal int")).collect()
+    assert {(r["pred_id"], r["gt_id"], r["outcome"]) for r in found} == {(5, 1, "hit"), (6, 3, "ignored"), (7, 5, "hit"), (8, None, "false_positive")}
 
 
 def test_mask_overlap_decides_poor_localisation(spark):
