@@ -110,8 +110,8 @@ def operating_threshold(split: str, fixed: float, asked: float | None = None, lo
         return fixed
     if split in locked:
         raise ValueError(f"the threshold of {split} is fixed at {fixed}")
-    if not 0 <= asked <= 1:
-        raise ValueError("a threshold lies between 0 and 1")
+    if not 0 < asked <= 1:
+        raise ValueError("a threshold lies above 0 and at 1 at most")
     return asked
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
-from lodestrata.operators import checks
+from lodestrata.operators import assignment, checks
 from lodestrata.plans.relations import _RECORDS, records, table
 from lodestrata.session import materialise
 from lodestrata.sources import archives
@@ -32,26 +32,39 @@ def orphans_both_ways(spark, sf_dir):
 ORPHANS = """SELECT doc_id, 'no_label' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 'no_document' FROM labels ANTI JOIN documents USING (doc_id)"""
 
 
+#: Runs of white space, in Java's and in RE2's syntax.
+BLANKS = r"[\x20\x09-\x0D]+"
+
+
+def _tidied(spark, sf_dir):
+    """Documents with runs of white space made one blank: what a cleaned copy of the table holds."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.regexp_replace("text", BLANKS, " ").alias("text"))
+
+
+_TIDIED = f"tidied AS (SELECT doc_id, lang, regexp_replace(text, '{BLANKS}', ' ', 'g') AS text FROM documents)"
+
+
 def manifest_diff(spark, sf_dir):
-    """Rows of the documents' manifest and of one written with the recorded lengths, on one side only. The written one is reread."""
-    documents = table(spark, sf_dir, "documents")
-    written = materialise(documents.select("doc_id", F.col("n_chars").cast("long").alias("chars"), "lang"), "manifest")
-    found = documents.select("doc_id", F.length("text").cast("long").alias("chars"), "lang")
-    return checks.difference(written, found)
+    """Rows on one side only of the documents' manifest and of one written for their cleaned copies, as multisets. The written one is reread."""
+    entry = lambda rows: rows.select("doc_id", F.length("text").cast("long").alias("chars"), F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    return checks.difference(materialise(entry(_tidied(spark, sf_dir)), "manifest"), entry(table(spark, sf_dir, "documents")))
 
 
-MANIFEST_DIFF = """WITH w AS (SELECT doc_id, CAST(n_chars AS BIGINT) AS chars, lang FROM documents), f AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, lang FROM documents)
+MANIFEST_DIFF = f"""WITH {_TIDIED}, 
+w AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, len(string_split(text, chr(10))) AS lines FROM tidied), f AS (SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, len(string_split(text, chr(10))) AS lines FROM documents)
 (SELECT *, 'expected' AS side FROM (SELECT * FROM w EXCEPT ALL SELECT * FROM f)) UNION ALL (SELECT *, 'found' FROM (SELECT * FROM f EXCEPT ALL SELECT * FROM w))"""
 
 
 def identity_verify(spark, sf_dir):
-    """Documents and labels as two sides of a manifest: a label's document by its digest, recomputed against the one written to the shared folder."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    written = materialise(table(spark, sf_dir, "labels").select("doc_id").join(documents, "doc_id", "left"), "identities")
-    return checks.identity(written, documents).groupBy("status").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    """Digests written for the cleaned copies of labelled documents, against the documents of 500 characters or more: identical, altered, missing and extra ones."""
+    entry = lambda rows: rows.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
+    written = materialise(entry(table(spark, sf_dir, "labels").select("doc_id").join(_tidied(spark, sf_dir), "doc_id")), "identities")
+    actual = entry(table(spark, sf_dir, "documents").where(F.length("text") >= 500))
+    return checks.identity(written, actual).groupBy("status").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-IDENTITY = """WITH d AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha FROM documents), w AS (SELECT doc_id, bytes, sha FROM labels LEFT JOIN d USING (doc_id))
+IDENTITY = f"""WITH {_TIDIED}, d AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha FROM documents WHERE length(text) >= 500),
+w AS (SELECT doc_id, CAST(strlen(text) AS BIGINT) AS bytes, sha256(text) AS sha FROM labels JOIN tidied USING (doc_id))
 SELECT CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN w.doc_id IS NULL THEN 'extra' WHEN w.sha IS DISTINCT FROM d.sha THEN 'altered' ELSE 'identical' END AS status,
        count(*) AS n, CAST(sum(coalesce(w.bytes, d.bytes)) AS BIGINT) AS bytes FROM w FULL JOIN d ON w.doc_id = d.doc_id GROUP BY ALL"""
 
@@ -93,28 +106,35 @@ SELECT truth, count(*) FILTER (guess = 0) AS guess_0, count(*) FILTER (guess = 1
        round(avg(abs(truth - guess)), 6) AS mean_distance FROM judged GROUP BY truth"""
 
 
-def _category():
-    apart = F.abs(F.col("truth") - F.col("guess"))
-    return F.when(apart == 2, "severe").when(apart == 1, "adjacent").when(F.col("chars") < 200, "short").otherwise("")
+def _outcomes(spark, sf_dir):
+    """Every labelled document and every one of 200 characters or more as an outcome: without a label a false positive, too short for a prediction missed, else matched with an overlap."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", F.length("text").alias("chars"))
+    joined = documents.join(_judged(spark, sf_dir).select("doc_id", "truth", "guess"), "doc_id", "left").where("truth IS NOT NULL OR chars >= 200")
+    kind = F.when(F.col("truth").isNull(), "false_positive").when(F.col("chars") < 200, "missed").otherwise("matched")
+    overlap = F.least(F.col("chars"), F.lit(2000)) / 2000.0
+    return assignment.failure_category(joined.select("doc_id", "lang", "chars", kind.alias("kind"), F.col("truth").alias("gt_class"), F.col("guess").alias("pred_class"), overlap.alias("box_iou")))
 
 
-_CATEGORY = "CASE WHEN abs(truth - guess) = 2 THEN 'severe' WHEN abs(truth - guess) = 1 THEN 'adjacent' WHEN chars < 200 THEN 'short' ELSE '' END"
+_OUTCOMES = f"""{_JUDGED}, outcomes AS (
+  SELECT doc_id, d.lang, length(text) AS chars, CASE WHEN truth IS NULL THEN 'F2 false positive' WHEN length(text) < 200 THEN 'F1 missed' WHEN abs(truth - guess) = 2 THEN 'F4 severe'
+         WHEN abs(truth - guess) = 1 THEN 'F3 adjacent' WHEN least(length(text), 2000) / 2000.0::DOUBLE < 0.5 THEN 'F5 poor localisation' ELSE '' END AS category
+  FROM documents d LEFT JOIN judged j USING (doc_id) WHERE truth IS NOT NULL OR length(text) >= 200)"""
 
 
 def failure_taxonomy(spark, sf_dir):
-    return _judged(spark, sf_dir).groupBy("lang", _category().alias("category")).agg(F.count("*").alias("n"))
+    return _outcomes(spark, sf_dir).groupBy("lang", "category").agg(F.count("*").alias("n"))
 
 
-TAXONOMY = f"WITH {_JUDGED} SELECT lang, {_CATEGORY} AS category, count(*) AS n FROM judged GROUP BY ALL"
+TAXONOMY = f"WITH {_OUTCOMES} SELECT lang, category, count(*) AS n FROM outcomes GROUP BY ALL"
 
 
 def top_cases_per_category(spark, sf_dir):
-    rows = _judged(spark, sf_dir).withColumn("category", _category()).where("category <> ''")
+    rows = _outcomes(spark, sf_dir).where("category <> ''")
     order = Window.partitionBy("category").orderBy(F.desc("chars"), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order)).where("rank <= 10").select("category", "rank", "doc_id")
 
 
-TOP_CASES = f"WITH {_JUDGED}, c AS (SELECT *, {_CATEGORY} AS category FROM judged) SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY chars DESC, doc_id) AS INTEGER) AS rank, doc_id FROM c WHERE category <> '' QUALIFY rank <= 10"
+TOP_CASES = f"WITH {_OUTCOMES} SELECT category, CAST(row_number() OVER (PARTITION BY category ORDER BY chars DESC, doc_id) AS INTEGER) AS rank, doc_id FROM outcomes WHERE category <> '' QUALIFY rank <= 10"
 
 
 def _boxes(spark, sf_dir):

@@ -89,7 +89,7 @@ SELECT x.doc_id AS a, y.doc_id AS b FROM records x JOIN records y ON x.sha = y.s
 WHERE NOT (x.family = y.family AND x.split <> y.split)"""
 
 
-def _known(spark, sf_dir) -> DataFrame:
+def known(spark, sf_dir) -> DataFrame:
     """``records`` and the lengths, written once: texts are hashed in one pass however often the keys are joined."""
     chars = F.length("text").cast("double").alias("chars")
     return materialise(records(spark, sf_dir, chars), "records")
@@ -98,7 +98,7 @@ def _known(spark, sf_dir) -> DataFrame:
 def profiles(spark, sf_dir, rows: DataFrame | None = None) -> DataFrame:
     """The profiles of documents and the split, family and digest that the shortlist looks at."""
     found = signatures.profiles(table(spark, sf_dir, "documents"), "doc_id", "text")
-    rows = _known(spark, sf_dir) if rows is None else rows
+    rows = known(spark, sf_dir) if rows is None else rows
     return materialise(found.join(rows.select("doc_id", "split", "family", "sha"), "doc_id"), "profiles")
 
 
@@ -160,7 +160,7 @@ def _visual(spark, sf_dir, rows: DataFrame) -> DataFrame:
 
 def relation_edges(spark, sf_dir) -> DataFrame:
     """Exact, named (family) and visual (word profile) edges with their evidence; visual ones only between families and texts that differ."""
-    rows = _known(spark, sf_dir)
+    rows = known(spark, sf_dir)
     exact = _exact(pairs.blocked_pairs(rows, "sha", "doc_id", "split"))
     return exact.unionByName(_named(rows)).unionByName(_visual(spark, sf_dir, rows))
 
@@ -271,15 +271,20 @@ def _place(kind) -> Column:
     return F.array_position(F.array(*map(F.lit, KINDS)), kind)
 
 
-def merging_edges(spark, sf_dir, rows: DataFrame) -> DataFrame:
-    """(a, b, kind, tier, place, strength) of edges that merge: exact ones as stars, named ones between the first copies of each text and language, visual ones.
+def spanning_relations(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """Relation edges without those that copies add: exact ones as stars, named ones between the first copies of each text and language, visual ones.
 
     Of the pairs that are left out, each is tied by edges that come before it in the order (kind, a, b), and is no stronger than one of its ends' others.
     """
     exact = _exact(pairs.star_edges(rows, "sha", "doc_id").select(F.col("dst").alias("a"), F.col("src").alias("b")))
     first = rows.groupBy("sha", "lang").agg(F.min("doc_id").alias("doc_id"))
     named = _named(rows.join(first.select("doc_id"), "doc_id"))
-    every = exact.unionByName(named).unionByName(_visual(spark, sf_dir, rows))
+    return exact.unionByName(named).unionByName(_visual(spark, sf_dir, rows))
+
+
+def merging_edges(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """(a, b, kind, tier, place, strength) of the spanning relations whose tier merges groups."""
+    every = spanning_relations(spark, sf_dir, rows)
     tiered = every.withColumn("tier", pairs.tier(*(F.col(c) for c in ("kind", "corr", "same", "distance", "full_corr"))))
     kept = tiered.where(F.col("tier").isin(*MERGING))
     return materialise(kept.select("a", "b", "kind", "tier", _place(F.col("kind")).alias("place"), scalar.tier_rank(F.col("tier")).alias("strength")), "merging")
@@ -291,7 +296,7 @@ merging AS (SELECT *, CASE kind WHEN 'exact' THEN 1 WHEN 'named' THEN 2 ELSE 3 E
 
 def merged_edges(spark, sf_dir):
     """The edges that really joined two groups when all that merge are taken in order: exact, named, visual, then by ends."""
-    forest, _ = spanning_forest(merging_edges(spark, sf_dir, _known(spark, sf_dir)), "place")
+    forest, _ = spanning_forest(merging_edges(spark, sf_dir, known(spark, sf_dir)), "place")
     return forest.select("a", "b", "kind", "tier")
 
 
@@ -307,7 +312,7 @@ def canonical_relation(spark, sf_dir):
 
     The canonical member is the longest text, then the smallest id. Groups are those of the merging edges.
     """
-    rows = _known(spark, sf_dir)
+    rows = known(spark, sf_dir)
     edges = merging_edges(spark, sf_dir, rows)
     forest, _ = spanning_forest(edges, "place")
     found = connected_components(forest, "a", "b").withColumnRenamed("node", "doc_id")

@@ -7,52 +7,46 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
 from lodestrata.operators import assignment, masks, pairs
+from lodestrata.operators.checks import threshold_label
 from lodestrata.operators.components import connected_components
 from lodestrata.operators.order import ranked
 from lodestrata.plans.audits import _BOXES, _JUDGED, _boxes, _judged
-from lodestrata.plans.relations import _RECORDS, records, table
+from lodestrata.plans.relations import _EDGES, _RECORDS, known, records, spanning_relations, table
 from lodestrata.session import materialise
 
-#: Edge settings: how close two lengths of a family have to be, and whether the languages have to agree.
-MODES = (("conservative", 0.995, True), ("current", 0.995, False), ("worst", 0.0, False))
+#: Settings of inclusion: name, mode, the correlation of named edges and the reach of visual ones (see ``pairs.included``).
+MODES = tuple((mode, mode, 0.995, 12) for mode in ("conservative", "current", "worst"))
 THRESHOLDS = (0.9, 0.95, 0.99, 0.995, 0.999)
 
 
 def _sized(spark, sf_dir) -> DataFrame:
-    chars = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
-    return records(spark, sf_dir).join(chars, "doc_id")
+    return records(spark, sf_dir, F.length("text").cast("long").alias("chars"))
 
 
-def _near(rows: DataFrame, least: float, same_lang: bool) -> DataFrame:
-    """(src, dst) of family members next to each other by length whose lengths are close: pairs further apart are linked through them."""
-    by = ["family", "lang"] if same_lang else ["family"]
-    order = Window.partitionBy(*by).orderBy("chars", "doc_id")
-    beside = rows.where("family IS NOT NULL").withColumns({"dst": F.lag("doc_id").over(order), "shorter": F.lag("chars").over(order)})
-    return beside.where(F.col("dst").isNotNull() & (F.col("shorter") >= least * F.col("chars"))).select(F.col("doc_id").alias("src"), "dst")
-
-
-def partitions(rows: DataFrame, settings: list[tuple[str, float, bool]]) -> DataFrame:
+def partitions(spark, sf_dir, settings: list[tuple[str, str, float, int]]) -> DataFrame:
     """(setting, doc_id, split, component) for every setting in one run: a node is a document in a setting."""
-    numbered = F.explode(F.array(*(F.lit(k) for k in range(len(settings)))))
-    exact = pairs.star_edges(rows, "sha", "doc_id").withColumn("k", numbered)
-    edges = exact.select("k", "src", "dst")
-    for k, (_, least, same) in enumerate(settings):
-        edges = edges.unionByName(_near(rows, least, same).withColumn("k", F.lit(k)).select("k", "src", "dst"))
+    rows = known(spark, sf_dir)
+    columns = [F.col(c) for c in ("kind", "corr", "same", "distance", "full_corr")]
+    wanted = F.filter(F.array(*(F.when(pairs.included(mode, *columns, named_at=at, reach=reach), F.lit(k)) for k, (_, mode, at, reach) in enumerate(settings))), lambda k: k.isNotNull())
+    edges = spanning_relations(spark, sf_dir, rows).select("a", "b", F.explode(wanted).alias("k"))
     node = lambda c: (F.col(c) * len(settings) + F.col("k")).alias(c)
-    found = connected_components(edges.select(node("src"), node("dst")))
-    names = F.element_at(F.array(*(F.lit(name) for name, _, _ in settings)), F.col("k") + 1)
+    found = connected_components(edges.select(node("a"), node("b")), "a", "b")
+    names = F.element_at(F.array(*(F.lit(name) for name, *_ in settings)), F.col("k") + 1)
+    numbered = F.explode(F.array(*(F.lit(k) for k in range(len(settings)))))
     every = rows.select("doc_id", "split", numbered.alias("k")).withColumn("node", F.col("doc_id") * len(settings) + F.col("k"))
     joined = every.join(found, "node", "left").withColumn("component", F.floor(F.coalesce("component", "node") / len(settings)))
     return joined.select(names.alias("setting"), "doc_id", "split", "component")
 
 
 def _partition_sql(settings) -> str:
-    values = ", ".join(f"('{name}', {least}::DOUBLE, {str(same).lower()})" for name, least, same in settings)
-    return f"""{_RECORDS}, sized AS (SELECT r.*, length(text) AS chars FROM records r JOIN documents USING (doc_id)),
-settings(setting, least, same) AS (VALUES {values}),
-ends AS (
-  SELECT setting, x.doc_id AS a, y.doc_id AS b FROM settings, sized x JOIN sized y ON x.doc_id <> y.doc_id
-    AND (x.sha = y.sha OR (x.family = y.family AND (NOT same OR x.lang = y.lang) AND least(x.chars, y.chars) >= least * greatest(x.chars, y.chars)))),
+    values = ", ".join(f"('{name}', '{mode}', {at}::DOUBLE, {reach})" for name, mode, at, reach in settings)
+    return f"""{_EDGES},
+settings(setting, mode, named_at, reach) AS (VALUES {values}),
+taken AS (
+  SELECT setting, a, b FROM settings, edges WHERE kind = 'exact'
+    OR kind = 'named' AND (mode = 'worst' OR corr >= named_at AND (mode = 'current' OR same))
+    OR kind = 'visual' AND distance <= reach AND (mode = 'worst' OR mode = 'current' AND corr >= 0.995 AND full_corr >= 0.96)),
+ends AS (SELECT setting, a, b FROM taken UNION ALL SELECT setting, b, a FROM taken),
 walk(setting, doc_id, component) AS (
   SELECT setting, doc_id, doc_id FROM settings, records
   UNION SELECT w.setting, b, component FROM walk w JOIN ends e ON e.setting = w.setting AND e.a = w.doc_id WHERE component < b),
@@ -69,18 +63,18 @@ FROM (SELECT setting, component, count(*) AS n, count(DISTINCT split) AS splits
 
 
 def source_components_modes(spark, sf_dir):
-    """Groups under the conservative, current and worst inclusion of named edges."""
-    return _statistics(partitions(_sized(spark, sf_dir), list(MODES)))
+    """Groups under the conservative, current and worst inclusion of edges."""
+    return _statistics(partitions(spark, sf_dir, list(MODES)))
 
 
 MODES_SQL = f"WITH RECURSIVE {_partition_sql(MODES)} {_STATISTICS}"
 
-_SWEEP = [(f"{t:g}".replace(".", "p"), t, False) for t in THRESHOLDS]
+_SWEEP = [(threshold_label(t), "current", t, 12) for t in THRESHOLDS]
 
 
 def threshold_group_sweep(spark, sf_dir):
-    """Group statistics for each closeness threshold, named by a label that fits file names."""
-    return _statistics(partitions(_sized(spark, sf_dir), _SWEEP))
+    """Group statistics for each correlation that named edges need, named by a label that fits file names."""
+    return _statistics(partitions(spark, sf_dir, _SWEEP))
 
 
 SWEEP_SQL = f"WITH RECURSIVE {_partition_sql(_SWEEP)} {_STATISTICS}"
@@ -91,7 +85,7 @@ def partition_comparison(spark, sf_dir):
 
     A group equals one of the other side if their common documents are all that either has; no member lists are built.
     """
-    parts = materialise(partitions(_sized(spark, sf_dir), list(MODES)).select("setting", "doc_id", "component"), "partitions")
+    parts = materialise(partitions(spark, sf_dir, list(MODES)).select("setting", "doc_id", "component"), "partitions")
     sizes = parts.groupBy("setting", "component").agg(F.count("*").alias("n"))
     left = parts.join(sizes, ["setting", "component"]).select(F.col("setting").alias("a"), "doc_id", F.col("component").alias("ca"), F.col("n").alias("na"))
     right = parts.join(sizes, ["setting", "component"]).select(F.col("setting").alias("b"), "doc_id", F.col("component").alias("cb"), F.col("n").alias("nb"))
@@ -144,9 +138,9 @@ WEAKEST_SQL = f"{_REVIEW} SELECT family, weakest, n, tier FROM graded ORDER BY w
 
 
 def candidate_guards(spark, sf_dir):
-    """Guard clusters: groups of equal or close texts, joined by the residual candidate edges between different groups."""
+    """Guard clusters: groups of the current mode, joined by the residual candidate edges of families between different groups."""
     rows = _sized(spark, sf_dir)
-    parts = materialise(partitions(rows, [MODES[1]]).select("doc_id", F.col("component").alias("group_id")), "groups")
+    parts = materialise(partitions(spark, sf_dir, [MODES[1]]).select("doc_id", F.col("component").alias("group_id")), "groups")
     of = rows.select("doc_id", "family").join(parts, "doc_id")
     residual = pairs.star_edges(of.where("family IS NOT NULL").select("family", "group_id").distinct(), "family", "group_id")
     guards = connected_components(residual).withColumnsRenamed({"node": "group_id", "component": "guard_id"})
@@ -155,7 +149,7 @@ def candidate_guards(spark, sf_dir):
 
 
 GUARDS_SQL = f"""WITH RECURSIVE {_partition_sql([MODES[1]])},
-keys AS (SELECT doc_id, 's' || sha AS k FROM records WHERE sha IS NOT NULL UNION ALL SELECT doc_id, 'f' || family FROM records WHERE family IS NOT NULL),
+keys AS (SELECT doc_id, 'g' || component AS k FROM parts UNION ALL SELECT doc_id, 'f' || family FROM records WHERE family IS NOT NULL),
 spread(doc_id, guard_id) AS (SELECT doc_id, doc_id FROM records UNION SELECT y.doc_id, w.guard_id FROM spread w JOIN keys x ON x.doc_id = w.doc_id JOIN keys y ON y.k = x.k WHERE w.guard_id <= y.doc_id),
 guards AS (SELECT doc_id, min(guard_id) AS guard_id FROM spread GROUP BY doc_id)
 SELECT guard_id, count(*) AS documents, count(DISTINCT component) AS groups FROM guards JOIN parts USING (doc_id) GROUP BY guard_id"""
