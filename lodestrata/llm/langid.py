@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import base64
 import math
-import re
 from collections import Counter
 from functools import lru_cache
 
@@ -37,7 +36,17 @@ ROWS_PER_LANGUAGE, ROUNDS, SMOOTHING = 2000, 2, 0.05
 #: The model is broadcast: (pieces + 1) x languages doubles. 50,256 pieces and 512 languages are 206 MB.
 MAX_LANGUAGES = 512
 CACHE_WORDS, LONG_WORD, SCORE_BLOCK = 300_000, 48, 20_000
-_letter = re.compile(r"[^\W\d_]").search
+#: Languages up to which the worker's tables have the rows above; beyond it rows shrink as languages grow, so memory stays.
+FEW_LANGUAGES = 8
+
+
+def has_letter(text: str) -> bool:
+    """Numerals of any script are no letters."""
+    return any(map(str.isalpha, text))
+
+
+def rows_for(rows: int, languages: int) -> int:
+    return max(1, rows * FEW_LANGUAGES // max(FEW_LANGUAGES, languages))
 
 
 def default_vocabulary() -> str:
@@ -175,8 +184,9 @@ def score_words(words: list[bytes], pieces: dict[bytes, int], longest: int, p: n
             for k in positions:
                 out[k] = _score_long(words[k], pieces, longest, p)
             continue
-        for lo in range(0, len(positions), SCORE_BLOCK):
-            at = positions[lo : lo + SCORE_BLOCK]
+        step = rows_for(SCORE_BLOCK, p.shape[1])
+        for lo in range(0, len(positions), step):
+            at = positions[lo : lo + step]
             data = np.frombuffer(b"".join([words[k] for k in at]), np.uint8).reshape(len(at), n).T.astype(np.uint64) + np.uint64(1)
             forward = np.zeros((n + 1, len(at), p.shape[1]))
             forward[0] = 1.0
@@ -305,9 +315,9 @@ def identify(
         cache: dict[bytes, int] = {}
         scores = np.empty((0, len(languages)))
         for batch in batches:
-            texts = [t if t and _letter(t) else "" for t in batch["text"].to_pylist()]
+            texts = [t if t and has_letter(t) else "" for t in batch["text"].to_pylist()]
             langs, best = ["und"] * len(texts), np.zeros(len(texts))
-            if len(cache) > CACHE_WORDS:
+            if len(cache) > rows_for(CACHE_WORDS, len(languages)):
                 cache, scores = {}, scores[:0]
             tokens = [words_of(t) for t in texts]
             new = list(set().union(*tokens).difference(cache))

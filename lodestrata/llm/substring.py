@@ -17,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm import repeats
 from lodestrata.llm.text import map_arrow, texts_of
@@ -70,8 +71,8 @@ def _cut(rows: DataFrame, s: repeats.Scheme, keep: list[str]) -> DataFrame:
             columns = [*(batch[f.name] for f in fields), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), "n_words", "n_removed", "kept"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return map_arrow(joined, cut, schema + "n_words long, n_removed long, kept binary")
+    made = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())]
+    return map_arrow(joined, cut, T.StructType([*fields, *made]))  # as types: names within a kept row may hold dots
 
 
 def removed_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

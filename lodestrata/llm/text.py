@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.session import ship
 
@@ -36,7 +37,7 @@ def checksum(data: Column) -> Column:
 def map_arrow(
     df: DataFrame,
     function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: str,
+    schema: str | T.StructType,
 ) -> DataFrame:
     """``mapInArrow`` after the executors have got the package."""
     ship(df.sparkSession)

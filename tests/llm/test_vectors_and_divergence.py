@@ -237,3 +237,25 @@ def test_light_and_heavy_sums_agree(spark):
     dense = light.assign(heavy=light["term"].notna())
     a, b = (divergence._tile_pair(("en", 0, 0, 0), x) for x in (light, dense))
     assert (a["part"] + a["gap"] * light["term"].nunique()).tolist() == b["part"].tolist()
+
+
+def test_repeats_are_dropped_from_tables_with_dotted_names(spark):
+    from lodestrata.llm import substring
+
+    passage = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, passage, "x", 5), (2, "before " + passage + " after", None, 6), (3, None, "y", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, `row` int")
+    found = {r["doc_id"]: (r["text"], r["a.b"], r["row"]) for r in substring.drop_repeats(docs).collect()}
+    assert found == {1: (passage, "x", 5), 2: ("before after", None, 6), 3: (None, "y", 7)}
+    assert substring.drop_repeats(docs).columns == docs.columns
+
+
+def test_numerals_are_no_letters_and_tables_shrink_with_languages(spark):
+    from lodestrata.llm import langid
+
+    assert not langid.has_letter("½ ② ² 12 _ – ́") and langid.has_letter("12 é") and langid.has_letter("漢")
+    assert langid.rows_for(20_000, 4) == 20_000 and langid.rows_for(20_000, 512) * 512 <= 20_000 * 8
+    rows = [(k, f"der hund und die katze {k}" if k % 2 else f"the dog and the cat {k}", "de" if k % 2 else "en") for k in range(40)] + [(100, "½ ② ²", "en"), (101, None, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, F.col("doc_id") < 30).collect()}
+    assert found[100] == found[101] == "und" and found[31] == "de" and found[32] == "en"
