@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.functions.scalar import box_iou
+from lodestrata.operators.boxes import overlapping
 
 SPLITS = ("train", "val", "test")
 
@@ -86,13 +86,12 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.5)
     """Class-independent one-to-one matches of each image: highest IoU, then confidence, then ids as text.
 
     ``truth``: image_id, id, cls, box. ``predicted``: also confidence. Result: image_id, kind (matched, missed
-    or false_positive), gt_id, pred_id, gt_class, pred_class, confidence, box_iou. Overlaps are computed and
-    filtered in the JVM; a task sees the candidates of one image only. Ids are unique within an image.
+    or false_positive), gt_id, pred_id, gt_class, pred_class, confidence, box_iou. Overlaps are found by
+    cells in the JVM; a task sees the overlapping pairs of one image only. Ids are unique within an image.
     """
     t = truth.select("image_id", F.col("id").alias("gt_id"), F.col("cls").cast("int").alias("gt_class"), F.col("box").alias("gt_box"))
     p = predicted.select("image_id", F.col("id").alias("pred_id"), F.col("cls").cast("int").alias("pred_class"), F.col("confidence").cast("double").alias("confidence"), F.col("box").alias("pred_box"))
-    overlap = box_iou(F.col("gt_box"), F.col("pred_box")).alias("box_iou")
-    near = t.join(p, "image_id").select("image_id", "gt_id", "pred_id", "confidence", overlap).where(F.col("box_iou") >= threshold)
+    near = overlapping(t, p, "image_id", "gt_box", "pred_box", threshold).select("l.image_id", "l.gt_id", "r.pred_id", "r.confidence", F.col("overlap").alias("box_iou"))
     near = near.withColumns({"gt_text": F.col("gt_id").cast("string"), "pred_text": F.col("pred_id").cast("string")})
 
     def settle(image: pd.DataFrame) -> pd.DataFrame:
@@ -122,8 +121,8 @@ def match_by_class(truth: DataFrame, predicted: DataFrame, threshold: float = 0.
     """
     t = truth.select("image_id", F.col("id").alias("gt_id"), F.col("cls").alias("gt_cls"), F.col("box").alias("gt_box"), F.coalesce("ignore", F.lit(False)).alias("ignore"))
     p = predicted.select("image_id", F.col("id").alias("pred_id"), "cls", F.col("box").alias("pred_box"), "ordinal")
-    meets = [p["image_id"] == t["image_id"], F.col("ignore") | (F.col("cls") == F.col("gt_cls")), box_iou(F.col("pred_box"), F.col("gt_box")) >= threshold]
-    near = p.join(t, meets, "left").select(p["image_id"], "ordinal", "pred_id", "gt_id", F.coalesce("ignore", F.lit(False)).alias("ignore"), box_iou(F.col("pred_box"), F.col("gt_box")).alias("overlap"))
+    found = overlapping(p, t, "image_id", "pred_box", "gt_box", threshold, where="r.ignore OR l.cls = r.gt_cls").select("l.image_id", "l.pred_id", "r.gt_id", "r.ignore", "overlap")
+    near = p.select("image_id", "ordinal", "pred_id").join(found, ["image_id", "pred_id"], "left").withColumn("ignore", F.coalesce("ignore", F.lit(False)))
     types = {f.name: f.dataType.simpleString() for f in near.schema.fields}
 
     def settle(image: pd.DataFrame) -> pd.DataFrame:

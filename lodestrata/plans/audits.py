@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import scalar
 from lodestrata.operators import assignment, checks
+from lodestrata.operators.boxes import overlapping
 from lodestrata.plans.relations import _RECORDS, records, table
 from lodestrata.session import materialise
 from lodestrata.sources import archives
@@ -153,9 +154,8 @@ boxes AS (
 
 def box_iou_candidates(spark, sf_dir):
     boxes = _boxes(spark, sf_dir)
-    joined = boxes.select("image_id", F.col("id").alias("gt_id"), "box").join(boxes.select("image_id", F.col("id").alias("pred_id"), "other"), "image_id")
-    value = scalar.box_iou(F.col("box"), F.col("other"))
-    return joined.withColumn("iou", value).where("iou >= 0.2").select("image_id", "gt_id", "pred_id", F.round("iou", 6).alias("iou"))
+    found = overlapping(boxes.select("image_id", F.col("id").alias("gt_id"), "box"), boxes.select("image_id", F.col("id").alias("pred_id"), "other"), "image_id", "box", "other", 0.2)
+    return found.select("l.image_id", "l.gt_id", "r.pred_id", F.round("overlap", 6).alias("iou"))
 
 
 BOX_IOU = f"""WITH {_BOXES}, p AS (
@@ -164,6 +164,45 @@ BOX_IOU = f"""WITH {_BOXES}, p AS (
 SELECT image_id, gt_id, pred_id, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.2"""
 
 
+def iou_policy_probe(spark, sf_dir):
+    """What becomes of boxes without a valid class (every seventh) in class-aware matching: left out, ignored where nothing else matches, or kept as targets."""
+    boxes = _boxes(spark, sf_dir)
+    unknown = F.pmod("id", F.lit(7)) == 3
+    guess = F.pmod(F.col("cls") + F.pmod("id", F.lit(2)), F.lit(3))
+    predicted = boxes.select("image_id", "id", guess.alias("cls"), F.col("other").alias("box"), F.col("id").alias("ordinal"))
+    out = []
+    for policy, rows in (("left_out", boxes.where(~unknown).withColumn("ignore", F.lit(False))), ("ignored", boxes.withColumn("ignore", unknown)), ("kept", boxes.withColumn("ignore", F.lit(False)))):
+        truth = materialise(rows.select("image_id", "id", "cls", "box", "ignore"), "truth")
+        found = assignment.match_by_class(truth, predicted, 0.2)
+        targets = truth.where("NOT ignore").agg(F.count("*").alias("targets"))
+        counts = found.agg(F.count_if(F.col("outcome") == "hit").alias("tp"), F.count_if(F.col("outcome") == "false_positive").alias("fp"), F.count_if(F.col("outcome") == "ignored").alias("ignored"))
+        out.append(counts.crossJoin(targets).select(F.lit(policy).alias("policy"), "tp", "fp", (F.col("targets") - F.col("tp")).alias("fn"), "ignored"))  # one row each
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+#: Matching as recursion over an image's predictions in their order; the state is the targets taken so far.
+POLICY = f"""WITH RECURSIVE {_BOXES},
+cls AS (SELECT vec_id AS id, label % 3 AS g, (label % 3 + vec_id % 2) % 3 AS p, vec_id % 7 = 3 AS unknown FROM embeddings),
+raw AS (
+  SELECT x.image_id, x.id AS gt, y.id AS pred, greatest(0, least(x.r0, y.r1) - greatest(x.l0, y.l1)) * greatest(0, least(x.b0, y.b1) - greatest(x.t0, y.t1)) AS i,
+         (x.r0 - x.l0) * (x.b0 - x.t0) + (y.r1 - y.l1) * (y.b1 - y.t1) AS s FROM boxes x JOIN boxes y USING (image_id)),
+near AS (SELECT image_id, gt, pred, i / (s - i) AS iou, a.unknown, a.g = b.p AS same FROM raw JOIN cls a ON a.id = gt JOIN cls b ON b.id = pred WHERE i / (s - i) >= 0.2),
+policies AS (SELECT unnest(['left_out', 'ignored', 'kept']) AS policy),
+numbered AS (SELECT image_id, id, row_number() OVER (PARTITION BY image_id ORDER BY id) AS k FROM boxes),
+options AS (
+  SELECT policy, y.image_id, y.id AS pred, y.k,
+         coalesce(list(gt ORDER BY iou DESC, gt DESC) FILTER (same AND (policy = 'kept' OR NOT unknown)), []) AS free, coalesce(bool_or(policy = 'ignored' AND unknown), false) AS apart
+  FROM policies, numbered y LEFT JOIN near n ON n.pred = y.id GROUP BY policy, y.image_id, y.id, y.k),
+walk(policy, image_id, k, used, outcome) AS (
+  SELECT DISTINCT policy, image_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), '' FROM options
+  UNION ALL
+  SELECT w.policy, w.image_id, o.k, CASE WHEN len(list_filter(free, lambda g: NOT list_contains(used, g))) > 0 THEN list_append(used, list_filter(free, lambda g: NOT list_contains(used, g))[1]) ELSE used END,
+         CASE WHEN len(list_filter(free, lambda g: NOT list_contains(used, g))) > 0 THEN 'hit' WHEN apart THEN 'ignored' ELSE 'false_positive' END
+  FROM walk w JOIN options o ON o.policy = w.policy AND o.image_id = w.image_id AND o.k = w.k + 1)
+SELECT policy, count(*) FILTER (outcome = 'hit') AS tp, count(*) FILTER (outcome = 'false_positive') AS fp,
+       (SELECT count(*) FROM cls c WHERE w.policy = 'kept' OR NOT c.unknown) - count(*) FILTER (outcome = 'hit') AS fn, count(*) FILTER (outcome = 'ignored') AS ignored FROM walk w GROUP BY policy"""
+
+
 def polygon_area_validity(spark, sf_dir):
     """Quadrilaterals of vector components: the first reason that applies, and the area."""
     e = lambda k: F.get("embedding", F.lit(k)).cast("double") * 100 + 50
@@ -316,6 +355,7 @@ QUERIES = {
     "confusion_and_ordinal_error": (confusion_and_ordinal_error, CONFUSION),
     "failure_taxonomy": (failure_taxonomy, TAXONOMY),
     "top_cases_per_category": (top_cases_per_category, TOP_CASES),
+    "iou_policy_probe": (iou_policy_probe, POLICY),
     "box_iou_candidates": (box_iou_candidates, BOX_IOU),
     "polygon_area_validity": (polygon_area_validity, POLYGONS),
     "coordinate_residuals": (coordinate_residuals, RESIDUALS),
