@@ -4,22 +4,111 @@ from __future__ import annotations
 
 import csv
 import datetime
+import io
 import json
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
+
+def _csv_lines(columns: list[str]):
+    """Task: rows as CSV text, a line feed between rows, one text for each batch."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out = io.StringIO()
+            writer = csv.writer(out, lineterminator="\n")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                writer.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row])
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()[:-1]])], names=["value"])
+
+    return run
+
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """One CSV file with a header, LF ends and rows in a fixed order, streamed through the driver row by row."""
-    with staged(path) as temporary, open(temporary, "w", encoding="utf-8", newline="") as out:
-        writer = csv.writer(out, lineterminator="\n")
-        writer.writerow(df.columns)
-        for row in df.orderBy(*order).toLocalIterator():
-            writer.writerow(["" if v is None else str(v).lower() if isinstance(v, bool) else v for v in row])
+    """One CSV file with a header, LF ends and rows in a fixed order. ``path``: local, or of any file system that Spark knows.
+
+    Tasks write sorted ranges of rows; their files are joined as bytes in the order of the ranges, no row comes to the driver. An
+    existing file is refused; it appears whole, by one rename, or not at all.
+    """
+    ship(df.sparkSession)
+    with published(df.sparkSession, path) as stage:
+        ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+        ranges.mapInArrow(_csv_lines(df.columns), "value string").write.text(f"{stage}/parts")
+        head = io.StringIO()
+        csv.writer(head, lineterminator="\n").writerow(df.columns)
+        _join(df.sparkSession, head.getvalue().encode(), f"{stage}/parts", f"{stage}/out")
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(Hadoop's path, its file system) of a path; one without a scheme is local to the driver and to tasks in local mode."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path if ":" in path.split("/")[0] else "file://" + os.path.abspath(path))
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.setWriteChecksum(False)
+    return found, system
+
+
+def _join(spark: SparkSession, head: bytes, folder: str, target: str) -> None:
+    """``head`` and the part files of a folder in the order of their names, as one file."""
+    jvm, (to, system) = spark._jvm, _file_system(spark, target)
+    source, _ = _file_system(spark, folder)
+    names = sorted(f.getPath().getName() for f in system.listStatus(source) if f.getPath().getName().startswith("part-"))
+    out = system.create(to, False)
+    try:
+        out.write(head)
+        for name in names:
+            part = system.open(jvm.org.apache.hadoop.fs.Path(source, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+
+
+class published:  # noqa: N801
+    """A staging folder beside the target; what is written to ``out`` in it, a file or a directory, becomes the target by one rename.
+
+    Works on any file system that Spark knows. An existing target is refused, before and after the work; after an error nothing is left.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def __enter__(self) -> str:
+        self.target, self.system = _file_system(self.spark, self.path)
+        if self.system.exists(self.target):
+            raise FileExistsError(self.path)
+        self.stage = self.spark._jvm.org.apache.hadoop.fs.Path(self.target.getParent(), f".staged-{uuid.uuid4().hex}")
+        self.system.mkdirs(self.stage)
+        return self.stage.toString()
+
+    def __exit__(self, kind, *_) -> None:
+        try:
+            if kind is None:
+                if self.system.exists(self.target):
+                    raise FileExistsError(self.path)
+                if not self.system.rename(self.spark._jvm.org.apache.hadoop.fs.Path(self.stage, "out"), self.target):
+                    raise OSError(f"not published: {self.path}")
+        finally:
+            self.system.delete(self.stage, True)
+
+
+def write_dataset(tables: dict[str, DataFrame], path: str) -> None:
+    """Several tables as one directory of Parquet folders, published together: readers see all of them or none."""
+    spark = next(iter(tables.values())).sparkSession
+    with published(spark, path) as stage:
+        for name, df in tables.items():
+            df.write.parquet(f"{stage}/out/{name}")
 
 
 def write_json(report: dict, path: str) -> None:
