@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators import annotations
 from lodestrata.operators.invariants import Each, Key, Total, report
 from lodestrata.plans.relations import _COMPONENTS, _POOL, _linked, _own_split, _pool, table
 from lodestrata.session import materialise
@@ -80,4 +81,67 @@ build AS (
   FROM pool p JOIN linked USING (doc_id) JOIN documents d ON d.doc_id = p.doc_id WHERE reason IS NULL)
 SELECT split, cls, count(*) AS written, count(*) AS recounted, count(DISTINCT group_id) AS groups, CAST(sum(chars) AS BIGINT) AS chars, true AS equal FROM build GROUP BY ALL"""
 
-QUERIES = {"frozen_build_audit": (frozen_build_audit, BUILD_AUDIT), "manifest_recount": (manifest_recount, RECOUNT)}
+#: Class names of regions by number; the last is none.
+CLASSES = ("low", "middle", "high", None)
+
+
+def annotated(spark, sf_dir, derived: bool = False) -> DataFrame:
+    """Five triangles of every vector as the regions of an image of 100 pixels, or of its copy of 50: rounded, with some regions lost, relabelled or moved, some images missing."""
+    point = lambda k: F.floor(F.get("embedding", F.lit(k)).cast("double") * 120 + 50).cast("double")
+    names = F.array(*map(F.lit, CLASSES))
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.pmod("vec_id", F.lit(17)) == 7, 3.0).otherwise(0.0)
+    scaled = lambda v: F.floor(v * 0.5 + 0.5).cast("double") + moved if derived else v
+    turned = F.when(F.pmod("vec_id", F.lit(13)) == 5, 1).otherwise(0) if derived else F.lit(0)
+    region = lambda r: F.struct(F.get(names, F.pmod(F.col("label") + r + turned, F.lit(4))).alias("label"), *(F.array(*(scaled(point(6 * r + at + k)) for k in range(3))).alias(axis) for axis, at in (("xs", 0), ("ys", 3))))
+    regions = F.array(*map(region, range(5)))
+    if derived:
+        rows = rows.where(F.pmod("vec_id", F.lit(19)) != 2)
+        regions = F.when(F.pmod("vec_id", F.lit(11)) == 3, F.slice(regions, 1, 4)).otherwise(regions)
+    size = F.lit(50.0 if derived else 100.0)
+    return rows.select(F.col("vec_id").cast("string").alias("name"), regions.alias("regions"), size.alias("width"), size.alias("height"))
+
+
+def _annotated_sql(derived: bool) -> str:
+    names = "[" + ", ".join("NULL" if c is None else f"'{c}'" for c in CLASSES) + "]"
+    turned = "CASE WHEN vec_id % 13 = 5 THEN 1 ELSE 0 END" if derived else "0"
+    point = "floor(CAST(embedding[6 * r + {at} + k] AS DOUBLE) * 120 + 50)"
+    if derived:
+        point = f"floor({point} * 0.5 + 0.5) + CASE WHEN vec_id % 17 = 7 THEN 3 ELSE 0 END"
+    lists = ", ".join(f"list_transform([1, 2, 3], lambda k: {point.format(at=at)}) AS {axis}" for axis, at in (("xs", 0), ("ys", 3)))
+    where = "WHERE vec_id % 19 <> 2 AND NOT (vec_id % 11 = 3 AND r = 4)" if derived else ""
+    return f"SELECT CAST(vec_id AS VARCHAR) AS name, r, {names}[(label + r + {turned}) % 4 + 1] AS label, {lists} FROM embeddings, (SELECT CAST(unnest(range(5)) AS INTEGER) AS r) {where}"
+
+
+def annotation_audit(spark, sf_dir):
+    """The annotation report over the regions of all vectors, with the copies as the images that should be there."""
+    return annotations.annotation_report(annotated(spark, sf_dir), annotated(spark, sf_dir, derived=True).select("name"))
+
+
+AUDIT_SQL = f"""WITH o AS ({_annotated_sql(False)}), d AS (SELECT DISTINCT name FROM ({_annotated_sql(True)})),
+f AS (
+  SELECT name, CASE WHEN label IS NULL THEN 'missing_label' END AS finding FROM o
+  UNION ALL SELECT name, CASE WHEN xs[1] * ys[2] - xs[2] * ys[1] + xs[2] * ys[3] - xs[3] * ys[2] + xs[3] * ys[1] - xs[1] * ys[3] = 0 THEN 'zero_area' END FROM o
+  UNION ALL SELECT name, CASE WHEN list_min(xs || ys) < 0 OR list_max(xs || ys) > 100 THEN 'out_of_bounds' WHEN list_max(xs || ys) = 100 THEN 'boundary' END FROM o),
+cells AS (
+  SELECT 'record' AS section, 'annotated' AS key, name FROM (SELECT DISTINCT name FROM o) UNION ALL SELECT 'class', coalesce(label, '[missing]'), name FROM o UNION ALL SELECT 'finding', finding, name FROM f WHERE finding IS NOT NULL
+  UNION ALL SELECT 'side', CASE WHEN name IN (SELECT name FROM d) THEN 'both' ELSE 'record_only' END, name FROM (SELECT DISTINCT name FROM o))
+SELECT section, key, count(*) AS n, min(name) AS first FROM cells GROUP BY ALL"""
+
+
+def derived_annotation_diff(spark, sf_dir):
+    """Each image against its copy: status, labels in order and as a multiset, residuals of the scaled coordinates."""
+    found = annotations.compare(annotated(spark, sf_dir), annotated(spark, sf_dir, derived=True))
+    over = F.size(F.filter("residuals", lambda r: r["most"] > 1.5))
+    return found.select("name", "status", "same_labels", "same_label_set", "coordinates", F.when(F.col("residuals").isNotNull(), over).alias("regions_off"), F.round("max_residual", 4).alias("max_residual"), F.round("mean_residual", 6).alias("mean_residual"))
+
+
+DIFF_SQL = f"""WITH o AS ({_annotated_sql(False)}), d AS ({_annotated_sql(True)}),
+a AS (SELECT name, count(*) AS n, list(coalesce(label, '') ORDER BY r) AS labels FROM o GROUP BY name), b AS (SELECT name, count(*) AS n, list(coalesce(label, '') ORDER BY r) AS labels FROM d GROUP BY name),
+c AS (SELECT o.name, unnest(list_transform(range(1, 7), lambda k: abs((o.xs || o.ys)[k] * 0.5 - (d.xs || d.ys)[k]))) AS off, o.r FROM o JOIN d ON d.name = o.name AND d.r = o.r),
+m AS (SELECT name, count(*) AS coordinates, max(off) AS most, avg(off) AS mean, count(DISTINCT CASE WHEN off > 1.5 THEN r END) AS regions_off FROM c GROUP BY name)
+SELECT a.name, CASE WHEN b.name IS NULL THEN 'original_only' WHEN a.n <> b.n THEN 'different_count' ELSE 'compared' END AS status, a.labels = b.labels AS same_labels, list_sort(a.labels) = list_sort(b.labels) AS same_label_set,
+       CASE WHEN a.n = b.n THEN CAST(coordinates AS INTEGER) END AS coordinates, CASE WHEN a.n = b.n THEN CAST(regions_off AS INTEGER) END AS regions_off, CASE WHEN a.n = b.n THEN round(most, 4) END AS max_residual, CASE WHEN a.n = b.n THEN round(mean, 6) END AS mean_residual
+FROM a LEFT JOIN b USING (name) LEFT JOIN m USING (name)"""
+
+QUERIES = {"frozen_build_audit": (frozen_build_audit, BUILD_AUDIT), "manifest_recount": (manifest_recount, RECOUNT), "annotation_audit": (annotation_audit, AUDIT_SQL), "derived_annotation_diff": (derived_annotation_diff, DIFF_SQL)}
