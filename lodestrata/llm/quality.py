@@ -1,11 +1,11 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 Every rule is a boolean expression over a few per-document figures. On a sample
-the cost (seconds, less those of an empty query, the least of several runs) and the rejection rate of each
-rule are measured; rules then run in order of rejections per cost, in one CASE
-expression whose later branches are not evaluated once a rule has rejected the
-document. Costs count by their order of magnitude, steps of ``STEP`` times, which the noise of timings
-seldom crosses. The order changes the work only: a document is kept if no rule rejects it.
+the cost and the rejection rate of each rule are estimated in one job; rules then run in order of rejections
+per cost, in one CASE expression whose later branches are not evaluated once a rule has rejected the
+document. The cost is counted, not timed: the characters and figures that a rule reads on the rows of the
+sample, and again ``REGEX`` times for each regular expression, so equal rows give equal orders on every machine.
+The order changes the work only: a document is kept if no rule rejects it.
 
 Defined results: a null or empty text has no words and fails the base rule.
 A doc_id may be null or repeated; every row is judged by itself. Extra columns
@@ -15,8 +15,7 @@ Repeated three-word windows are compared by their 64-bit XXH64 within one text.
 
 from __future__ import annotations
 
-import math
-import time
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,9 +24,11 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Rows of the sample that orders the cascade, and the text of each that it looks at. They never change a verdict.
-SAMPLE_ROWS, SAMPLE_CHARS, RUNS = 2048, 20_000, 3
-#: Costs below this many seconds are equal; beyond, they differ by powers of ``STEP``.
-LEAST, STEP = 0.02, 8
+SAMPLE_ROWS, SAMPLE_CHARS = 2048, 20_000
+#: What a regular expression costs for a character it is asked about, against a plain reading of it.
+REGEX = 8
+#: Characters that a rule goes through where it names one of these; any other name is a figure and counts once.
+AMOUNTS = {"text": "length(text)", "words": "(word_chars + n_words)"}
 
 
 @dataclass(frozen=True)
@@ -104,39 +105,29 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def work(rejects: str) -> str:
+    """SQL for the cost of a rule on a row, from the columns its text reads and the regular expressions it holds."""
+    bare = re.sub(r"'(?:[^'\\]|\\.)*'", "''", rejects.lower())
+    calls = len(re.findall(r"\b(?:rlike|regexp|regexp_\w+|split)\b", bare))
+    read = [AMOUNTS.get(name, "1") for name in re.findall(r"\b(?:text|words|word_chars|n_\w+)\b", bare)] or ["1"]
+    amount = " + ".join(read)
+    return f"({amount}) * (1D + {REGEX * calls}D / {len(read)})"
+
+
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """Rules by measured rejections per second, best first; ties by name. ``docs`` has id and text."""
+    """Rules by estimated rejections per cost, best first; ties by cost, then name. ``docs`` has id and text."""
     spread = docs.where(F.abs(F.xxhash64("text")) % 4 == 0)
     rows = spread.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).limit(sample_rows).collect()
     if not rows:
         return list(rules)
-    spark = docs.sparkSession
-    sample = spark.createDataFrame([(0, r["text"]) for r in rows], "id long, text string").coalesce(1)
-    names = ["text", "words", "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines"]
-    sample = with_figures(sample).where(~base_failed() & (F.col("part") >= 0)).select(names).persist()
-    total = max(1, sample.count())
-
-    def timed(condition: str) -> tuple[float, int]:
-        began = time.perf_counter()
-        n = sample.select(F.count_if(F.expr(condition)).alias("n")).first()["n"]
-        return time.perf_counter() - began, n
-
-    timed("n_words < 0")
-    idle = min(timed("n_words < 0")[0] for _ in range(RUNS))
-    found = []
-    for rule in rules:
-        timed(rule.rejects)  # compiles
-        runs = [timed(rule.rejects) for _ in range(RUNS)]
-        found.append(Rule(rule.name, rule.rejects, magnitude(min(s for s, _ in runs) - idle), runs[0][1] / total))
-    sample.unpersist()
+    sample = docs.sparkSession.createDataFrame([(0, r["text"]) for r in rows], "id long, text string")
+    sample = with_figures(sample).where(~base_failed() & (F.col("part") >= 0))
+    both = [(F.avg(F.expr(work(r.rejects))).alias(f"cost{i}"), F.count_if(F.expr(r.rejects)).alias(f"hits{i}")) for i, r in enumerate(rules)]
+    seen = sample.select(F.count("*").alias("total"), *(c for pair in both for c in pair)).first()
+    found = [Rule(r.name, r.rejects, seen[f"cost{i}"] or 1.0, seen[f"hits{i}"] / max(1, seen["total"])) for i, r in enumerate(rules)]
     return sorted(found, key=lambda r: (-r.rate / r.cost, r.cost, r.name))
 
 
-def magnitude(seconds: float) -> float:
-    """``LEAST``, or the next lower power of ``STEP`` times it."""
-    return LEAST * STEP ** max(0, math.floor(math.log(max(seconds, LEAST) / LEAST, STEP)))
-
-
 def verdict(rules: list[Rule]) -> Column:
     """Name of the first rule that rejects, or null; later rules are not evaluated."""
     out = F.when(base_failed(), F.lit("base"))

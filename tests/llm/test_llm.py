@@ -308,11 +308,27 @@ def test_order_of_rules_changes_no_verdict(spark):
         assert {r["id"] for r in judged.collect() if r["kept"]} == {1}
 
 
-def test_two_runs_order_the_rules_alike(spark):
+def test_runs_order_the_rules_alike(spark):
     docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    first, second = ([(r.name, r.rate) for r in quality.order_rules(docs_)] for _ in range(2))
-    assert first == second and sorted(n for n, _ in first) == sorted(r.name for r in quality.RULES)
-    assert [quality.magnitude(x) for x in (0, 0.01, 0.03, 0.2)] == [0.02, 0.02, 0.02, 0.16]
+    runs = [[(r.name, r.rate, r.cost) for r in quality.order_rules(docs_)] for _ in range(5)]
+    assert all(run == runs[0] for run in runs) and sorted(n for n, *_ in runs[0]) == sorted(r.name for r in quality.RULES)
+    assert len({cost for *_, cost in runs[0]}) >= 3
+
+
+def test_a_costly_rule_goes_behind_a_cheap_one(spark):
+    docs_ = spark.createDataFrame([(k, " ".join(f"word{k} thing{j}{'#' * (k % 3)}" for j in range(40))) for k in range(60)], "id long, text string")
+    # The costly rule rejects a little more, and would go first by its rate alone.
+    costly = quality.Rule("a_costly", r"length(regexp_replace(regexp_replace(text, '#', ''), '[^\\p{L}]', '')) < length(text) - 100 or n_symbols > 0")
+    cheap = quality.Rule("b_cheap", "n_symbols > 40")
+    found = quality.order_rules(docs_, (costly, cheap))
+    assert [r.name for r in found] == ["b_cheap", "a_costly"] and found[0].rate < found[1].rate and found[1].cost > 100 * found[0].cost
+    assert [r.name for r in quality.order_rules(docs_.limit(0), (costly, cheap))] == ["a_costly", "b_cheap"]
+
+
+def test_work_counts_columns_and_regular_expressions_outside_quotes():
+    plain, regex = quality.work("length(text) > 9"), quality.work("text rlike 'n_words split text'")
+    assert plain == "(length(text)) * (1D + 0D / 1)" and regex == f"(length(text)) * (1D + {quality.REGEX}D / 1)"
+    assert quality.work("true") == "(1) * (1D + 0D / 1)"
 
 
 def test_url_rules(spark):
