@@ -654,6 +654,51 @@ def test_licence_recall_and_precision(spark):
     assert right >= 0.9 * sum(map(len, truth.values())) and right >= 0.9 * sum(map(len, found.values())) and right > 10
 
 
+# Notices as projects carry them, written down apart from the table of sentences, with what they grant.
+NOTICES = (
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.", "LGPL-2.1-or-later"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2.", "GPL-2.0"),
+    ("This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.", "GPL-3.0-or-later"),
+    ("it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3.", "AGPL-3.0"),
+    ("modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "LGPL-2.0-or-later"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License.", "MPL-1.1"),
+    ("Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0", "Apache-2.0"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.", "MIT"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES", "0BSD"),
+    ("This software is provided 'as-is', without any express or implied warranty. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:", "Zlib"),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL", "EUPL-1.2"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL-1.1"),
+    ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", "EPL-2.0"),
+    ("The contents of this file are subject to the terms of the Common Development and Distribution License, Version 1.0 only", "CDDL-1.0"),
+    ("This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.", "Artistic-2.0"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice.\n3. All advertising materials mentioning features or use of this software must display the following acknowledgement:\n4. Neither the name of the author may be used to endorse or promote products derived from this software.", "BSD-4-Clause"),
+    ("Use of this source code is governed by a BSD-style 3-Clause BSD License that can be found in the LICENSE file.", "BSD-3-Clause"),
+    ("// SPDX-License-Identifier: BSD-4-Clause\n", "BSD-4-Clause"), ("# SPDX-License-Identifier: LGPL-2.0-or-later", "LGPL-2.0-or-later"), ("/* SPDX-License-Identifier: Zlib */", "Zlib"), ("-- SPDX-License-Identifier: MPL-1.1", "MPL-1.1"),
+    ("SPDX-License-Identifier: MIT-0", "MIT-0"), ("SPDX-License-Identifier: PHP-3.01", "PHP-3.01"), ("SPDX-License-Identifier: AFL-2.1", "AFL-2.1"), ("SPDX-License-Identifier: GPL-1.0+", "GPL-1.0-or-later"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA"),
+    ("We do not use the MIT License.", ""), ("The driver is no longer licensed under the GNU General Public License, version 2.", ""), ("Your driving license, version 2, was issued in Boston.", ""),
+    ("The artistic director obtained a copy of the general permission.", ""), ("The eclipse was public in 2.0 minutes, under no license at all.", ""),
+    ("GNU General Public License version 2.5", "GPL"),
+)
+
+
+def test_recall_and_precision_on_notices_apart_from_the_table():
+    right = wrong = missed = 0
+    for text_, expected in NOTICES:
+        found, truth = set(licences.licences(licences.identifiers(text_))), {expected} - {""}
+        right, wrong, missed = right + len(found & truth), wrong + len(found - truth), missed + len(truth - found)
+    assert right >= 0.9 * (right + missed) and right >= 0.9 * (right + wrong), (right, wrong, missed)
+
+
+def test_versions_are_never_guessed():
+    for text_, expected in (("SPDX-License-Identifier: LGPL-2.0-or-later", ["LGPL-2.0-or-later"]), ("the GNU Lesser General Public License", ["LGPL"]), ("Mozilla Public License 7.3", ["MPL"]), ("GPL v2.5 licensed", [])):
+        assert licences.licences(licences.identifiers(text_)) == expected, text_
+
+
 def test_licence_rows(spark):
     df = spark.createDataFrame([(1, "Released under the MIT License."), (1, "Released under the MIT License."), (2, None), (3, "a licence to thrill")], "doc_id long, text string").withColumn("licences", F.lit(0))
     assert Counter(tuple(r) for r in licences.scan(df).collect()) == Counter({(1, "MIT", "MIT", 0): 2, (2, None, None, 0): 1, (3, None, "unknown", 1): 1})
