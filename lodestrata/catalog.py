@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.plans import audits, protocol, relations, reports
+from lodestrata.plans import audits, pixels, protocol, relations, reports
 
-_ALL = relations.QUERIES | audits.QUERIES | reports.QUERIES | protocol.QUERIES
+_ALL = relations.QUERIES | audits.QUERIES | reports.QUERIES | protocol.QUERIES | pixels.QUERIES
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
