@@ -8,8 +8,10 @@ Tokens: words with A-Z lower-cased, then one end token. Every word has a class:
   classes are counted over the corpus and it moves to the class where they are most likely;
 * any other word, seen or not, has the class that most head words with its longest known ending (up to four bytes) have.
 
-The number of classes grows with the vocabulary (``class_count``), as do the counts that are gathered: those of every
-training token, shuffled by word, and the class bigrams over all tokens. The model is
+All three sizes grow with the vocabulary V and have no upper bound (``sizes_for``): classes and clustered words with its fourth
+root, so the square of clustered words that the driver holds has at most 6,400 * sqrt(V) cells (3 million at 200,000 words,
+64 million at 100 million), head words with its cube root. The counts cover every
+training token, shuffled by word, and the class bigrams all neighbours. The model is
 p(word | previous) = p(class | previous class) * p(word | class): transitions are smoothed by ``ALPHA``; a word has
 (c + 0.1) / (n + 0.1 * (v + 1)) of its class, where the last part is that of the words not seen, so the probabilities
 of all words sum to one. The end token is alone in its class.
@@ -37,9 +39,10 @@ from pyspark.sql import functions as F
 from lodestrata.llm.text import map_arrow, texts_of
 from lodestrata.session import materialise
 
-CLUSTER_WORDS, PASSES, HEAD_WORDS = 2000, 2, 50_000
-#: Bounds of the number of classes, and bytes of the longest ending.
-FEWEST, MOST, ENDING = 16, 128, 4
+#: Lower bounds of the numbers of classes, clustered words and head words, and their shares of a root of the vocabulary.
+CLASSES, CLUSTERED, HEAD = (16, 3), (2000, 80), (50_000, 680)
+#: Passes of the exchange, and bytes of the longest ending.
+PASSES, ENDING = 2, 4
 ALPHA, SMOOTHING = 0.1, 0.1
 END = b"\n"  # no word holds white space
 FLUSH, LONG, SLICE = 300_000, 48, 500
@@ -71,9 +74,10 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     return map_arrow(texts, count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def class_count(vocabulary: int) -> int:
-    """An eighth of the vocabulary's root, within bounds."""
-    return min(MOST, max(FEWEST, math.isqrt(vocabulary) // 8))
+def sizes_for(vocabulary: int) -> tuple[int, int, int]:
+    """(classes, clustered words, head words) for so many distinct tokens."""
+    fourth, third = vocabulary**0.25, vocabulary ** (1 / 3)
+    return tuple(max(least, int(share * root)) for (least, share), root in ((CLASSES, fourth), (CLUSTERED, fourth), (HEAD, third)))
 
 
 def _summed(texts: DataFrame, pairs_of) -> DataFrame:
@@ -100,9 +104,9 @@ def _summed(texts: DataFrame, pairs_of) -> DataFrame:
 
 
 def _square(pairs: DataFrame, size: int) -> np.ndarray:
-    """At most size * size counts, as an array."""
+    """At most size * size counts, as an array of whole doubles."""
     found = pairs.toArrow()
-    out = np.zeros(size * size, np.int64)
+    out = np.zeros(size * size)
     out[found["pair"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(size, size)
 
@@ -210,7 +214,7 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, passes: int = PASSES
     k = min(classes, max(free, 1)) + fixed
     of = np.concatenate([np.arange(free) % (k - fixed), np.arange(k - fixed, k)]).astype(np.int64)
     one = np.eye(k)[of]
-    pairs = bigrams.astype(np.float64)
+    pairs = np.asarray(bigrams, np.float64)
     table = one.T @ pairs @ one
     right = pairs @ one  # word -> class that follows
     left = pairs.T @ one  # word <- class that precedes
@@ -219,8 +223,10 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, passes: int = PASSES
     def f(x):
         return x * np.log(np.maximum(x, 1e-300)) * (x > 0)
 
-    def value(t):
-        return f(t).sum() - f(t.sum(1)).sum() - f(t.sum(0)).sum()
+    terms = f(table)  # kept up to date: only two rows and columns change with a word
+
+    def refresh(c):
+        terms[c, :], terms[:, c] = f(table[c, :]), f(table[:, c])
 
     for _ in range(passes):
         moved = 0
@@ -233,9 +239,11 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, passes: int = PASSES
             table[a, a] += own
             r[a] -= own
             l[a] -= own
+            refresh(a)
             rows, columns = table.sum(1), table.sum(0)
             # gain of putting w into each class c, from the cells that change
-            gain = (f(table + r) - f(table)).sum(1) + (f(table + l[:, None]) - f(table)).sum(0)
+            beside, above = np.flatnonzero(r), np.flatnonzero(l)
+            gain = (f(table[:, beside] + r[beside]) - terms[:, beside]).sum(1) + (f(table[above] + l[above, None]) - terms[above]).sum(0)
             d, dr, dl = np.diag(table), r, l
             gain += f(d + dr + dl + own) - f(d + dr) - f(d + dl) + f(d)
             gain -= f(rows + total_out[w]) - f(rows)
@@ -246,6 +254,7 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, passes: int = PASSES
             table[b, :] += r
             table[:, b] += l
             table[b, b] -= own
+            refresh(b)
             if b != a:
                 moved += 1
                 of[w] = b
@@ -258,10 +267,11 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, passes: int = PASSES
     return of
 
 
-def train(texts: DataFrame, *, cluster_words: int = CLUSTER_WORDS, classes: int | None = None, head_words: int = HEAD_WORDS) -> dict:
-    """The model. ``texts``: the column ``text`` (binary) of the training rows."""
+def train(texts: DataFrame, *, cluster_words: int | None = None, classes: int | None = None, head_words: int | None = None) -> dict:
+    """The model. ``texts``: the column ``text`` (binary) of the training rows. Sizes that are not given are those of ``sizes_for``."""
     counts = materialise(count_tokens(texts), "token-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    classes, cluster_words, head_words = (given or own for given, own in zip((classes, cluster_words, head_words), sizes_for(v), strict=True))
     head = counts.orderBy(F.desc("c"), "word").limit(head_words).toArrow()
     c = dict(zip(map(bytes, head["word"].to_pylist()), head["c"].to_pylist(), strict=True))
     words = [w for w in c if w != END and len(w) <= LONG]  # a digest of a long word has no ending
@@ -269,7 +279,7 @@ def train(texts: DataFrame, *, cluster_words: int = CLUSTER_WORDS, classes: int
     index = {w: i for i, w in enumerate(first)} | {END: len(first)}
     size = len(first) + 2  # the clustered words, the end, any other
     bigrams = count_bigrams(texts, index, size)
-    of = exchange(bigrams, classes or class_count(v), fixed=2)
+    of = exchange(bigrams, classes, fixed=2)
     k = int(of.max()) + 1  # the last two: the end, words not clustered
     end, one = k - 2, np.eye(k)[of]
     known = {w: int(of[i]) for w, i in index.items()}
@@ -313,9 +323,9 @@ def score(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: dict[str, Column] | None = None,
-    cluster_words: int = CLUSTER_WORDS,
+    cluster_words: int | None = None,
     classes: int | None = None,
-    head_words: int = HEAD_WORDS,
+    head_words: int | None = None,
 ) -> DataFrame:
     """Columns id, those of ``keep``, n_tokens, n_known, train_tokens, base_score, score, perplexity."""
     spark = docs.sparkSession

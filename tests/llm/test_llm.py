@@ -734,3 +734,31 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept == [{1, 2, 3, 4, 5, 8}, {1, 3, 4, 5, 8}, {1, 3, 4, 5, 8}, {1, 3, 4, 8}, {1, 3, 4, 8}]
     assert passage not in next(r["text"] for r in df.collect() if r["doc_id"] == 4)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {1, 3, 4, 8}
+
+
+def test_class_model_sizes_grow_without_bound():
+    assert classlm.sizes_for(0) == (16, 2000, 50_000)
+    small, middle, large = map(classlm.sizes_for, (400_000, 10**8, 10**10))
+    assert small == (75, 2011, 50_102) and all(a < b < c for a, b, c in zip(small, middle, large, strict=True))
+    assert all(classlm.sizes_for(v)[1] ** 2 <= 6_400 * v**0.5 for v in (10**6, 10**8, 10**10))
+
+
+def test_exchange_moves_by_the_whole_likelihood():
+    draw = np.random.default_rng(5)
+    bigrams = draw.poisson(draw.gamma(0.3, 6, (24, 24)))
+
+    def value(of, k=6):
+        one = np.eye(k)[of]
+        t = one.T @ bigrams @ one
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(t) - f(t.sum(1)) - f(t.sum(0))
+
+    of = np.concatenate([np.arange(22) % 4, [4, 5]])
+    for _ in range(2):
+        for w in range(22):
+            values = []
+            for c in range(4):
+                of[w] = c
+                values.append(value(of))
+            of[w] = int(np.argmax(values))
+    assert classlm.exchange(bigrams, 4, fixed=2).tolist() == of.tolist()
