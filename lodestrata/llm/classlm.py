@@ -40,7 +40,7 @@ from lodestrata.llm.text import map_arrow, texts_of
 from lodestrata.session import materialise
 
 #: Lower bounds of the numbers of classes, clustered words and head words, and their shares of a root of the vocabulary.
-CLASSES, CLUSTERED, HEAD = (16, 3), (2000, 80), (50_000, 680)
+CLASSES, CLUSTERED, HEAD = (16, 5), (2000, 80), (50_000, 680)
 #: Passes of the exchange, and bytes of the longest ending.
 PASSES, ENDING = 2, 4
 ALPHA, SMOOTHING = 0.1, 0.1
@@ -240,7 +240,7 @@ def exchange(bigrams: np.ndarray, classes: int, fixed: int, passes: int = PASSES
             r[a] -= own
             l[a] -= own
             refresh(a)
-            rows, columns = table.sum(1), table.sum(0)
+            rows, columns = table.sum(1) + l, table.sum(0) + r  # of the other words, their neighbours w included
             # gain of putting w into each class c, from the cells that change
             beside, above = np.flatnonzero(r), np.flatnonzero(l)
             gain = (f(table[:, beside] + r[beside]) - terms[:, beside]).sum(1) + (f(table[above] + l[above, None]) - terms[above]).sum(0)

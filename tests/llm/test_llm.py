@@ -739,7 +739,7 @@ def test_pipeline_stages(spark, tmp_path):
 def test_class_model_sizes_grow_without_bound():
     assert classlm.sizes_for(0) == (16, 2000, 50_000)
     small, middle, large = map(classlm.sizes_for, (400_000, 10**8, 10**10))
-    assert small == (75, 2011, 50_102) and all(a < b < c for a, b, c in zip(small, middle, large, strict=True))
+    assert small == (125, 2011, 50_102) and all(a < b < c for a, b, c in zip(small, middle, large, strict=True))
     assert all(classlm.sizes_for(v)[1] ** 2 <= 6_400 * v**0.5 for v in (10**6, 10**8, 10**10))
 
 
