@@ -97,7 +97,8 @@ def links(points: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFr
     spread = points.select("fp", embedding(F.col("fp")).alias("e"), F.explode(grids).alias("g"))
     spread = spread.select("g.grid", F.col("e").bitwiseAND(F.col("g.mask")).alias("cell"), "fp")
     sizes = spread.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = spread.join(sizes, ["grid", "cell"])
+    # Spark takes the 56 rows of a point for one and would broadcast all shared cells through the driver.
+    members = spread.join(sizes.hint("merge"), ["grid", "cell"])
     blocks = F.ceil(F.col("n") / block).cast("int")
     members = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     # Block pair (i, j), i <= j: a member of block b goes to (b, b..) and (..b, b).

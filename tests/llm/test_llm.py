@@ -762,3 +762,10 @@ def test_exchange_moves_by_the_whole_likelihood():
                 values.append(value(of))
             of[w] = int(np.argmax(values))
     assert classlm.exchange(bigrams, 4, fixed=2).tolist() == of.tolist()
+
+
+def test_simhash_cells_are_not_broadcast(spark):
+    """Spark sizes the 56 cells of a fingerprint as one row; a broadcast of the shared ones would grow with the table on the driver."""
+    points = spark.range(100).select(F.xxhash64("id").alias("fp"))
+    joins = [line for line in simhash.links(points)._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any("BroadcastHashJoin" in line for line in joins)
