@@ -15,8 +15,11 @@ that fall on k, so the bits that differ are at most the hashes that are in one s
 Prefix hashes are shuffled once, by hash, and sorted; a hash that only one set has goes there. A hash that many sets of one task
 have is known to be shared: its rows go to any task, so a hot hash doesn't go to one.
 
+The stage's first step is SimHash: the fingerprint of a set has a bit where more than half its hashes have it, and fingerprints
+that the grids of ``simhash`` find within its radius give pairs that are verified like all others.
 A large group of near copies shares its whole prefixes. So each set is first compared with a few
-centres (one set of a list), which joins such a group; then a list is compared in full
+centres too: the set of a list with the largest share of its prefix in lists, as an original has it and not its copies, those centres first that most of
+the set's lists have. That joins such a group; then a list is compared in full
 across components only, members outside its largest component with all others.
 
 Defined results: as in ``simhash``.
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.simhash import first_of_each
+from lodestrata.llm.simhash import first_of_each, links
 from lodestrata.llm.text import checksum, map_arrow, texts_of
 from lodestrata.operators.components import connected_components
 from lodestrata.llm.repeats import _starts
@@ -44,6 +47,8 @@ SAMPLE, FREQUENT, MOST = 8, 16, 200_000
 CENTRES, KEYS = 12, 1_000_000
 #: Prefix hashes that are combined at once before the shuffle, and from how many sets on a hash is spread.
 CHUNK, HEAVY = 1 << 20, 16
+#: Prefix hashes of a set that travel as a list with each of its rows.
+LISTED = 64
 #: Bits of a sketch at least; a larger set has the next power of two.
 BITS = 1024
 _CHUNK = 1 << 21
@@ -123,6 +128,14 @@ def _sketch(values: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(values & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _fingerprint(values: np.ndarray) -> int:
+    """SimHash of a set of hashes; that of the empty set is zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(values), _CHUNK >> 6):
+        ones += np.unpackbits(values[at : at + (_CHUNK >> 6)].astype(">i8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(values)).view(">i8")[0])
+
+
 def _folded(column: str, other: str) -> Column:
     """The sketch in half its bits where the other has half as many (sizes in range differ by one step at most)."""
     half = (F.size(column) / 2).cast("int")
@@ -136,14 +149,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """Columns id, var (checksum of the text), key (of the set), size, and, where a task first meets the key, sketch and prefix."""
+    """Columns id, var (checksum of the text), key (of the set), size, and, where a task first meets the key, fp, sketch and prefix."""
     shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows.select("text")))
     longs = pa.list_(pa.int64())
 
     def sign(batches):
         shingles, order, met = Shingles(), shared.value, set()
         for batch in batches:
-            keys, sizes, sketches, prefixes = [], [], [], []
+            keys, sizes, fps, sketches, prefixes = [], [], [], [], []
             for text in texts_of(batch["text"]):
                 values = shingles(text)
                 key = _key(values)
@@ -151,12 +164,13 @@ def signed(rows: DataFrame) -> DataFrame:
                 met.add(key)
                 keys.append(key)
                 sizes.append(len(values))
+                fps.append(_fingerprint(values) if new else None)
                 sketches.append(_sketch(values) if new else None)
                 prefixes.append(prefix_of(values, *order) if new else None)
-            columns = [batch["id"], batch["var"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, longs), pa.array(prefixes, longs)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "var", "key", "size", "sketch", "prefix"])
+            columns = [batch["id"], batch["var"], pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), pa.array(sketches, longs), pa.array(prefixes, longs)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "var", "key", "size", "fp", "sketch", "prefix"])
 
-    return map_arrow(rows, sign, f"id {rows.schema['id'].dataType.simpleString()}, var int, key long, size long, sketch array<long>, prefix array<long>")
+    return map_arrow(rows, sign, f"id {rows.schema['id'].dataType.simpleString()}, var int, key long, size long, fp long, sketch array<long>, prefix array<long>")
 
 
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -275,17 +289,60 @@ def _pairs(a: str, b: str) -> list:
     return [F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")]
 
 
+def simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(src, dst): candidates by fingerprint; sets of one fingerprint with their smallest key, and the smallest keys of fingerprints in range."""
+    firsts = materialise(nodes.groupBy("fp").agg(F.min("key").alias("k")), "points")
+    same = nodes.select("fp", "key").join(firsts, "fp").where("key != k").select(*_pairs("key", "k"))
+    a, b = firsts.select(F.col("fp").alias("src"), F.col("k").alias("a")), firsts.select(F.col("fp").alias("dst"), F.col("k").alias("b"))
+    out = materialise(same.union(links(firsts).join(a, "src").join(b, "dst").select(*_pairs("a", "b"))), "fingerprint-pairs")
+    discard(firsts)
+    return out
+
+
+def centre_pairs(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(src, dst): each set with up to ``CENTRES`` centres of its lists."""
+    prefix = F.col("size") + F.floor(-F.col("size") * NUMERATOR / DENOMINATOR) + 1
+    share = members.groupBy("key").agg(F.countDistinct("h").alias("n")).join(nodes.select("key", prefix.alias("p")), "key").select("key", (F.col("n") / F.col("p")).alias("share"))
+    shared = members.join(share, "key")
+    middle = shared.groupBy("h").agg(F.max(F.struct("share", F.xxhash64("key").alias("x"), F.col("key").alias("k"))).alias("m")).select("h", F.col("m.k").alias("centre"))
+    near = members.join(middle, "h").where("key != centre").groupBy("key", "centre").agg(F.count("*").alias("n"))
+    few = near.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "centre"))), 1, CENTRES).alias("c"))
+    return few.select("key", F.explode("c.centre").alias("c")).select(*_pairs("key", "c"))
+
+
+def pairs_across(mixed: DataFrame) -> DataFrame:
+    """(src, dst): pairs of different components that share enough prefix hashes. ``mixed``: h, key, size, g, main (largest component of h).
+
+    A pair of sets with at most ``LISTED`` hashes here is judged where it first meets, by the sets' lists of hashes; others are counted up hash by hash.
+    """
+    lists = mixed.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("h")).alias("hs")).select("key", F.when(F.col("n") <= LISTED, F.col("hs")).alias("hs"))
+    every = materialise(mixed.join(lists, "key"), "listed")
+    few = every.where("g != main").select("h", F.col("key").alias("a"), F.col("g").alias("ag"), F.col("size").alias("an"), F.col("hs").alias("ah"))
+    both = few.join(every, "h").where((F.col("ag") != F.col("g")) & (NUMERATOR * F.greatest("an", "size") <= DENOMINATOR * F.least("an", "size")))
+    # Each pair once for a hash; of its common hashes at most the rest of the set whose prefix ends first lie beyond the prefixes.
+    both = both.where((F.col("g") == F.col("main")) | (F.col("a") < F.col("key")))
+    rest = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR - 1e-6) - 1
+    needed = F.ceil((F.col("an") + F.col("size")) * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-6) - F.greatest(rest("an"), rest("size"))
+    common, listed = F.array_intersect("ah", "hs"), F.col("ah").isNotNull() & F.col("hs").isNotNull()
+    at_first = F.when(listed, (F.size(common) >= needed) & (F.array_min(common) == F.col("h"))).otherwise(True)
+    met = both.where(at_first).select(*_pairs("a", "key"), F.when(listed, F.size(common)).otherwise(1).alias("n"), needed.alias("needed"))
+    out = materialise(met.groupBy("src", "dst").agg((F.sum("n") >= F.first("needed")).alias("enough")).where("enough").select("src", "dst"), "candidates")
+    discard(every)
+    return out
+
+
 def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, var, component (its smallest key): one row for each document."""
     rows = _texts(docs, id_col, text_col)
     found = materialise(signed(rows), "signed")
-    nodes = materialise(found.where("sketch IS NOT NULL").select("key", "var", "size", "sketch").dropDuplicates(["key"]), "nodes")
+    nodes = materialise(found.where("sketch IS NOT NULL").select("key", "var", "size", "fp", "sketch").dropDuplicates(["key"]), "nodes")
     release_shuffles(docs.sparkSession)
     members = materialise(shared_hashes(found), "members")
     release_shuffles(docs.sparkSession)
-    middle = members.groupBy("h").agg(F.min(F.struct(F.xxhash64("key", "h").alias("x"), F.col("key").alias("k"))).alias("m")).select("h", F.col("m.k").alias("centre"))
-    near = members.join(middle, "h").where("key != centre").groupBy("key").agg(F.slice(F.array_sort(F.collect_set("centre")), 1, CENTRES).alias("c"))
-    first = _verified(near.select("key", F.explode("c").alias("c")).select(*_pairs("key", "c")).distinct(), nodes, rows)
+    alike = simhash_pairs(nodes)
+    release_shuffles(docs.sparkSession)
+    first = _verified(alike.union(centre_pairs(members, nodes)).distinct(), nodes, rows)
+    discard(alike)
 
     release_shuffles(docs.sparkSession)
     groups = materialise(connected_components(first), "groups")
@@ -294,18 +351,11 @@ def components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     shares = named.groupBy("h", "g").agg(F.count("*").alias("n"))
     largest = shares.groupBy("h").agg(F.max(F.struct("n", "g")).alias("m"), F.count("*").alias("k")).where("k > 1").select("h", F.col("m.g").alias("main"))
     mixed = materialise(named.join(largest, "h"), "mixed")
-    few = mixed.where("g != main").select("h", F.col("key").alias("a"), F.col("g").alias("ag"), F.col("size").alias("an"))
-    both = few.join(mixed, "h").where((F.col("ag") != F.col("g")) & (NUMERATOR * F.greatest("an", "size") <= DENOMINATOR * F.least("an", "size")))
-    # Each pair once for a hash; of its common hashes at most the rest of the set whose prefix ends first lie beyond the prefixes.
-    both = both.where((F.col("g") == F.col("main")) | (F.col("a") < F.col("key")))
-    rest = lambda n: F.ceil(F.col(n) * NUMERATOR / DENOMINATOR - 1e-6) - 1
-    least = F.ceil((F.col("an") + F.col("size")) * NUMERATOR / (NUMERATOR + DENOMINATOR) - 1e-6)
-    enough = F.count("*") + F.first(F.greatest(rest("an"), rest("size")) - least) >= 0
-    pairs = both.groupBy(*_pairs("a", "key")).agg(enough.alias("enough")).where("enough").select("src", "dst")
+    pairs = pairs_across(mixed)
     release_shuffles(docs.sparkSession)
     second = _verified(pairs, nodes, rows)
 
-    for table in (members, named, mixed):
+    for table in (members, named, mixed, pairs):
         discard(table)
     release_shuffles(docs.sparkSession)
     ends = connected_components(first.union(second)).select(F.col("node").alias("key"), "component")

@@ -769,3 +769,31 @@ def test_simhash_cells_are_not_broadcast(spark):
     points = spark.range(100).select(F.xxhash64("id").alias("fp"))
     joins = [line for line in simhash.links(points)._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
     assert joins and not any("BroadcastHashJoin" in line for line in joins)
+
+
+def test_near_dedup_begins_with_simhash(spark):
+    """Sets whose fingerprints differ by three bits at most are candidates; sets of one fingerprint meet their smallest key."""
+    draw = random.Random(8)
+    fps = [draw.getrandbits(62) for _ in range(6)]
+    rows = [(k, fp) for k, fp in enumerate(fps)] + [(10, fps[0]), (11, fps[1] ^ 0b111), (12, fps[2] ^ 0b11110000)]
+    found = {tuple(r) for r in jaccard.simhash_pairs(spark.createDataFrame(rows, "key long, fp long")).collect()}
+    assert found == {(0, 10), (1, 11)}
+    values = np.array([3, 1, -1], np.int64)
+    assert jaccard._fingerprint(values) == 3 and jaccard._fingerprint(values[:0]) == 0
+
+
+@pytest.mark.parametrize("listed", [0, 4, 64])
+def test_candidates_meet_once(spark, listed, monkeypatch):
+    """Lists of hashes and counts hash by hash give the pairs that brute force does, and repeated rows change nothing."""
+    monkeypatch.setattr(jaccard, "LISTED", listed)
+    draw = random.Random(5)
+    sets = {k: (40 + k % 3, k % 5, set(draw.sample(range(30), draw.randint(2, 9)))) for k in range(40)}
+    rows = [(h, k, n, g, h % 5) for k, (n, g, hs) in sets.items() for h in hs]
+    found = {tuple(r) for r in jaccard.pairs_across(spark.createDataFrame(rows, "h long, key long, size long, g long, main long")).collect()}
+    rest = lambda n: -(-4 * n // 5) - 1
+    expected = set()
+    for a, (na, ga, ha) in sets.items():
+        for b, (nb, gb, hb) in sets.items():
+            if a < b and ga != gb and ha & hb and len(ha & hb) >= -(-4 * (na + nb) // 9) - max(rest(na), rest(nb)):
+                expected.add((a, b))
+    assert found == expected and 0 < len(expected) < 300
