@@ -319,3 +319,15 @@ def test_keyed_annotations_adjudications_and_label_faults(spark, tmp_path):
     lines = spark.createDataFrame([("f", 0, 1, [0.1, 0.2, 0.3], [0.1, 0.2, 0.3]), ("f", 1, 7, [0.1] * 3, [0.1] * 3), ("f", 2, 1, [0.1, 0.2], [0.1] * 3), ("f", 3, 1, [0.1, 1.2, 0.3], [0.1] * 3)], "file string, line int, cls int, xs array<double>, ys array<double>")
     faults = checks.label_line_faults(lines, 3, spark.createDataFrame([("f", 5), ("g", 1)], "file string, n long")).collect()
     assert {(r["file"], r["line"], r["fault"]) for r in faults} == {("f", 1, "class"), ("f", 2, "tokens"), ("f", 3, "range"), ("f", None, "count"), ("g", None, "count")}
+
+
+def test_hamming_join_shuffles_no_probes(spark, monkeypatch):
+    """However many hashes there are, a hash is a row for each band, not one for each value near it, and a pair leaves the join once."""
+    rows = spark.range(40).select(F.col("id").alias("n"), F.array(F.col("id") * 3, F.xxhash64("id")).alias("h"))
+    near = pairs.hamming_pairs(rows, "n", "h", 2, 14, payload=("n",), also={"sum": F.col("n_a") + F.col("n_b")})
+    masks = []
+    monkeypatch.setattr(pairs, "band_masks", lambda *a: masks.append(a) or [0])
+    monkeypatch.setattr(pairs.math, "log2", lambda n: 21.5)  # as with three million hashes
+    pairs.hamming_pairs(rows, "n", "h", 2, 14)
+    assert not masks
+    assert all(r["sum"] == r["a"] + r["b"] for r in near.collect())
