@@ -41,3 +41,14 @@ def test_close_pairs_in_rows_with_many_partners():
     for some in (None, pick):
         found = [tuple(sorted(p)) for left, right, _ in hamming.close_pairs(limbs, part, 2, some) for p in zip(left.tolist(), right.tolist(), strict=True)]
         assert len(found) == len(set(found)) and set(found) == {p for p in want if some is None or some[p[0]] or some[p[1]]}
+
+
+def test_thinned_edges_keep_components_and_are_fewer_than_nodes(spark):
+    from lodestrata.operators.components import connected_components, thinned
+
+    draw = random.Random(9)
+    rows = [(draw.randrange(300), draw.randrange(300)) for _ in range(250)] + [(k, k + j) for k in range(1000, 1050) for j in range(50)] + [(None, 3)]
+    edges = spark.createDataFrame(rows, "a long, b long").coalesce(1)
+    thin = thinned(edges, "a", "b")
+    assert thin.count() < len({x for r in rows for x in r})
+    assert {tuple(r) for r in connected_components(thin, "a", "b").collect()} == {tuple(r) for r in connected_components(edges, "a", "b").collect()}
