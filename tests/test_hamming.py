@@ -52,3 +52,32 @@ def test_thinned_edges_keep_components_and_are_fewer_than_nodes(spark):
     thin = thinned(edges, "a", "b")
     assert thin.count() < len({x for r in rows for x in r})
     assert {tuple(r) for r in connected_components(thin, "a", "b").collect()} == {tuple(r) for r in connected_components(edges, "a", "b").collect()}
+
+
+def test_class_matching_has_no_frame_for_an_image(spark):
+    """Images of a task are one stream of rows: the same outcomes whatever the order in which an image's options come."""
+    from lodestrata.operators import assignment
+
+    draw = random.Random(2)
+    box = lambda: [x := draw.random(), y := draw.random(), x + 1, y + 1]
+    truth = spark.createDataFrame([(k // 5, k, k % 2, box(), k % 7 == 3) for k in range(100)], "image_id long, id long, cls int, box array<double>, ignore boolean")
+    predicted = spark.createDataFrame([(k // 5, k, k % 2, box(), k) for k in range(100)], "image_id long, id long, cls int, box array<double>, ordinal int")
+    found = assignment.match_by_class(truth, predicted, 0.3)
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()
+    rows = {tuple(r) for r in found.collect()}
+    assert len(rows) == 100 and {r[3] for r in rows} == {"hit", "ignored", "false_positive"}
+    assert rows == {tuple(r) for r in assignment.match_by_class(truth.orderBy(F.desc("id")), predicted.orderBy(F.xxhash64("id")), 0.3).collect()}
+
+
+def test_split_trials_hold_columns_not_objects():
+    import tracemalloc
+
+    from lodestrata.operators import assignment
+
+    n = 20_000
+    columns = {c: np.arange(n, dtype=np.int64) % m + 1 for c, m in (("images", 5), ("multi", 3), ("good", 4))}
+    tracemalloc.start()
+    order, splits = assignment.greedy_columns(np.arange(n), columns, ["good"], (0.7, 0.2, 0.1), 3, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * n and sorted(order.tolist()) == list(range(n)) and len(splits) == n
