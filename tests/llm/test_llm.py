@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -89,6 +90,32 @@ def test_suffix_array_dedup(docs, large, heavy, monkeypatch):
     assert found == expected and any(k[2] for k in found)
 
 
+def test_occurrences_travel_as_one_row_of_arrays_for_each_group(monkeypatch):
+    monkeypatch.setattr(repeats, "GROUPS", 8)
+    monkeypatch.setattr(repeats, "HEAVY", 3)
+    s = suffixes.scheme()
+    draw = random.Random(5)
+    line = bytes(draw.randrange(97, 123) for _ in range(150)) + b"\n"
+    texts = [line * 3 + bytes(draw.randrange(256) for _ in range(70_000)) + line, line * 2, line, b"short", bytes(300)]
+    ids = pa.array([40, 7, 90, 8, 41])
+    parts = [repeats.anchors(s.hashes()(x), s) for x in texts]
+    doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    anchor, cls, pos, run = (np.concatenate(x) for x in zip(*parts, strict=True))
+    packed = repeats._combined(ids, pa.array(np.zeros(len(ids), np.int32)), doc, anchor, cls, pos.astype(np.int64) << 32 | run)
+    assert len(packed) <= 2 * 8 < len(doc)
+    found, ends, last = Counter(), Counter(), -1
+    for batch in (packed.slice(0, 5), packed.slice(5)):
+        for r in repeats._listed(batch).to_pylist():
+            assert last <= r["group"] and r["group"] == (r["anchor"] % 8 if r["kind"] != repeats.DEFERRED else r["group"])
+            last = r["group"]
+            if r["kind"] == repeats.SUMMARY:
+                ends[r["cls"]] += 1
+            else:
+                found.update((r["anchor"], r["cls"], r["id"], at >> 32, at & 0xFFFFFFFF) for at in [r["at"], *(r["more"] or [])])
+    expected = Counter(zip(anchor.tolist(), cls.tolist(), ids.take(pa.array(doc)).to_pylist(), pos.tolist(), run.tolist(), strict=True))
+    assert found == expected and max(pos) > 65_536 and set(ends.values()) == {2}
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_merged_transforms(seed):
     draw = random.Random(seed)
