@@ -98,10 +98,10 @@ def test_occurrences_travel_as_one_row_of_arrays_for_each_group(monkeypatch):
     line = bytes(draw.randrange(97, 123) for _ in range(150)) + b"\n"
     texts = [line * 3 + bytes(draw.randrange(256) for _ in range(70_000)) + line, line * 2, line, b"short", bytes(300)]
     ids = pa.array([40, 7, 90, 8, 41])
-    parts = [repeats.anchors(s.hashes()(x), s) for x in texts]
+    parts = [repeats.marked(s.hashes()(x), s) for x in texts]
     doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-    anchor, cls, pos, run = (np.concatenate(x) for x in zip(*parts, strict=True))
-    packed = repeats._combined(ids, pa.array(np.zeros(len(ids), np.int32)), doc, anchor, cls, pos.astype(np.int64) << 32 | run)
+    anchor, cls, pos, run, halves = (np.concatenate(x) for x in zip(*parts, strict=True))
+    packed = repeats._combined(ids, pa.array(np.zeros(len(ids), np.int32)), doc, anchor, cls, pos.astype(np.int64) << 32 | run, halves)
     assert len(packed) <= 2 * 8 < len(doc)
     found, ends, last = Counter(), Counter(), -1
     for batch in (packed.slice(0, 5), packed.slice(5)):
@@ -112,10 +112,35 @@ def test_occurrences_travel_as_one_row_of_arrays_for_each_group(monkeypatch):
                 ends[r["cls"]] += 1
             else:
                 found.update((r["anchor"], r["cls"], r["id"], at >> 32, at & 0xFFFFFFFF) for at in [r["at"], *(r["more"] or [])])
-    expected = Counter(zip(anchor.tolist(), cls.tolist(), ids.take(pa.array(doc)).to_pylist(), pos.tolist(), run.tolist(), strict=True))
+    expected = Counter(zip((anchor & repeats.ANCHOR).tolist(), cls.tolist(), ids.take(pa.array(doc)).to_pylist(), pos.tolist(), run.tolist(), strict=True))
     assert found == expected and max(pos) > 65_536 and set(ends.values()) == {2}
 
 
+def test_texts_are_looked_up_only_for_classes_that_share_half_a_context():
+    s = suffixes.scheme()
+    draw = random.Random(2)
+    letters = lambda n: bytes(draw.randrange(97, 123) for _ in range(n))
+    shared, seed = letters(120), letters(s.seed)
+    texts = [letters(80) + seed + letters(80) for _ in range(40)] + [letters(90) + shared + letters(90) for _ in range(2)]
+    ids = pa.array(range(len(texts)))
+    parts = [repeats.marked(s.hashes()(x), s) for x in texts]
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    common = int(columns[0][0])  # as if the 40 texts had one anchor and nothing else in common
+    alone = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+    first = np.unique(alone, return_index=True)[1][:40]
+    columns[0][first] = common
+    anchor, cls, pos, run, halves = columns
+    packed = repeats._combined(ids, pa.array(np.zeros(len(ids), np.int32)), alone, anchor, cls, pos.astype(np.int64) << 32 | run, halves)
+    found = repeats._verdicts(pa.Table.from_batches([repeats._listed(packed)])).to_pylist()
+    asked = {r["id"] for r in found if r["rep"]}
+    assert {40, 41} <= asked and len(asked) < 20
+    # What is asked are all classes of the two texts that share a half, and only bytes that happen to agree besides.
+    half = s.context // 2
+    for r in (r for r in found if r["rep"] and r["id"] >= 40):
+        at, text, other = r["at"] >> 32, texts[r["id"]], texts[81 - r["id"]]
+        assert text[at - half : at] in other or text[at + s.seed : at + s.seed + half] in other
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_merged_transforms(seed):
     draw = random.Random(seed)
